@@ -81,6 +81,7 @@ TOO_LARGE_MESSAGE = f"File too large (max {MAX_FILE_SIZE // (1024 * 1024)} MB)"
 TOO_MANY_MESSAGE = f"Too many files (max {MAX_FILES_PER_BATCH})"
 EMPTY_MESSAGE = "No files provided"
 BATCH_TOO_LARGE_MESSAGE = "Request body too large"
+EXTRACTOR_MESSAGE = "Extractor not available for this format"
 
 
 def format_catalog(spark: SparkSession) -> DataFrame:
