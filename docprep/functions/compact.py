@@ -20,7 +20,9 @@ Implementation (linear in the text length, no Python, no shuffle):
   fence flags on ``'1'``: the pieces alternate outside / inside;
 * every line becomes a token ``E<content>`` (kept), ``B`` (blank) or NULL
   (dropped table row); the tokens are joined and four regex passes collapse the
-  blank runs, trim the ends and remove the ``E`` prefixes.
+  blank runs, trim the ends and remove the ``E`` prefixes;
+* texts without any fence (the common case) skip the arrays altogether: five
+  whole-string regex passes implement rules 5 and 6 directly.
 """
 
 from __future__ import annotations
@@ -28,13 +30,14 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docprep.functions.text import WS, let, rstrip_ws
+from docprep.functions.text import WS, WS_NO_NL, let, rstrip_ws
 
 # The characters deleted by rule 2, and the one turned into a space.
 INVISIBLE_CHARS = "\u200b\ufeff\u00ad"  # zero-width space, BOM, soft hyphen
 NBSP = "\u00a0"
 
 FENCE_RX = f"^{WS}*(?:```|~~~)"
+ANY_FENCE_RX = f"(?md)^{WS_NO_NL}*(?:```|~~~)"
 EMPTY_TABLE_ROW_RX = f"^{WS}*\\|(?:{WS}*\\|)+{WS}*\\z"
 COMMENT_RX = "(?s)<!--.*?-->"
 
@@ -51,30 +54,29 @@ def normalize_markdown(col: Column) -> Column:
 def _line_kinds(lines: Column) -> Column:
     """Per line: 'F' fence line, 'I' inside a fence, 'O' outside."""
     flags = F.array_join(F.transform(lines, lambda l: F.when(l.rlike(FENCE_RX), "1").otherwise("0")), "")
-    pieces = F.split(flags, "1", -1)
-    n = F.size(pieces)
-    return F.flatten(
-        F.transform(
-            pieces,
-            lambda p, j: F.concat(
-                F.array_repeat(F.when(j % 2 == 1, F.lit("I")).otherwise(F.lit("O")), F.length(p)),
-                F.when(j < n - 1, F.array(F.lit("F"))).otherwise(F.array().cast("array<string>")),
-            ),
+
+    def expand(pieces: Column) -> Column:
+        n = F.size(pieces)  # pieces is a bound variable here: O(1)
+        return F.flatten(
+            F.transform(
+                pieces,
+                lambda p, j: F.concat(
+                    F.array_repeat(F.when(j % 2 == 1, F.lit("I")).otherwise(F.lit("O")), F.length(p)),
+                    F.when(j < n - 1, F.array(F.lit("F"))).otherwise(F.array().cast("array<string>")),
+                ),
+            )
         )
-    )
 
+    return let(F.split(flags, "1", -1), expand)
 
-def _token_outside(line: Column) -> Column:
-    return let(
-        rstrip_ws(line),
-        lambda s: F.when(s == "", F.lit("B"))
-        .when(s.rlike(EMPTY_TABLE_ROW_RX), F.lit(None).cast("string"))
-        .otherwise(F.concat(F.lit("E"), s)),
-    )
 
-
-def _token(line: Column, kind: Column) -> Column:
-    return F.when(kind != "O", F.concat(F.lit("E"), line)).otherwise(_token_outside(line))
+def _token(content: Column, kind: Column) -> Column:
+    return (
+        F.when(kind != "O", F.concat(F.lit("E"), content))
+        .when(content == "", F.lit("B"))
+        .when(content.rlike(EMPTY_TABLE_ROW_RX), F.lit(None).cast("string"))
+        .otherwise(F.concat(F.lit("E"), content))
+    )
 
 
 def _assemble(tokens: Column) -> Column:
@@ -85,17 +87,34 @@ def _assemble(tokens: Column) -> Column:
     return F.regexp_replace(t, "(^|\n)E", "$1")
 
 
-def _compact_lines(lines: Column) -> Column:
-    has_fence = F.exists(lines, lambda l: l.rlike(FENCE_RX))
-    # Fence-free texts (the common case) skip the parity computation.
-    with_fences = F.zip_with(lines, _line_kinds(lines), _token)
-    plain = F.transform(lines, _token_outside)
-    return _assemble(F.when(has_fence, with_fences).otherwise(plain))
+def _compact_fenced(text: Column) -> Column:
+    """Line arrays: kinds from the fence parity, right-strip only outside fences."""
+
+    def with_lines(lines: Column) -> Column:
+        def with_kinds(kinds: Column) -> Column:
+            content = F.zip_with(lines, kinds, lambda l, k: F.when(k == "O", rstrip_ws(l)).otherwise(l))
+            return _assemble(F.zip_with(content, kinds, _token))
+
+        return let(_line_kinds(lines), with_kinds)
+
+    return let(F.split(text, "\n", -1), with_lines)
+
+
+def _compact_plain(text: Column) -> Column:
+    """Fence-free text: five whole-string regex passes, no arrays."""
+    t = F.regexp_replace(text, f"(?md){WS_NO_NL}+$", "")  # right-strip every line
+    t = F.regexp_replace(t, f"(?md)^{WS_NO_NL}*\\|(?:{WS_NO_NL}*\\|)+(?:\n|\\z)", "")  # drop empty table rows
+    t = F.regexp_replace(t, "^\n+", "")  # leading blank lines
+    t = F.regexp_replace(t, "\n+\\z", "")  # trailing blank lines
+    return F.regexp_replace(t, "\n{3,}", "\n\n")  # a run of blank lines -> one
 
 
 def compact_markdown(col: Column) -> Column:
     """Compacted Markdown; NULL stays NULL and '' stays ''."""
-    return let(F.split(normalize_markdown(col), "\n", -1), _compact_lines)
+    return let(
+        normalize_markdown(col),
+        lambda t: F.when(t.rlike(ANY_FENCE_RX), _compact_fenced(t)).otherwise(_compact_plain(t)),
+    )
 
 
 def maybe_compact(col: Column, enabled: Column | bool = True) -> Column:

@@ -285,13 +285,20 @@ def find_spans(text: Column, rec: Recognizer) -> Column:
     half-open code-point offsets; invalid matches are dropped."""
 
     def spans(t: Column) -> Column:
-        pieces = F.split(t, rec.rx, -1)
-        whole = F.regexp_extract_all(t, F.lit(rec.rx), 0)
-        if rec.group:
-            lead = F.regexp_extract_all(t, F.lit(rec.rx), 1)
-            value = F.regexp_extract_all(t, F.lit(rec.rx), rec.group)
-        else:
-            lead, value = None, whole
+        # Bind every array once: inside the fold's lambda they are variables,
+        # not expressions re-evaluated per element.
+        arrays = F.struct(
+            F.split(t, rec.rx, -1).alias("pieces"),
+            F.regexp_extract_all(t, F.lit(rec.rx), 0).alias("whole"),
+            (F.regexp_extract_all(t, F.lit(rec.rx), 1) if rec.group else F.array().cast("array<string>")).alias("lead"),
+            (F.regexp_extract_all(t, F.lit(rec.rx), rec.group) if rec.group else F.array().cast("array<string>")).alias("value"),
+        )
+        return let(arrays, fold)
+
+    def fold(a: Column) -> Column:
+        pieces, whole = a["pieces"], a["whole"]
+        lead = a["lead"] if rec.group else None
+        value = a["value"] if rec.group else whole
         init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
 
         def step(acc: Column, i: Column) -> Column:
@@ -356,7 +363,7 @@ def redact_spans(text: Column, spans: Column, tags: dict[str, str] | None = None
     """Rebuild the text with each (resolved, non-overlapping) span replaced by its tag."""
     tag_of = tags or {rec.entity: rec.tag for recs in _REGISTRY.values() for rec in recs}
 
-    def build(t: Column) -> Column:
+    def build(t: Column, spans: Column) -> Column:
         init = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
         def tag_for(entity: Column) -> Column:
@@ -376,4 +383,4 @@ def redact_spans(text: Column, spans: Column, tags: dict[str, str] | None = None
         rest = t.substr(folded["pos"] + 1, F.greatest(F.length(t) - folded["pos"], F.lit(0)))
         return F.array_join(F.concat(folded["out"], F.array(rest)), "")
 
-    return F.when(F.size(spans) == 0, text).otherwise(let(text, build))
+    return let(F.struct(text.alias("t"), spans.alias("s")), lambda b: F.when(F.size(b["s"]) == 0, b["t"]).otherwise(build(b["t"], b["s"])))
