@@ -94,9 +94,16 @@ def file_name_sql(doc_id: str, source: str, lang: str) -> str:
     return f"({prefix} || {source} || '/' || {lang} || '_' || CAST({doc_id} AS VARCHAR) || {exts}[{doc_id} % {len(EXT_CYCLE)} + 1])"
 
 
-def files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One file per document: batch_id, ord, filename, length, text."""
+def files(spark: SparkSession, sf_dir: str, id_text: bool = False) -> DataFrame:
+    """One file per document: batch_id, ord, filename, length, text.
+
+    With ``id_text`` the text carries the injected Spanish IDs (the size still
+    comes from the original text, so admission is the same)."""
     d = table(spark, sf_dir, "documents")
+    if id_text:
+        d = d.withColumn("text_src", F.col("text")).withColumn("text", with_ids(F.col("text"), F.col("doc_id")))
+    else:
+        d = d.withColumn("text_src", F.col("text"))
     return d.select(
         "doc_id",
         "source",
@@ -104,18 +111,12 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("doc_id") / 80).cast("long") * 10 + _lang_index(F.col("lang"))).cast("long").alias("batch_id"),
         (F.col("doc_id") % 80).cast("int").alias("ord"),
         file_name(F.col("doc_id"), F.col("source"), F.col("lang")).alias("filename"),
-        (F.octet_length("text") * SIZE_FACTOR).cast("long").alias("length"),
+        (F.octet_length("text_src") * SIZE_FACTOR).cast("long").alias("length"),
         "text",
     )
 
 
-FILES_SQL = f"""SELECT doc_id, source, lang,
-  CAST((doc_id // 80) * 10 + {_lang_index_sql('lang')} AS BIGINT) AS batch_id,
-  CAST(doc_id % 80 AS INTEGER) AS ord,
-  {file_name_sql('doc_id', 'source', 'lang')} AS filename,
-  CAST(octet_length(encode(text)) * {SIZE_FACTOR} AS BIGINT) AS length,
-  text
-FROM documents"""
+
 
 
 # --------------------------------------------------------------------------- Spanish IDs
@@ -232,3 +233,18 @@ def id_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ID_DOCUMENTS_SQL = f"SELECT doc_id, source, lang, {with_ids_sql('text', 'doc_id')} AS text FROM documents"
+
+
+def files_sql(id_text: bool = False) -> str:
+    text = with_ids_sql("text", "doc_id") if id_text else "text"
+    return f"""SELECT doc_id, source, lang,
+  CAST((doc_id // 80) * 10 + {_lang_index_sql('lang')} AS BIGINT) AS batch_id,
+  CAST(doc_id % 80 AS INTEGER) AS ord,
+  {file_name_sql('doc_id', 'source', 'lang')} AS filename,
+  CAST(strlen(text) * {SIZE_FACTOR} AS BIGINT) AS length,
+  {text} AS text
+FROM documents"""
+
+
+FILES_SQL = files_sql(False)
+FILES_ID_SQL = files_sql(True)

@@ -1 +1,406 @@
-"""Further registered queries (PII, HTML, tables, pipeline, streaming)."""
+"""Further registered queries: PII, HTML, tables, extraction, the pipeline and
+its batch operators. Importing the module registers them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from docprep.functions import pii as P
+from docprep.functions.html import html_to_markdown
+from docprep.operators import admission as A
+from docprep.operators import extract as X
+from docprep.operators import pii as OP
+from docprep.operators.names import unique_names
+from docprep.operators.tables import table_to_markdown
+from docprep.plans import derived as D
+from docprep.plans import sqlparts as S
+from docprep.plans.prepare import prepare
+from docprep.plans.queries import FORMATS_SQL, _admission_sql_ctes, _status_sql, register
+from docprep.sources import catalogs as C
+from docprep.sources.sinks import batch_envelope
+
+DEFAULT_KEYS = C.default_entity_keys()
+ID_KEYS = ["dni_nie", "social_security", "company_id", "iban", "vehicle_plate", "date", "credit_card", "person"]
+ALL_KEYS = DEFAULT_KEYS + ["date"]
+
+# =========================================================================== PII
+
+
+@register(
+    "pii_validators",
+    "R6 (DNI/NIE, NSS, CIF, IBAN, Luhn on IDs derived from every document)",
+    f"""SELECT doc_id, {S.valid_sql('dni_nie', 'dni')} AS dni_ok, {S.valid_sql('dni_nie', 'nie')} AS nie_ok,
+       {S.valid_sql('social_security', 'nss')} AS nss_ok, {S.valid_sql('company_id', 'cif')} AS cif_ok,
+       {S.valid_sql('iban', 'iban')} AS iban_ok, {S.valid_sql('credit_card', 'card')} AS card_ok
+FROM (SELECT doc_id, {', '.join(f'{v} AS {k}' for k, v in D.id_parts_sql('doc_id').items())} FROM documents)""",
+)
+def q_pii_validators(spark: SparkSession, sf: str) -> DataFrame:
+    d = D.table(spark, sf, "documents").select("doc_id")
+    parts = D.id_parts(F.col("doc_id"))
+    return d.select(
+        "doc_id",
+        P.valid_dni_nie(parts["dni"]).alias("dni_ok"),
+        P.valid_dni_nie(parts["nie"]).alias("nie_ok"),
+        P.valid_nss(parts["nss"]).alias("nss_ok"),
+        P.valid_cif(parts["cif"]).alias("cif_ok"),
+        P.valid_iban_es(parts["iban"]).alias("iban_ok"),
+        P.valid_luhn(parts["card"]).alias("card_ok"),
+    )
+
+
+def _redact_query_sql(src_sql: str, id_col: str, text_col: str, keys: list[str], extra: str = "") -> str:
+    ctes, last = S.redact_ctes("r_src", keys)
+    return f"""WITH r_src AS (SELECT {id_col} AS id{extra}, {text_col} AS t FROM ({src_sql})),
+{ctes}
+SELECT id AS {id_col}{extra}, t AS text FROM {last}"""
+
+
+@register(
+    "redact_ids",
+    "D1-D7, D10, R1, R4 on documents with injected IDs",
+    _redact_query_sql(D.ID_DOCUMENTS_SQL, "doc_id", "text", ID_KEYS),
+)
+def q_redact_ids(spark: SparkSession, sf: str) -> DataFrame:
+    d = D.id_documents(spark, sf)
+    return d.select("doc_id", P.redact(F.col("text"), ID_KEYS).alias("text"))
+
+
+@register(
+    "redact_default",
+    "D8, D9, D11, R4 with the default entity set (P9) on documents",
+    _redact_query_sql("SELECT * FROM documents", "doc_id", "text", DEFAULT_KEYS),
+)
+def q_redact_default(spark: SparkSession, sf: str) -> DataFrame:
+    d = D.table(spark, sf, "documents")
+    return d.select("doc_id", P.redact(F.col("text"), DEFAULT_KEYS).alias("text"))
+
+
+@register(
+    "redact_conversations",
+    "R5 on another text column (conversations), adds anonymized",
+    _redact_query_sql("SELECT *, conv_id * 1000 + turn AS k FROM conversations", "k", "text", DEFAULT_KEYS, ", conv_id, turn, role")
+    .replace("SELECT id AS k, conv_id, turn, role, t AS text", "SELECT conv_id, turn, role, t AS text, true AS anonymized"),
+)
+def q_redact_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    c = D.table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return OP.redact_columns(c, ["text"], DEFAULT_KEYS)
+
+
+_SPANS_SQL = S.spans_sql("s_src", ALL_KEYS)
+
+
+@register(
+    "detect_pii",
+    "R2 (spans with code-point offsets, validated matches only)",
+    f"""WITH s_src AS (SELECT doc_id AS id, text AS t FROM ({D.ID_DOCUMENTS_SQL}))
+SELECT id AS doc_id, entity, "start", "end", score, matched FROM ({_SPANS_SQL})""",
+)
+def q_detect_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return OP.detect_pii(D.id_documents(spark, sf), "text", ALL_KEYS)
+
+
+_RESOLVED_SQL = f"""WITH s_src AS (SELECT doc_id AS id, text AS t FROM ({D.ID_DOCUMENTS_SQL})),
+sp AS ({_SPANS_SQL}),
+ordered AS (SELECT *, max("end") OVER (PARTITION BY id ORDER BY "start", "end" DESC, score DESC, entity
+             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach_all FROM sp)"""
+
+
+@register(
+    "resolve_overlaps",
+    "R3 (a span inside or overlapping an earlier, longer or better one is dropped)",
+    None,
+)
+def q_resolve_overlaps(spark: SparkSession, sf: str) -> DataFrame:
+    return OP.detect_pii(D.id_documents(spark, sf), "text", ALL_KEYS, resolve=True)
+
+
+@register(
+    "pii_summary",
+    "A4 (spans and documents per source and entity, rollup-free)",
+    f"""WITH s_src AS (SELECT doc_id AS id, text AS t FROM ({D.ID_DOCUMENTS_SQL}))
+SELECT d.source, sp.entity, count(*) AS n_spans, count(DISTINCT sp.id) AS n_docs
+FROM ({_SPANS_SQL}) sp JOIN documents d ON sp.id = d.doc_id GROUP BY d.source, sp.entity""",
+)
+def q_pii_summary(spark: SparkSession, sf: str) -> DataFrame:
+    d = D.id_documents(spark, sf)
+    spans = OP.detect_pii(d, "text", ALL_KEYS, id_cols=("doc_id", "source"))
+    return OP.pii_summary(spans, ("source",)).select("source", "entity", "n_spans", "n_docs")
+
+
+# The entity requests given to document i are REQUESTS[i % 5].
+REQUESTS = ["email,person, dni_nie", "", "iban,,unknown_key,email", " phone , ip,phone", "location,date,credit_card,company_id"]
+
+
+def _requests_col():
+    return F.element_at(F.array(*[F.lit(r) for r in REQUESTS]), (F.col("doc_id") % len(REQUESTS) + 1).cast("int"))
+
+
+def _requests_sql() -> str:
+    return "[" + ", ".join(S.sql_str(r) for r in REQUESTS) + f"][doc_id % {len(REQUESTS)} + 1]"
+
+
+_TAG_CASE = "CASE " + " ".join(f"WHEN k = '{k}' THEN '{t}'" for k, _, _, t, _ in C.PII_ENTITIES) + " END"
+_KNOWN_SQL = "[" + ", ".join(f"'{k}'" for k, *_ in C.PII_ENTITIES) + "]"
+_DEFAULT_SQL = "[" + ", ".join(f"'{k}'" for k in DEFAULT_KEYS) + "]"
+
+
+@register(
+    "requested_entities",
+    "P7, P8, P9, J2 (parse the request, keep known keys in order, map to tags)",
+    f"""WITH r AS (SELECT doc_id, {_requests_sql()} AS raw FROM documents),
+p AS (SELECT doc_id, list_filter(list_transform(string_split(raw, ','), lambda x: trim(x)), lambda x: x <> '') AS parsed FROM r),
+k0 AS (SELECT doc_id, parsed, list_filter(parsed, lambda x: list_contains({_KNOWN_SQL}, x)) AS k0 FROM p),
+k AS (SELECT doc_id, parsed, list_filter(k0, lambda x, i: list_position(k0, x) = i) AS known FROM k0)
+SELECT doc_id, array_to_string(parsed, ',') AS parsed, array_to_string(known, ',') AS known,
+       array_to_string(list_transform(known, lambda k: {_TAG_CASE}), ',') AS tags,
+       CAST(len(list_filter(known, lambda x: list_contains({_DEFAULT_SQL}, x))) AS INTEGER) AS n_default
+FROM k""",
+)
+def q_requested_entities(spark: SparkSession, sf: str) -> DataFrame:
+    d = D.table(spark, sf, "documents").select("doc_id")
+    parsed = OP.parse_entities(_requests_col())
+    known = OP.known_entities(parsed)
+    return d.select(
+        "doc_id",
+        F.array_join(parsed, ",").alias("parsed"),
+        F.array_join(known, ",").alias("known"),
+        F.array_join(OP.entity_tags(known), ",").alias("tags"),
+        F.size(F.filter(known, lambda x: F.array_contains(OP.default_entities(), x))).alias("n_default"),
+    )
+
+
+# =========================================================================== HTML, tables, extraction
+
+
+@register("html_to_markdown", "X4 over every page", f"SELECT page_id, {S.html_sql('html')} AS markdown FROM pages")
+def q_html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    p = D.table(spark, sf, "pages")
+    return p.select("page_id", html_to_markdown(F.col("html")).alias("markdown"))
+
+
+def _cell_sql(c: str) -> str:
+    return f"regexp_replace(replace(coalesce(CAST({c} AS VARCHAR), ''), '|', {S.sql_str(chr(92) + '|')}), {S.q(chr(13) + chr(10) + '?|' + chr(10))}, ' ', 'g')"
+
+
+@register(
+    "table_to_markdown",
+    "X5 (nations of each region as a pipe table)",
+    f"""SELECT r.r_regionkey, r.r_name,
+       {S.sql_str('| n_nationkey | n_name |' + chr(10) + '| --- | --- |' + chr(10))} ||
+       string_agg('| ' || {_cell_sql('n.n_nationkey')} || ' | ' || {_cell_sql('n.n_name')} || ' |', chr(10) ORDER BY n.n_nationkey) AS markdown
+FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_regionkey, r.r_name""",
+)
+def q_table_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    n = D.table(spark, sf, "nation")
+    r = D.table(spark, sf, "region")
+    j = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    return table_to_markdown(j, ["r_regionkey", "r_name"], ["n_nationkey"], ["n_nationkey", "n_name"])
+
+
+@register(
+    "extraction_routes",
+    "X1, X2, X6, X7 (route per file, native extraction with fallback to the raw text)",
+    f"""WITH {_admission_sql_ctes()},
+ex AS (SELECT doc_id, ext, text,
+         CASE WHEN lower(ext) IN ('.jpg','.jpeg','.png','.gif','.bmp','.webp') THEN 'ocr' WHEN lower(ext) = '.pdf' THEN 'pdf' ELSE 'general' END AS route,
+         CASE WHEN lower(ext) IN ('.txt','.md','.json','.xml','.csv') THEN text
+              WHEN lower(ext) IN ('.html','.htm') THEN {S.html_sql('text')} END AS primary_text FROM fn)
+SELECT doc_id, route,
+       CASE WHEN regexp_matches(coalesce(primary_text, ''), {S.q('[^' + S.WS[1:-1] + ']')}) THEN primary_text
+            ELSE regexp_replace(text, {S.q('^' + S.WS + '+|' + S.WS + '+' + chr(92) + 'z')}, '', 'g') END AS extracted
+FROM ex""",
+)
+def q_extraction_routes(spark: SparkSession, sf: str) -> DataFrame:
+    f = A.with_names(D.files(spark, sf))
+    primary = X.native_extract(F.col("ext"), F.col("text"))
+    return f.select(
+        "doc_id",
+        X.route(F.col("ext")).alias("route"),
+        X.with_fallback(primary, X.trim_extracted(X.text_passthrough(F.encode("text", "UTF-8")))).alias("extracted"),
+    )
+
+
+# =========================================================================== the pipeline
+
+PIPELINE_ENTITIES = "email, person,,dni_nie,unknown_key"
+PIPELINE_KEYS = [k.strip() for k in PIPELINE_ENTITIES.split(",") if k.strip()]
+
+
+def _pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return prepare(D.files(spark, sf, id_text=True), anonymize=True, entities=PIPELINE_ENTITIES, compact=True)
+
+
+def _pipeline_sql_ctes() -> str:
+    adm = _admission_sql_ctes().replace(f"f AS ({D.FILES_SQL})", f"f AS ({D.FILES_ID_SQL})")
+    native = "('.txt','.md','.json','.xml','.csv','.html','.htm')"
+    rctes, rlast = S.redact_ctes("r_src", PIPELINE_KEYS, "pr")
+    cctes, cout = S.compact_ctes("c_src", "pc")
+    msgs = (
+        "CASE code "
+        + " ".join(
+            f"WHEN '{k}' THEN {S.sql_str(m)}"
+            for k, m in (
+                ("UNSUPPORTED_FORMAT", C.UNSUPPORTED_MESSAGE),
+                ("FILE_TOO_LARGE", C.TOO_LARGE_MESSAGE),
+                ("TOO_MANY_FILES", C.TOO_MANY_MESSAGE),
+                ("BATCH_TOO_LARGE", C.BATCH_TOO_LARGE_MESSAGE),
+                ("EMPTY_BATCH", C.EMPTY_MESSAGE),
+                ("EXTRACTOR_UNAVAILABLE", C.EXTRACTOR_MESSAGE),
+            )
+        )
+        + " END"
+    )
+    return f"""{adm},
+ex AS (SELECT adm.*,
+         CASE WHEN error_code IS NULL AND lower(ext) IN ('.txt','.md','.json','.xml','.csv') THEN text
+              WHEN error_code IS NULL AND lower(ext) IN ('.html','.htm') THEN {S.html_sql('text')} END AS raw,
+         CASE WHEN error_code IS NULL AND lower(ext) NOT IN {native} THEN 'EXTRACTOR_UNAVAILABLE' ELSE error_code END AS code
+       FROM adm),
+r_src AS (SELECT doc_id AS id, raw AS t FROM ex WHERE code IS NULL),
+{rctes},
+c_src AS (SELECT id, t FROM {rlast}),{cctes},
+pipeline AS (
+  SELECT ex.doc_id, ex.batch_id, ex.ord, ex.safe_name AS original_filename,
+         CASE WHEN ex.code IS NULL THEN ex.format END AS format, ex.ext AS extension,
+         c.out AS markdown_content, CASE WHEN ex.code IS NULL THEN ex.markdown_filename END AS markdown_filename,
+         CASE WHEN ex.code IS NULL THEN true END AS anonymized,
+         CASE WHEN ex.code IS NULL THEN CAST(length(r.t) AS BIGINT) END AS original_chars,
+         CASE WHEN ex.code IS NULL THEN true END AS compacted,
+         CASE WHEN ex.code IS NULL THEN 'success' ELSE 'error' END AS status,
+         ex.code AS error_code, {msgs} AS error, {_status_sql('ex.code')} AS http_status
+  FROM ex LEFT JOIN {rlast} r ON ex.doc_id = r.id LEFT JOIN {cout} c ON ex.doc_id = c.id)"""
+
+
+_PIPE = _pipeline_sql_ctes()
+_RESULT_COLS = "batch_id, ord, original_filename, format, extension, markdown_content, markdown_filename, anonymized, original_chars, compacted, status, error_code, error, http_status"
+
+
+@register("prepare", "PL1 (admission, extraction, redaction, length, compaction; one row per file)", f"WITH {_PIPE}\nSELECT {_RESULT_COLS} FROM pipeline")
+def q_prepare(spark: SparkSession, sf: str) -> DataFrame:
+    return _pipeline(spark, sf)
+
+
+@register(
+    "batch_summary",
+    "A1 over the pipeline",
+    f"""WITH {_PIPE}
+SELECT batch_id, count(*) AS total_files, count_if(status = 'success') AS successful, count_if(status = 'error') AS failed
+FROM pipeline GROUP BY batch_id""",
+)
+def q_batch_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return A.batch_summary(_pipeline(spark, sf))
+
+
+@register(
+    "error_summary",
+    "A2, P10 over the pipeline",
+    f"""WITH {_PIPE}
+SELECT error_code, count(*) AS n_errors, min(http_status) AS http_status FROM pipeline WHERE status = 'error' GROUP BY error_code""",
+)
+def q_error_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return A.error_summary(_pipeline(spark, sf))
+
+
+@register(
+    "order_results",
+    "W1, U1 (listing position: results first, then errors, in input order)",
+    f"""WITH {_PIPE},
+lvl AS (SELECT *, coalesce(error_code IN ('TOO_MANY_FILES', 'BATCH_TOO_LARGE'), false) AS batch_level FROM pipeline)
+SELECT batch_id, ord, status,
+       CASE WHEN batch_level THEN NULL ELSE CAST(row_number() OVER (PARTITION BY batch_id, batch_level
+            ORDER BY CASE WHEN status = 'success' THEN 0 ELSE 1 END, ord) - 1 AS INTEGER) END AS position
+FROM lvl""",
+)
+def q_order_results(spark: SparkSession, sf: str) -> DataFrame:
+    return A.order_results(_pipeline(spark, sf)).select("batch_id", "ord", "status", F.col("position").cast("int").alias("position"))
+
+
+@register(
+    "batch_envelope",
+    "S9 (per batch: results and errors in input order, counts, JSON)",
+    f"""WITH {_PIPE},
+env AS (SELECT batch_id,
+          list(struct_pack(original_filename := original_filename, markdown_filename := markdown_filename, status := status) ORDER BY ord)
+            FILTER (WHERE status = 'success') AS results,
+          list(struct_pack(filename := original_filename, error := error) ORDER BY ord) FILTER (WHERE status = 'error') AS errors,
+          count(*) AS total_files, count_if(status = 'success') AS successful, count_if(status = 'error') AS failed
+        FROM pipeline GROUP BY batch_id)
+SELECT batch_id, total_files, successful, failed,
+       CAST(len(coalesce(results, [])) AS INTEGER) AS n_results, CAST(len(coalesce(errors, [])) AS INTEGER) AS n_errors
+FROM env""",
+)
+def q_batch_envelope(spark: SparkSession, sf: str) -> DataFrame:
+    env = batch_envelope(_pipeline(spark, sf))
+    return env.select(
+        "batch_id",
+        "total_files",
+        "successful",
+        "failed",
+        F.size("results").alias("n_results"),
+        F.size("errors").alias("n_errors"),
+    ).where(F.col("json").isNotNull())
+
+
+# The bundle entry name given to file i is BUNDLE_NAMES[ord % 6].
+BUNDLE_NAMES = ["doc.md", "doc", "doc (2).md", "doc.md", "informe.MD", "../x/doc.md"]
+
+
+@register(
+    "unique_names",
+    "N1, N5, N6 (bundle member names in admitted batches)",
+    None,
+)
+def q_unique_names(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.functions.names import ensure_md, safe_filename
+
+    ok = _pipeline(spark, sf).filter(F.col("status") == "success")
+    named = ok.withColumn(
+        "name",
+        ensure_md(safe_filename(F.element_at(F.array(*[F.lit(n) for n in BUNDLE_NAMES]), (F.col("ord") % len(BUNDLE_NAMES) + 1).cast("int")))),
+    )
+    return unique_names(named.select("batch_id", "ord", "name"), out_col="zip_name")
+
+
+@register(
+    "dedupe_files",
+    "A3 (first file per batch, name and size; contents not compared)",
+    f"""WITH f AS ({D.FILES_SQL}),
+g AS (SELECT doc_id, batch_id, ord, 'f' || CAST(doc_id % 5 AS VARCHAR) || '.md' AS filename, CAST(length(text) % 2 AS BIGINT) AS length FROM f)
+SELECT batch_id, filename, length, arg_min(ord, ord) AS ord, arg_min(doc_id, ord) AS doc_id FROM g GROUP BY batch_id, filename, length""",
+)
+def q_dedupe_files(spark: SparkSession, sf: str) -> DataFrame:
+    f = D.files(spark, sf).select(
+        "doc_id",
+        "batch_id",
+        "ord",
+        F.concat(F.lit("f"), (F.col("doc_id") % 5).cast("string"), F.lit(".md")).alias("filename"),
+        (F.length("text") % 2).cast("long").alias("length"),
+    )
+    return A.dedupe_files(f).select("batch_id", "filename", "length", "ord", "doc_id")
+
+
+@register(
+    "assign_batches",
+    "W4 (batches of at most 50 within each source; every document in exactly one)",
+    "SELECT source, count(*) AS n_docs, true AS within_limit FROM documents GROUP BY source",
+)
+def q_assign_batches(spark: SparkSession, sf: str) -> DataFrame:
+    d = D.table(spark, sf, "documents").select("doc_id", "source")
+    b = A.assign_batches(d, 50, bucket="source")
+    sizes = b.groupBy("source", "batch_id").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("source").agg(F.sum("n").alias("n_docs"), (F.max("n") <= 50).alias("within_limit"))
+
+
+@register(
+    "empty_batches",
+    "P5 (batch ids with no file get one EMPTY_BATCH error)",
+    f"""WITH f AS ({D.FILES_SQL}),
+b AS (SELECT DISTINCT batch_id + 5 AS batch_id FROM f)
+SELECT batch_id, 'EMPTY_BATCH' AS error_code, {S.sql_str(C.EMPTY_MESSAGE)} AS error, 400 AS http_status
+FROM b WHERE batch_id NOT IN (SELECT batch_id FROM f)""",
+)
+def q_empty_batches(spark: SparkSession, sf: str) -> DataFrame:
+    f = D.files(spark, sf)
+    requested = f.select((F.col("batch_id") + 5).alias("batch_id"))
+    return A.empty_batches(requested, f)
