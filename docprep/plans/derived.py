@@ -13,10 +13,16 @@ from pyspark.sql import functions as F
 
 from docprep.functions.pii import DNI_LETTERS
 from docprep.functions.text import sql_str
+from docprep.session import spread
+
+
+# Tables whose rows carry whole texts: worth spreading over all cores.
+TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in TEXT_TABLES else df
 
 
 # --------------------------------------------------------------------------- compaction noise

@@ -9,7 +9,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings this library relies on. AQE coalesces the many small shuffle
 # partitions of the per-batch aggregates and splits skewed ones.
@@ -57,3 +57,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Repartition (round-robin, by row count) only when the scan has fewer
+    partitions than the cluster can run at once.
+
+    A single-row-group file becomes one task; large inputs already have far
+    more splits than cores, so on a cluster this is a no-op and adds no shuffle.
+    Round-robin keeps document-length skew spread evenly.
+    """
+    spark = df.sparkSession
+    target = min_partitions or spark.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < target:
+        return df.repartition(target)
+    return df
