@@ -101,11 +101,15 @@ def file_name_sql(doc_id: str, source: str, lang: str) -> str:
 
 
 def files(spark: SparkSession, sf_dir: str, id_text: bool = False) -> DataFrame:
-    """One file per document: batch_id, ord, filename, length, text.
+    """One file per document: batch_id, ord, filename, length, text."""
+    return files_from_documents(table(spark, sf_dir, "documents"), id_text)
+
+
+def files_from_documents(d: DataFrame, id_text: bool = False) -> DataFrame:
+    """The file view of a documents frame (batch or streaming).
 
     With ``id_text`` the text carries the injected Spanish IDs (the size still
     comes from the original text, so admission is the same)."""
-    d = table(spark, sf_dir, "documents")
     if id_text:
         d = d.withColumn("text_src", F.col("text")).withColumn("text", with_ids(F.col("text"), F.col("doc_id")))
     else:
@@ -122,9 +126,6 @@ def files(spark: SparkSession, sf_dir: str, id_text: bool = False) -> DataFrame:
     )
 
 
-
-
-
 # --------------------------------------------------------------------------- Spanish IDs
 
 CIF_LETTERS = "ABCDEFGHJKLMNPQRSUVW"

@@ -404,3 +404,72 @@ def q_empty_batches(spark: SparkSession, sf: str) -> DataFrame:
     f = D.files(spark, sf)
     requested = f.select((F.col("batch_id") + 5).alias("batch_id"))
     return A.empty_batches(requested, f)
+
+
+# =========================================================================== streaming
+
+
+def _documents_stream(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.streaming.stream import read_stream
+
+    schema = D.table(spark, sf, "documents").schema
+    return read_stream(spark, sf, schema, glob="documents.parquet")
+
+
+def _stream_prepared(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.streaming.stream import prepare_stream, scratch
+
+    out, ck = scratch(spark, "st1-out"), scratch(spark, "st1-ck")
+    q = prepare_stream(
+        _documents_stream(spark, sf), out, ck,
+        to_files=lambda b: D.files_from_documents(b, id_text=True),
+        anonymize=True, entities=PIPELINE_ENTITIES, compact=True,
+    )
+    q.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@register("stream_prepare", "ST1 (the pipeline over a file stream; equals the batch pipeline)", f"WITH {_PIPE}\nSELECT {_RESULT_COLS} FROM pipeline")
+def q_stream_prepare(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.plans.prepare import RESULT_COLUMNS
+
+    return _stream_prepared(spark, sf).select(*RESULT_COLUMNS)
+
+
+@register(
+    "stream_dedupe",
+    "ST2 (first file per batch, name and size within the watermark)",
+    f"""WITH f AS ({D.FILES_SQL})
+SELECT DISTINCT batch_id, 'f' || CAST(doc_id % 5 AS VARCHAR) || '.md' AS filename, CAST(length(text) % 2 AS BIGINT) AS length FROM f""",
+)
+def q_stream_dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.streaming.stream import dedupe_stream, scratch, write_append
+
+    files = D.files_from_documents(_documents_stream(spark, sf)).select(
+        "batch_id",
+        F.concat(F.lit("f"), (F.col("doc_id") % 5).cast("string"), F.lit(".md")).alias("filename"),
+        (F.length("text") % 2).cast("long").alias("length"),
+        F.timestamp_seconds(F.col("batch_id") + 1700000000).alias("arrived"),
+    )
+    out, ck = scratch(spark, "st2-out"), scratch(spark, "st2-ck")
+    write_append(dedupe_stream(files, ["batch_id", "filename", "length"], "arrived", "1 day"), out, ck).awaitTermination()
+    return spark.read.parquet(out).select("batch_id", "filename", "length")
+
+
+@register(
+    "stream_progress",
+    "ST3 (running totals per batch over the streamed pipeline output)",
+    f"""WITH {_PIPE}
+SELECT batch_id, count(*) AS total_files, count_if(status = 'success') AS successful, count_if(status = 'error') AS failed
+FROM pipeline GROUP BY batch_id""",
+)
+def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.streaming.stream import progress_stream, read_stream, scratch, write_complete
+
+    prepared_dir = scratch(spark, "st3-src")
+    _stream_prepared(spark, sf).write.mode("overwrite").parquet(prepared_dir)
+    schema = spark.read.parquet(prepared_dir).schema
+    results = read_stream(spark, prepared_dir, schema)
+    out, ck = scratch(spark, "st3-out"), scratch(spark, "st3-ck")
+    write_complete(progress_stream(results), out, ck).awaitTermination()
+    return spark.read.parquet(out)
