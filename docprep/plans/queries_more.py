@@ -106,10 +106,21 @@ ordered AS (SELECT *, max("end") OVER (PARTITION BY id ORDER BY "start", "end" D
              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach_all FROM sp)"""
 
 
+_SPAN_STRUCT = "STRUCT(entity VARCHAR, st INTEGER, en INTEGER, score DOUBLE, matched VARCHAR)"
+_RESOLVED_ORACLE = f"""WITH s_src AS (SELECT doc_id AS id, text AS t FROM ({D.ID_DOCUMENTS_SQL})),
+sp AS ({_SPANS_SQL}),
+grp AS (SELECT id, list(struct_pack(entity := entity, st := "start", en := "end", score := score, matched := matched)
+          ORDER BY "start", "end" DESC, score DESC, entity) AS ss FROM sp GROUP BY id),
+res AS (SELECT id, list_reduce(ss, lambda acc, x: CASE WHEN x.st >= acc.reach THEN {{'reach': x.en, 'out': list_append(acc.out, x)}} ELSE acc END,
+          {{'reach': 0, 'out': []::{_SPAN_STRUCT}[]}}).out AS kept FROM grp),
+u AS (SELECT id, unnest(kept) AS k FROM res)
+SELECT id AS doc_id, k.entity AS entity, k.st AS "start", k.en AS "end", k.score AS score, k.matched AS matched FROM u"""
+
+
 @register(
     "resolve_overlaps",
     "R3 (a span inside or overlapping an earlier, longer or better one is dropped)",
-    None,
+    _RESOLVED_ORACLE,
 )
 def q_resolve_overlaps(spark: SparkSession, sf: str) -> DataFrame:
     return OP.detect_pii(D.id_documents(spark, sf), "text", ALL_KEYS, resolve=True)
@@ -221,6 +232,10 @@ def q_extraction_routes(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# The bundle entry name given to file i is BUNDLE_NAMES[ord % 6].
+BUNDLE_NAMES = ["doc.md", "doc", "doc (2).md", "doc.md", "informe.MD", "../x/doc.md"]
+
+
 # =========================================================================== the pipeline
 
 PIPELINE_ENTITIES = "email, person,,dni_nie,unknown_key"
@@ -342,14 +357,26 @@ def q_batch_envelope(spark: SparkSession, sf: str) -> DataFrame:
     ).where(F.col("json").isNotNull())
 
 
-# The bundle entry name given to file i is BUNDLE_NAMES[ord % 6].
-BUNDLE_NAMES = ["doc.md", "doc", "doc (2).md", "doc.md", "informe.MD", "../x/doc.md"]
+def _unique_names_oracle() -> str:
+    names = "[" + ", ".join(S.sql_str(n) for n in BUNDLE_NAMES) + f"][ord % {len(BUNDLE_NAMES)} + 1]"
+    return f"""WITH {_PIPE},
+named AS (SELECT batch_id, ord, {S.ensure_md_sql(S.safe_filename_sql(names))} AS name FROM pipeline WHERE status = 'success'),
+u AS (SELECT batch_id, list(ord ORDER BY ord) AS ords, list(name ORDER BY ord) AS names FROM named GROUP BY batch_id),
+r AS (SELECT batch_id, ords, names, list_reduce(names, lambda acc, x: list_append(acc, CASE WHEN NOT list_contains(acc, x) THEN x
+        ELSE list_filter(list_transform(range(2, len(acc) + 3), lambda i: CANDIDATE), lambda c: NOT list_contains(acc, c))[1] END),
+        []::VARCHAR[]) AS uniq FROM u)
+SELECT batch_id, unnest(ords) AS ord, unnest(names) AS name, unnest(uniq) AS zip_name FROM r""".replace("CANDIDATE", CANDIDATE_SQL)
+
+
+CANDIDATE_SQL = """CASE WHEN NOT contains(x, '.') THEN x || ' (' || CAST(i AS VARCHAR) || ')'
+     WHEN regexp_extract(x, '(?s)\\.([^.]*)\\z', 1) = '' THEN regexp_replace(x, '(?s)\\.[^.]*\\z', '') || ' (' || CAST(i AS VARCHAR) || ')'
+     ELSE regexp_replace(x, '(?s)\\.[^.]*\\z', '') || ' (' || CAST(i AS VARCHAR) || ').' || regexp_extract(x, '(?s)\\.([^.]*)\\z', 1) END"""
 
 
 @register(
     "unique_names",
     "N1, N5, N6 (bundle member names in admitted batches)",
-    None,
+    _unique_names_oracle(),
 )
 def q_unique_names(spark: SparkSession, sf: str) -> DataFrame:
     from docprep.functions.names import ensure_md, safe_filename
@@ -473,3 +500,42 @@ def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     out, ck = scratch(spark, "st3-out"), scratch(spark, "st3-ck")
     write_complete(progress_stream(results), out, ck).awaitTermination()
     return spark.read.parquet(out)
+
+
+# =========================================================================== sources and sinks
+
+
+@register("file_listing", "S1, J1 (binaryFile listing of the table files; bytes never read)", None)
+def q_file_listing(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.sources.readers import read_files
+
+    files = read_files(spark, sf, glob="*.parquet", with_content=False)
+    return A.with_format(files).select("filename", "length", "ext", "format", (F.col("length") <= C.MAX_FILE_SIZE).alias("within_size"))
+
+
+@register(
+    "write_markdown",
+    "S7, S10 (successful documents written as compressed parquet partitioned by format, read back)",
+    f"""WITH {_PIPE}
+SELECT batch_id, ord, markdown_filename, markdown_content, format FROM pipeline WHERE status = 'success'""",
+)
+def q_write_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.sources.sinks import write_markdown
+    from docprep.streaming.stream import scratch
+
+    path = scratch(spark, "markdown")
+    write_markdown(_pipeline(spark, sf), path, partition_by="format", compression="zstd")
+    return spark.read.parquet(path).select("batch_id", "ord", "markdown_filename", "markdown_content", "format")
+
+
+@register(
+    "export_bundles",
+    "S8 (one deflate archive per batch of successful documents)",
+    f"""WITH {_PIPE}
+SELECT batch_id, count(*) AS n_files, true AS archive_ok FROM pipeline WHERE status = 'success' GROUP BY batch_id""",
+)
+def q_export_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.sources.sinks import export_bundles
+
+    b = export_bundles(_pipeline(spark, sf))
+    return b.select("batch_id", "n_files", (F.length("archive") > 22).alias("archive_ok"))
