@@ -18,7 +18,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docprep.functions.text import WS, WS_CHARS, let, strip_ws
+from docprep.functions.text import WS, WS_CHARS, exclusive_prefix_sums, let, strip_ws
 from docprep.sources.catalogs import entity_tag, entity_type
 
 # Check letters for DNI/NIE and CIF.
@@ -299,29 +299,27 @@ def find_spans(text: Column, rec: Recognizer) -> Column:
         pieces, whole = a["pieces"], a["whole"]
         lead = a["lead"] if rec.group else None
         value = a["value"] if rec.group else whole
-        init = F.struct(F.lit(0).alias("pos"), F.array().cast(SPAN_TYPE).alias("out"))
-
-        def step(acc: Column, i: Column) -> Column:
-            start = acc["pos"] + F.length(pieces[i]) + (F.length(lead[i]) if lead is not None else F.lit(0))
-            v = value[i]
+        steps = F.zip_with(whole, pieces, lambda w, g: (F.length(g) + F.length(w)).cast("long"))
+
+        def build(offsets: Column) -> Column:
+            def span(i: Column) -> Column:
+                start = offsets[i] + F.length(pieces[i]) + (F.length(lead[i]) if lead is not None else F.lit(0))
+                v = value[i]
+                score = F.lit(VALIDATED_SCORE if rec.validator is not None else rec.score)
+                return F.struct(
+                    F.lit(rec.entity).alias("entity"),
+                    start.cast("int").alias("start"),
+                    (start + F.length(v)).cast("int").alias("end"),
+                    score.cast("double").alias("score"),
+                    v.alias("matched"),
+                )
+
+            out = F.transform(F.sequence(F.lit(0), F.size(whole) - 1), span)
             if rec.validator is not None:
-                keep = rec.validator(v)
-                score = F.lit(VALIDATED_SCORE)
-            else:
-                keep = F.lit(True)
-                score = F.lit(rec.score)
-            span = F.struct(
-                F.lit(rec.entity).alias("entity"),
-                start.cast("int").alias("start"),
-                (start + F.length(v)).cast("int").alias("end"),
-                score.cast("double").alias("score"),
-                v.alias("matched"),
-            )
-            out = F.when(keep, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
-            return F.struct((acc["pos"] + F.length(pieces[i]) + F.length(whole[i])).cast("int").alias("pos"), out.alias("out"))
-
-        folded = F.aggregate(F.sequence(F.lit(0), F.size(whole) - 1), init, step)
-        return F.when(F.size(whole) > 0, folded["out"]).otherwise(F.array().cast(SPAN_TYPE))
+                out = F.filter(out, lambda s: rec.validator(s["matched"]))
+            return out
+
+        return F.when(F.size(whole) > 0, let(exclusive_prefix_sums(steps), build)).otherwise(F.array().cast(SPAN_TYPE))
 
     return F.when(text.rlike(rec.rx), let(text, spans)).otherwise(F.array().cast(SPAN_TYPE))
 

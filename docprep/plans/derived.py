@@ -17,7 +17,7 @@ from docprep.session import spread
 
 
 # Tables whose rows carry whole texts: worth spreading over all cores.
-TEXT_TABLES = ("documents", "pages", "conversations", "benchmark")
+TEXT_TABLES = ("documents", "pages", "conversations")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

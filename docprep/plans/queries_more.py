@@ -539,3 +539,58 @@ def q_export_bundles(spark: SparkSession, sf: str) -> DataFrame:
 
     b = export_bundles(_pipeline(spark, sf))
     return b.select("batch_id", "n_files", (F.length("archive") > 22).alias("archive_ok"))
+
+
+# =========================================================================== free-text entities, catalogue report
+
+GAZ_FIRST_TOKEN_RX = "^[\\p{L}\\p{N}]+"
+
+
+def _gazetteer_terms(spark: SparkSession, sf: str) -> DataFrame:
+    b = D.table(spark, sf, "benchmark")
+    t = b.select(F.regexp_extract("text", GAZ_FIRST_TOKEN_RX, 0).alias("term"))
+    return t.filter(F.length("term") >= 4)
+
+
+def _gazetteer_sql() -> str:
+    from docprep.functions.models import TOKEN_RX
+    from docprep.functions.pii import Recognizer
+
+    tok = S.spans_sql("s_src", [], [Recognizer("location", TOKEN_RX, 0.85, name="token")])
+    return f"""WITH s_src AS (SELECT doc_id AS id, text AS t FROM documents),
+terms AS (SELECT DISTINCT lower(regexp_extract(text, {S.q(GAZ_FIRST_TOKEN_RX)}, 0)) AS k FROM benchmark
+          WHERE length(regexp_extract(text, {S.q(GAZ_FIRST_TOKEN_RX)}, 0)) >= 4)
+SELECT id AS doc_id, entity, "start", "end", score, matched FROM ({tok}) WHERE lower(matched) IN (SELECT k FROM terms)"""
+
+
+@register("gazetteer_locations", "D12 (gazetteer terms from the benchmark table, token join, size-checked broadcast)", _gazetteer_sql())
+def q_gazetteer_locations(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.functions.models import gazetteer_spans
+
+    d = D.table(spark, sf, "documents").select("doc_id", "text")
+    return gazetteer_spans(d, "text", _gazetteer_terms(spark, sf)).select("doc_id", "entity", "start", "end", "score", "matched")
+
+
+_CATALOG_SQL = "(SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{k}', '{e}', {S.sql_str(l)}, '{t}', {str(d).lower()})" for i, (k, e, l, t, d) in enumerate(C.PII_ENTITIES)
+) + ") c(ordinal, key, entity, label, tag, \"default\"))"
+
+
+@register(
+    "entity_report",
+    "S5, A4 (the 12 entity types with span and document counts)",
+    f"""WITH s_src AS (SELECT doc_id AS id, text AS t FROM ({D.ID_DOCUMENTS_SQL})),
+sp AS ({_SPANS_SQL}),
+agg AS (SELECT entity, count(*) AS n_spans, count(DISTINCT id) AS n_docs FROM sp GROUP BY entity)
+SELECT CAST(c.ordinal AS INTEGER) AS ordinal, c.key, c.label, c.tag, c."default", coalesce(a.n_spans, 0) AS n_spans, coalesce(a.n_docs, 0) AS n_docs
+FROM {_CATALOG_SQL} c LEFT JOIN agg a ON c.entity = a.entity""",
+)
+def q_entity_report(spark: SparkSession, sf: str) -> DataFrame:
+    spans = OP.detect_pii(D.id_documents(spark, sf), "text", ALL_KEYS)
+    agg = OP.pii_summary(spans)
+    cat = C.pii_catalog(spark)
+    return cat.join(agg, "entity", "left").select(
+        "ordinal", "key", "label", "tag", "default",
+        F.coalesce("n_spans", F.lit(0)).cast("long").alias("n_spans"),
+        F.coalesce("n_docs", F.lit(0)).cast("long").alias("n_docs"),
+    )

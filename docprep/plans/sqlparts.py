@@ -255,15 +255,15 @@ def redact_ctes(src: str, keys: list[str], prefix: str = "r") -> tuple[str, str]
     return (",\n".join(ctes), prev)
 
 
-def spans_sql(src: str, keys: list[str]) -> str:
+def spans_sql(src: str, keys: list[str], recs: list | None = None) -> str:
     """R2 relationally: one row per span (id, entity, start, end, score, matched).
 
     Each recogniser's matches are numbered; a match starts after all earlier
     gaps and matches of the same recogniser (a window sum), plus its own gap
     and, for the label rule, the label group."""
     selects = []
-    for key in P.known_keys(keys):
-        for rec in P.recognizers(key):
+    pairs = [(r.key, r) for r in recs] if recs is not None else [(k, r) for k in P.known_keys(keys) for r in P.recognizers(k)]
+    for key, rec in pairs:
             rx = q(rec.regex("re2"))
             lead = f"regexp_extract_all(t, {rx}, 1)" if rec.group else "CAST([] AS VARCHAR[])"
             val = f"regexp_extract_all(t, {rx}, {rec.group})"
