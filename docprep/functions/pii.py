@@ -152,6 +152,7 @@ class Recognizer:
     group: int = 0  # 0: the whole match is the span; 2: the label rule's value group
     rx_re2: str | None = None
     name: str = ""
+    needs: str | None = None  # a literal every match contains: texts without it skip the regex
 
     @property
     def tag(self) -> str:
@@ -195,10 +196,12 @@ def register_recognizer(
     group: int = 0,
     rx_re2: str | None = None,
     name: str = "",
+    needs: str | None = None,
 ) -> Recognizer:
     """Add a pattern recogniser for an entity key; it is compiled to native
-    expressions wherever the key is requested."""
-    rec = Recognizer(key, rx, score, validator, group, rx_re2, name or key)
+    expressions wherever the key is requested. ``needs`` is an optional literal
+    that every match contains (a cheap pre-check before the regex)."""
+    rec = Recognizer(key, rx, score, validator, group, rx_re2, name or key, needs)
     _REGISTRY.setdefault(key, []).append(rec)
     if key not in REDACTION_ORDER:
         REDACTION_ORDER.insert(len(REDACTION_ORDER) - 1, key)
@@ -217,7 +220,7 @@ register_recognizer("vehicle_plate", PLATE_RX, 0.4, name="plate")
 register_recognizer("date", DATE_LONG_RX, 0.7, name="date_long")
 register_recognizer("date", DATE_ISO_RX, 0.6, name="date_iso")
 register_recognizer("date", DATE_NUM_RX, 0.6, name="date_numeric")
-register_recognizer("email", EMAIL_RX, 0.5, name="email")
+register_recognizer("email", EMAIL_RX, 0.5, name="email", needs="@")
 register_recognizer("phone", PHONE_RX, 0.4, name="phone")
 register_recognizer("credit_card", CARD_RX, 0.3, valid_luhn, name="credit_card")
 register_recognizer("ip", IPV4_RX, 0.6, name="ipv4")
@@ -230,26 +233,42 @@ register_recognizer(
 
 
 def validated_replace(text: Column, rx: str, valid: Callable[[Column], Column], tag: str) -> Column:
-    """Replace the matches of ``rx`` that pass ``valid`` by ``tag``."""
+    """Replace the matches of ``rx`` that pass ``valid`` by ``tag``.
 
-    def rebuild(t: Column) -> Column:
-        pieces = F.split(t, rx, -1)
-        matches = F.concat(F.regexp_extract_all(t, F.lit(rx), 0), F.array(F.lit("")))
+    The text is scanned once for candidates; only a document with a valid
+    candidate is scanned again (split) and rebuilt.
+    """
+
+    def rebuild(b: Column) -> Column:
+        t, matches = b["t"], b["m"]
         joined = F.array_join(
-            F.zip_with(pieces, matches, lambda g, m: F.concat(g, F.when(m == "", m).when(valid(m), F.lit(tag)).otherwise(m))),
+            F.zip_with(
+                F.split(t, rx, -1),
+                F.concat(matches, F.array(F.lit(""))),
+                lambda g, m: F.concat(g, F.when(m == "", m).when(valid(m), F.lit(tag)).otherwise(m)),
+            ),
             "",
         )
-        return F.when(t.rlike(rx), joined).otherwise(t)
+        return F.when(F.exists(matches, valid), joined).otherwise(t)
+
+    return let(text, lambda t: let(F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(rx), 0).alias("m")), rebuild))
 
-    return let(text, rebuild)
+
+def _guarded(text: Column, needs: str | None, body: Callable[[Column], Column], otherwise: Callable[[Column], Column]) -> Column:
+    """``body(text)`` when the text contains ``needs`` (or always without one)."""
+    if not needs:
+        return body(text)
+    return let(text, lambda t: F.when(F.instr(t, needs) > 0, body(t)).otherwise(otherwise(t)))
 
 
 def apply_recognizer(text: Column, rec: Recognizer) -> Column:
     if rec.group == 2:
-        return F.regexp_replace(text, rec.rx, f"$1{rec.tag}$3")
-    if rec.validator is None:
-        return F.regexp_replace(text, rec.rx, rec.tag)
-    return validated_replace(text, rec.rx, rec.validator, rec.tag)
+        body = lambda t: F.regexp_replace(t, rec.rx, f"$1{rec.tag}$3")
+    elif rec.validator is None:
+        body = lambda t: F.regexp_replace(t, rec.rx, rec.tag)
+    else:
+        body = lambda t: validated_replace(t, rec.rx, rec.validator, rec.tag)
+    return _guarded(text, rec.needs, body, lambda t: t)
 
 
 def known_keys(keys: list[str] | None) -> list[str]:
@@ -282,18 +301,24 @@ SPAN_TYPE = "array<struct<entity:string,start:int,end:int,score:double,matched:s
 
 def find_spans(text: Column, rec: Recognizer) -> Column:
     """R2 for one recogniser: array of (entity, start, end, score, matched) with
-    half-open code-point offsets; invalid matches are dropped."""
+    half-open code-point offsets; invalid matches are dropped.
+
+    The text is scanned once (``regexp_extract_all``); only documents with a
+    match are scanned again to cut the gaps between matches (``split``), which
+    give the offsets.
+    """
 
-    def spans(t: Column) -> Column:
+    def spans(b: Column) -> Column:
+        t, whole = b["t"], b["whole"]
         # Bind every array once: inside the fold's lambda they are variables,
         # not expressions re-evaluated per element.
         arrays = F.struct(
             F.split(t, rec.rx, -1).alias("pieces"),
-            F.regexp_extract_all(t, F.lit(rec.rx), 0).alias("whole"),
+            whole.alias("whole"),
             (F.regexp_extract_all(t, F.lit(rec.rx), 1) if rec.group else F.array().cast("array<string>")).alias("lead"),
             (F.regexp_extract_all(t, F.lit(rec.rx), rec.group) if rec.group else F.array().cast("array<string>")).alias("value"),
         )
-        return let(arrays, fold)
+        return F.when(F.size(whole) > 0, let(arrays, fold)).otherwise(F.array().cast(SPAN_TYPE))
 
     def fold(a: Column) -> Column:
         pieces, whole = a["pieces"], a["whole"]
@@ -319,9 +344,23 @@ def find_spans(text: Column, rec: Recognizer) -> Column:
                 out = F.filter(out, lambda s: rec.validator(s["matched"]))
             return out
 
-        return F.when(F.size(whole) > 0, let(exclusive_prefix_sums(steps), build)).otherwise(F.array().cast(SPAN_TYPE))
-
-    return F.when(text.rlike(rec.rx), let(text, spans)).otherwise(F.array().cast(SPAN_TYPE))
+        return let(exclusive_prefix_sums(steps), build)
+
+    def scan(t: Column) -> Column:
+        found = F.struct(t.alias("t"), F.regexp_extract_all(t, F.lit(rec.rx), 0).alias("whole"))
+        if rec.validator is not None:
+            # candidates that all fail the check need no offsets
+            found = let(
+                found,
+                lambda b: F.struct(
+                    b["t"].alias("t"),
+                    F.when(F.exists(b["whole"], rec.validator), b["whole"]).otherwise(F.array().cast("array<string>")).alias("whole"),
+                ),
+            )
+        return let(found, spans)
+
+    empty = F.array().cast(SPAN_TYPE)
+    return F.coalesce(_guarded(text, rec.needs, lambda t: let(t, scan), lambda t: empty), empty)
 
 
 def detect_spans(text: Column | str, keys: list[str] | None) -> Column:
