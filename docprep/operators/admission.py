@@ -1,9 +1,11 @@
 """Admission of files into batches: formats, sizes, batch limits, error codes.
 
 Input rows are files: ``batch_id, ord, filename, length`` (+ text or content).
-Batch-level limits are computed with a ``groupBy`` (partial aggregation, so a
-batch holding a third of all rows is still combined map-side) and joined back;
-no window runs over a whole batch. The 25-row format catalogue is broadcast.
+Batch-level limits are computed with a ``groupBy`` over the narrow (batch, size)
+columns (partial aggregation, so a batch holding a third of all rows is still
+combined map-side); only the rejected batches are joined back, broadcast after
+a size check. No window runs over a whole batch. The 25-row format catalogue
+is broadcast.
 """
 
 from __future__ import annotations
@@ -75,6 +77,27 @@ def batch_stats(df: DataFrame, batch_col: str = "batch_id", size_col: str = "len
     )
 
 
+# Largest set of rejected batches that is broadcast to the files; beyond it
+# the (still narrow) rejected set is joined with a shuffle.
+MAX_BROADCAST_BATCHES = 500_000
+
+
+def rejected_batches(
+    df: DataFrame,
+    batch_col: str = "batch_id",
+    size_col: str = "length",
+    max_files: int = C.MAX_FILES_PER_BATCH,
+    max_batch_bytes: int = C.MAX_BATCH_BYTES,
+) -> DataFrame:
+    """``(batch, batch_code)`` for every batch over a limit (too many
+    files first, then too many known bytes; unknown sizes pass)."""
+    code = F.when(F.col("batch_files") > max_files, F.lit("TOO_MANY_FILES")).when(
+        F.coalesce(F.col("batch_bytes") > max_batch_bytes, F.lit(False)), F.lit("BATCH_TOO_LARGE")
+    )
+    stats = batch_stats(df.select(batch_col, size_col), batch_col, size_col)
+    return stats.select(batch_col, code.alias("__batch_code")).filter(F.col("__batch_code").isNotNull())
+
+
 def admit(
     df: DataFrame,
     batch_col: str = "batch_id",
@@ -82,24 +105,32 @@ def admit(
     max_files: int = C.MAX_FILES_PER_BATCH,
     max_file_size: int = C.MAX_FILE_SIZE,
     max_batch_bytes: int = C.MAX_BATCH_BYTES,
+    max_broadcast_batches: int = MAX_BROADCAST_BATCHES,
 ) -> DataFrame:
     """Add ``error_code``/``error``/``http_status`` for the first failed check.
 
     Order: too many files in the batch, batch too large, unsupported format,
     file too large. A batch over a limit is rejected whole, never truncated.
     Expects ``ext``/``format`` (``with_names`` + ``with_format``).
+
+    Only the batches over a limit are joined back to the files. Their number is
+    counted first (a job over the narrow ``(batch, size)`` columns); when it is
+    within ``max_broadcast_batches`` they are broadcast, so the files (and
+    their text) are never shuffled. Otherwise the join shuffles; AQE splits a
+    hot batch on the file side.
     """
-    stats = batch_stats(df, batch_col, size_col)
-    joined = df.join(stats, batch_col, "left")
+    over = rejected_batches(df, batch_col, size_col, max_files, max_batch_bytes)
+    if over.count() <= max_broadcast_batches:  # the size check behind the broadcast
+        over = F.broadcast(over)
+    joined = df.join(over, batch_col, "left")
     code = (
-        F.when(F.col("batch_files") > max_files, F.lit("TOO_MANY_FILES"))
-        .when(F.coalesce(F.col("batch_bytes") > max_batch_bytes, F.lit(False)), F.lit("BATCH_TOO_LARGE"))
+        F.when(F.col("__batch_code").isNotNull(), F.col("__batch_code"))
         .when(F.col("format") == "Unknown", F.lit("UNSUPPORTED_FORMAT"))
         .when(F.coalesce(F.col(size_col) > max_file_size, F.lit(False)), F.lit("FILE_TOO_LARGE"))
     )
     return joined.withColumn("error_code", code).withColumns(
         {"error": error_message(F.col("error_code")), "http_status": http_status(F.col("error_code"))}
-    ).drop("batch_files", "batch_bytes")
+    ).drop("__batch_code")
 
 
 def error_message(code: Column) -> Column:

@@ -333,16 +333,18 @@ def q_order_results(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "batch_envelope",
-    "S9 (per batch: results and errors in input order, counts, JSON)",
+    "S9 (per batch: results and errors in input order, counts, JSON; a batch rejected whole has only its error)",
     f"""WITH {_PIPE},
+lvl AS (SELECT *, coalesce(error_code IN ('TOO_MANY_FILES', 'BATCH_TOO_LARGE'), false) AS batch_level FROM pipeline),
 env AS (SELECT batch_id,
           list(struct_pack(original_filename := original_filename, markdown_filename := markdown_filename, status := status) ORDER BY ord)
-            FILTER (WHERE status = 'success') AS results,
-          list(struct_pack(filename := original_filename, error := error) ORDER BY ord) FILTER (WHERE status = 'error') AS errors,
-          count(*) AS total_files, count_if(status = 'success') AS successful, count_if(status = 'error') AS failed
-        FROM pipeline GROUP BY batch_id)
+            FILTER (WHERE status = 'success' AND NOT batch_level) AS results,
+          list(struct_pack(filename := original_filename, error := error) ORDER BY ord) FILTER (WHERE status = 'error' AND NOT batch_level) AS errors,
+          count(*) AS total_files, count_if(status = 'success') AS successful, count_if(status = 'error') AS failed,
+          max(error) FILTER (WHERE batch_level) AS batch_error
+        FROM lvl GROUP BY batch_id)
 SELECT batch_id, total_files, successful, failed,
-       CAST(len(coalesce(results, [])) AS INTEGER) AS n_results, CAST(len(coalesce(errors, [])) AS INTEGER) AS n_errors
+       CAST(len(coalesce(results, [])) AS INTEGER) AS n_results, CAST(len(coalesce(errors, [])) AS INTEGER) AS n_errors, batch_error
 FROM env""",
 )
 def q_batch_envelope(spark: SparkSession, sf: str) -> DataFrame:
@@ -352,8 +354,9 @@ def q_batch_envelope(spark: SparkSession, sf: str) -> DataFrame:
         "total_files",
         "successful",
         "failed",
-        F.size("results").alias("n_results"),
-        F.size("errors").alias("n_errors"),
+        F.when(F.col("results").isNull(), 0).otherwise(F.size("results")).alias("n_results"),
+        F.when(F.col("errors").isNull(), 0).otherwise(F.size("errors")).alias("n_errors"),
+        "batch_error",
     ).where(F.col("json").isNotNull())
 
 

@@ -70,14 +70,28 @@ def export_bundles(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     )
 
 
+# Error codes that reject a whole batch (the request-level errors).
+BATCH_LEVEL_CODES = ("TOO_MANY_FILES", "BATCH_TOO_LARGE")
+
+
 def batch_envelope(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    """Per batch the results and errors (input order), counts and the JSON text."""
+    """Per batch the results and errors (input order), counts and the JSON text.
+
+    A batch rejected whole (too many files or bytes) has no envelope lists,
+    like a request-level error: ``results``/``errors`` are NULL, ``batch_error``
+    holds the message and the JSON is ``{"detail": ...}``. Lists are therefore
+    only built for admitted batches, which admission bounds to 50 rows; a
+    rejected batch of any size is reduced to counts by partial aggregation
+    (``collect_list`` skips the NULLs it is given for such rows).
+    """
+    batch_level = F.coalesce(F.col("error_code").isin(*BATCH_LEVEL_CODES), F.lit(False))
     result = F.struct(*[F.col(c) for c in RESULT_FIELDS])
     error = F.struct(F.col("original_filename").alias("filename"), F.col("error"))
     staged = df.select(
         batch_col,
-        F.when(F.col("status") == "success", F.struct(F.col("ord"), result.alias("r"))).alias("res"),
-        F.when(F.col("status") == "error", F.struct(F.col("ord"), error.alias("e"))).alias("err"),
+        F.when((F.col("status") == "success") & ~batch_level, F.struct(F.col("ord"), result.alias("r"))).alias("res"),
+        F.when((F.col("status") == "error") & ~batch_level, F.struct(F.col("ord"), error.alias("e"))).alias("err"),
+        F.when(batch_level, F.col("error")).alias("batch_err"),
         F.col("status"),
     )
     agg = staged.groupBy(batch_col).agg(
@@ -86,13 +100,17 @@ def batch_envelope(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
         F.count(F.lit(1)).alias("total_files"),
         F.count_if(F.col("status") == "success").alias("successful"),
         F.count_if(F.col("status") == "error").alias("failed"),
+        F.max("batch_err").alias("batch_error"),
     )
+    admitted = F.col("batch_error").isNull()
     out = agg.select(
         batch_col,
-        F.transform("res", lambda x: x["r"]).alias("results"),
-        F.transform("err", lambda x: x["e"]).alias("errors"),
+        F.when(admitted, F.transform("res", lambda x: x["r"])).alias("results"),
+        F.when(admitted, F.transform("err", lambda x: x["e"])).alias("errors"),
         "total_files",
         "successful",
         "failed",
+        "batch_error",
     )
-    return out.withColumn("json", F.to_json(F.struct("results", "errors", "total_files", "successful", "failed")))
+    body = F.to_json(F.struct("results", "errors", "total_files", "successful", "failed"))
+    return out.withColumn("json", F.when(admitted, body).otherwise(F.to_json(F.struct(F.col("batch_error").alias("detail")))))

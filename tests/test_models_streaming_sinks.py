@@ -90,6 +90,20 @@ def test_bundles_and_envelope(spark):
     env = batch_envelope(out).collect()[0]
     assert (env.total_files, env.successful, env.failed) == (4, 3, 1)
     assert '"total_files":4' in env.json
+    assert env.batch_error is None and len(env.results) == 3 and len(env.errors) == 1
+
+
+def test_envelope_of_rejected_batch_has_no_lists(spark):
+    # batch 2 has 51 files: rejected whole, like the request-level error
+    rows = [(1, 0, "a.txt", 1, "a")] + [(2, i, f"f{i}.txt", 1, "x") for i in range(51)]
+    df = spark.createDataFrame(rows, "batch_id long, ord int, filename string, length long, text string")
+    env = {r.batch_id: r for r in batch_envelope(prepare(df)).collect()}
+    assert env[1].batch_error is None and len(env[1].results) == 1
+    rej = env[2]
+    assert (rej.total_files, rej.successful, rej.failed) == (51, 0, 51)
+    assert rej.results is None and rej.errors is None
+    assert rej.batch_error == "Too many files (max 50)"
+    assert rej.json == '{"detail":"Too many files (max 50)"}'
 
 
 def test_streaming_equals_batch(spark):

@@ -67,6 +67,16 @@ def test_admission_codes(spark):
     assert all(codes[(3, i)] == "TOO_MANY_FILES" for i in range(51))
 
 
+def test_admission_broadcast_and_shuffle_paths_agree(spark):
+    named = A.with_format(A.with_names(_files(spark)))
+    small = A.admit(named)  # rejected set broadcast
+    plan = small._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan  # the files are not shuffled by batch
+    big = A.admit(named, max_broadcast_batches=0)  # bound exceeded: shuffle join
+    cols = ["batch_id", "ord", "error_code", "error", "http_status"]
+    assert sorted(small.select(cols).collect()) == sorted(big.select(cols).collect())
+
+
 def test_pipeline_summary_and_order(spark):
     from docprep.plans.prepare import prepare
 
