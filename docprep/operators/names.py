@@ -3,13 +3,12 @@
 In input order, the first taker keeps a name; later ones get `` (2)``,
 `` (3)``... before the last extension, skipping any name already taken
 (including a literal ``doc (2).md`` seen earlier). The fold runs over the
-(ord, name) pairs of one batch, which admission bounds to 50 files; only
-those two columns are gathered, and the result is joined back on (batch, ord).
+names of one batch in input order, which admission bounds to 50 files.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docprep.functions.text import let
@@ -41,17 +40,13 @@ def unique_in_order(names: Column) -> Column:
 
 
 def unique_names(df: DataFrame, batch_col: str = "batch_id", ord_col: str = "ord", name_col: str = "name", out_col: str = "unique_name") -> DataFrame:
-    """N6 as a table operator: adds ``out_col`` to every row of ``df``."""
-    pairs = df.select(batch_col, F.struct(F.col(ord_col).alias("o"), F.col(name_col).alias("n")).alias("p"))
-    per_batch = pairs.groupBy(batch_col).agg(F.array_sort(F.collect_list("p")).alias("ps"))
-    folded = per_batch.select(
-        batch_col,
-        F.arrays_zip(
-            F.transform(F.col("ps"), lambda p: p["o"]).alias("o"),
-            unique_in_order(F.transform(F.col("ps"), lambda p: p["n"])).alias("u"),
-        ).alias("z"),
-    )
-    names = folded.select(batch_col, F.explode("z").alias("z")).select(
-        batch_col, F.col("z.o").alias(ord_col), F.col("z.u").alias(out_col)
-    )
-    return df.join(names, [batch_col, ord_col], "left")
+    """N6 as a table operator: adds ``out_col`` to every row of ``df``.
+
+    One window over the batch in input order: each row folds the names up to
+    itself and keeps the last one. The rows are exchanged once, by batch, so a
+    following per-batch step (bundles) reuses that partitioning. Batches must
+    be admitted ones (at most 50 rows): the fold is sequential by nature.
+    """
+    w = Window.partitionBy(batch_col).orderBy(ord_col, name_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    prefix = F.collect_list(F.struct(F.col(name_col).alias("n"))).over(w)
+    return df.withColumn(out_col, F.element_at(unique_in_order(F.transform(prefix, lambda p: p["n"])), -1))
