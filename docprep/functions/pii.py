@@ -42,6 +42,16 @@ PHONE_RX = "(?:\\+[0-9]{1,3}[ .-]?|\\b)(?:\\([0-9]{3}\\)|[0-9]{3})[ .-]?[0-9]{3}
 CARD_RX = "\\b[0-9](?:[ -]?[0-9]){12,18}\\b"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
 IPV4_RX = f"\\b{_OCTET}(?:\\.{_OCTET}){{3}}\\b"
+# IPv6: the full form and the '::'-compressed forms that end in a group
+# (a trailing or lone '::' is not taken: it is what 'std::vector' contains).
+# Alternatives are tried in order: for a given number of groups before '::'
+# the first one that fits also allows the most groups after it.
+_H = "[0-9A-Fa-f]{1,4}"
+IPV6_RX = "(?:" + "|".join(
+    [f"\\b(?:{_H}:){{7}}{_H}", f"\\b{_H}:(?::{_H}){{1,6}}"]
+    + [f"\\b(?:{_H}:){{1,{a}}}(?::{_H}){{1,{7 - a}}}" for a in range(2, 7)]
+    + [f"::{_H}(?::{_H}){{0,6}}"]
+) + ")\\b"
 # Label rule: group 1 = label and colon, group 2 = the name, group 3 = trailing space.
 # Java needs (?d) so that only '\n' ends a line; RE2 knows no other terminator.
 PERSON_LABEL_BODY = (
@@ -224,6 +234,7 @@ register_recognizer("email", EMAIL_RX, 0.5, name="email", needs="@")
 register_recognizer("phone", PHONE_RX, 0.4, name="phone")
 register_recognizer("credit_card", CARD_RX, 0.3, valid_luhn, name="credit_card")
 register_recognizer("ip", IPV4_RX, 0.6, name="ipv4")
+register_recognizer("ip", IPV6_RX, 0.6, name="ipv6", needs=":")
 register_recognizer(
     "person", person_label_rx("java"), 0.95, group=2, rx_re2=person_label_rx("re2"), name="person_label"
 )

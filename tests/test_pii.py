@@ -51,6 +51,17 @@ def test_redaction_cases(spark):
     assert red(spark, "Empresa con CIF A58818501 en nómina", ["company_id"]) == "Empresa con CIF [CIF] en nómina"
 
 
+def test_ip_v4_and_v6(spark):
+    t = "hosts 10.0.0.1, 2001:db8::1 y fe80::1ff:fe23:4567:890a%eth0; std::vector a las 12:30:45"
+    assert red(spark, t, ["ip"]) == "hosts [IP], [IP] y [IP]%eth0; std::vector a las 12:30:45"
+    full = "gw 2001:0db8:85a3:0000:0000:8a2e:0370:7334."
+    assert red(spark, full, ["ip"]) == "gw [IP]."
+    df = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    spans = OP.detect_pii(df, "text", ["ip"]).collect()
+    assert sorted(s.matched for s in spans) == ["10.0.0.1", "2001:db8::1", "fe80::1ff:fe23:4567:890a"]
+    assert all(t[s.start:s.end] == s.matched for s in spans)
+
+
 def test_label_quirks(spark):
     # a name in a table cell followed by '|' is not found; an empty value swallows the next line
     assert red(spark, "| Nombre: Ana | x |", ["person"]) == "| Nombre: Ana | x |"
