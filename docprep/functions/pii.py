@@ -45,13 +45,17 @@ IPV4_RX = f"\\b{_OCTET}(?:\\.{_OCTET}){{3}}\\b"
 # IPv6: the full form and the '::'-compressed forms that end in a group
 # (a trailing or lone '::' is not taken: it is what 'std::vector' contains).
 # Alternatives are tried in order: for a given number of groups before '::'
-# the first one that fits also allows the most groups after it.
+# the first one that fits also allows the most groups after it. The first
+# group is shared by all but the last alternative, so it is matched once.
 _H = "[0-9A-Fa-f]{1,4}"
-IPV6_RX = "(?:" + "|".join(
-    [f"\\b(?:{_H}:){{7}}{_H}", f"\\b{_H}:(?::{_H}){{1,6}}"]
-    + [f"\\b(?:{_H}:){{1,{a}}}(?::{_H}){{1,{7 - a}}}" for a in range(2, 7)]
-    + [f"::{_H}(?::{_H}){{0,6}}"]
-) + ")\\b"
+IPV6_RX = (
+    f"(?:\\b{_H}:(?:"
+    + "|".join(
+        [f"(?:{_H}:){{6}}{_H}", f"(?::{_H}){{1,6}}"]
+        + [f"(?:{_H}:){{0,{a - 1}}}(?::{_H}){{1,{7 - a}}}" for a in range(2, 7)]
+    )
+    + f")|::{_H}(?::{_H}){{0,6}})\\b"
+)
 # Label rule: group 1 = label and colon, group 2 = the name, group 3 = trailing space.
 # Java needs (?d) so that only '\n' ends a line; RE2 knows no other terminator.
 PERSON_LABEL_BODY = (
