@@ -90,6 +90,19 @@ def test_redact_resolved_equals_sequential_without_partial_overlaps(spark):
     assert a == b
 
 
+def test_redact_spans_cuts_by_code_points(spark):
+    text = "😀😀 ana@example.com ñ 10.0.0.1 😀 fin 2001:db8::1"
+    df = spark.createDataFrame([(text,)], "t string")
+    sp = P.resolve_overlaps(P.detect_spans(F.col("t"), ["email", "ip"]))
+    want = "😀😀 [EMAIL] ñ [IP] 😀 fin [IP]"
+    for chunk in (1, 2, 5, 1024):
+        assert df.select(P.redact_spans(F.col("t"), sp, chunk=chunk)).first()[0] == want
+    # overlap resolution gives the same spans whatever the block size
+    a = df.select(P.resolve_overlaps(P.detect_spans(F.col("t"), ALL), block=2)).first()[0]
+    b = df.select(P.resolve_overlaps(P.detect_spans(F.col("t"), ALL))).first()[0]
+    assert a == b
+
+
 def test_entity_parameters(spark):
     parsed = one(spark, OP.parse_entities, "email,person, dni_nie", None, " , ,")
     assert parsed == [["email", "person", "dni_nie"], [], []]
