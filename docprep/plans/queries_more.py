@@ -205,7 +205,8 @@ FROM nation n JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY r.r_region
 def q_table_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     n = D.table(spark, sf, "nation")
     r = D.table(spark, sf, "region")
-    j = n.join(F.broadcast(r), n.n_regionkey == r.r_regionkey)
+    # no hint: Spark broadcasts the side whose measured size is under its threshold
+    j = n.join(r, n.n_regionkey == r.r_regionkey)
     return table_to_markdown(j, ["r_regionkey", "r_name"], ["n_nationkey"], ["n_nationkey", "n_name"])
 
 
