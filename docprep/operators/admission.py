@@ -152,8 +152,11 @@ def http_status(code: Column) -> Column:
 
 
 def empty_batches(batches: DataFrame, files: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    """P5: one EMPTY_BATCH error row per batch id that has no file."""
-    missing = batches.select(batch_col).distinct().join(files.select(batch_col), batch_col, "left_anti")
+    """P5: one EMPTY_BATCH error row per batch id that has no file.
+
+    Both sides are reduced to distinct ids first (map-side partial
+    aggregation), so a batch with many files is one row in the anti join."""
+    missing = batches.select(batch_col).distinct().join(files.select(batch_col).distinct(), batch_col, "left_anti")
     return missing.withColumns(
         {"error_code": F.lit("EMPTY_BATCH"), "error": F.lit(C.EMPTY_MESSAGE), "http_status": F.lit(400)}
     )
