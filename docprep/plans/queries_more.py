@@ -495,15 +495,15 @@ SELECT batch_id, count(*) AS total_files, count_if(status = 'success') AS succes
 FROM pipeline GROUP BY batch_id""",
 )
 def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
-    from docprep.streaming.stream import progress_stream, read_stream, scratch, write_complete
+    from docprep.streaming.stream import latest_rows, progress_stream, read_stream, scratch, write_updates
 
     prepared_dir = scratch(spark, "st3-src")
     _stream_prepared(spark, sf).write.mode("overwrite").parquet(prepared_dir)
     schema = spark.read.parquet(prepared_dir).schema
     results = read_stream(spark, prepared_dir, schema)
     out, ck = scratch(spark, "st3-out"), scratch(spark, "st3-ck")
-    write_complete(progress_stream(results), out, ck).awaitTermination()
-    return spark.read.parquet(out)
+    write_updates(progress_stream(results), out, ck).awaitTermination()
+    return latest_rows(spark.read.parquet(out), ["batch_id"])
 
 
 # =========================================================================== sources and sinks

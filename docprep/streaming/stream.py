@@ -6,7 +6,8 @@
   (an overwrite of that epoch's folder: a retried epoch replaces its output).
 * ST2 ``dedupe_stream``: first file per key within the watermark.
 * ST3 ``progress_stream``: running done/ok/failed per batch, a stateful
-  streaming aggregate (state in the checkpoint).
+  streaming aggregate (state in the checkpoint), written in update mode
+  (``write_updates``): each epoch adds only the batches it changed.
 
 All checkpoints and outputs live under the shared folder named by
 ``spark.checkpoint.dir`` (``docprep.session.checkpoint_dir``).
@@ -87,6 +88,27 @@ def write_complete(agg: DataFrame, out_dir: str, checkpoint: str):
     )
 
 
+def write_updates(agg: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
+    """Materialise a streaming aggregate in update mode: each epoch writes only
+    the groups it changed, under ``epoch=<id>`` (overwritten when an epoch is
+    retried). Output per trigger grows with the changes, not with every group
+    ever seen; ``latest_rows`` gives the current table."""
+
+    def each(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+
+    writer = agg.writeStream.outputMode("update").foreachBatch(each).option("checkpointLocation", checkpoint)
+    writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
+    return writer.start()
+
+
+def latest_rows(df: DataFrame, key_cols: list[str], epoch_col: str = "epoch") -> DataFrame:
+    """The last written row of each group (``max_by`` over the epoch, combined map-side)."""
+    cols = [c for c in df.columns if c not in key_cols and c != epoch_col]
+    picked = df.groupBy(*key_cols).agg(F.max_by(F.struct(*cols), F.col(epoch_col)).alias("__last"))
+    return picked.select(*key_cols, "__last.*")
+
+
 def write_append(stream: DataFrame, out_dir: str, checkpoint: str):
     return (
         stream.writeStream.format("parquet")

@@ -112,3 +112,23 @@ def test_streaming_equals_batch(spark):
     stream = {tuple(r) for r in E.queries()["stream_prepare"](spark, SF).collect()}
     batch = {tuple(r) for r in E.queries()["prepare"](spark, SF).collect()}
     assert stream == batch
+
+
+def test_progress_updates_over_several_epochs(spark):
+    from docprep.operators.admission import batch_summary
+    from docprep.streaming.stream import latest_rows, progress_stream, read_stream, scratch, write_updates
+
+    rows = [(b, s) for b in (1, 2) for s in ("success", "error", "success")] + [(3, "error")]
+    df = spark.createDataFrame(rows, "batch_id long, status string")
+    src = scratch(spark, "t-progress-src")
+    for i in range(3):  # three files: one per trigger
+        df.filter(F.col("batch_id") % 3 == i).coalesce(1).write.mode("append").parquet(src)
+        df.coalesce(1).write.mode("append").parquet(src)
+    stream = read_stream(spark, src, df.schema, max_files=1)
+    out, ck = scratch(spark, "t-progress-out"), scratch(spark, "t-progress-ck")
+    write_updates(progress_stream(stream), out, ck).awaitTermination()
+    written = spark.read.parquet(out)
+    assert written.select("epoch").distinct().count() > 1
+    got = {tuple(r) for r in latest_rows(written, ["batch_id"]).select("batch_id", "total_files", "successful", "failed").collect()}
+    want = {tuple(r) for r in batch_summary(spark.read.parquet(src)).select("batch_id", "total_files", "successful", "failed").collect()}
+    assert got == want
