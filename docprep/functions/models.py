@@ -21,8 +21,10 @@ from docprep.functions.pii import Recognizer, find_spans
 
 TOKEN_RX = "[\\p{L}\\p{N}]+"
 MODEL_SPAN_TYPE = "array<struct<start:int,end:int,score:double>>"
-# Largest gazetteer (rows) that is broadcast; beyond it the join shuffles.
+# Largest gazetteer that is broadcast (distinct terms and their total UTF-8
+# bytes); beyond either bound the join shuffles on the lower-cased token.
 MAX_BROADCAST_TERMS = 2_000_000
+MAX_BROADCAST_TERM_BYTES = 64 * 1024 * 1024
 
 _MODELS: dict[str, Callable[[], Callable[[str], list[tuple[int, int, float]]]]] = {}
 
@@ -40,13 +42,15 @@ def gazetteer_spans(
     entity_key: str = "location",
     id_cols: tuple[str, ...] = ("doc_id",),
     max_broadcast_terms: int = MAX_BROADCAST_TERMS,
+    max_broadcast_bytes: int = MAX_BROADCAST_TERM_BYTES,
 ) -> DataFrame:
     """Spans of tokens that are gazetteer terms (case-insensitive, single tokens)."""
     toks = df.select(*id_cols, F.explode(tokens(F.col(text_col), entity_key)).alias("t")).select(*id_cols, "t.*")
     toks = toks.withColumn("__key", F.lower("matched"))
     terms = gazetteer.select(F.lower(F.col(term_col)).alias("__key")).distinct()
-    n_terms = terms.count()  # the size check behind the broadcast decision
-    if n_terms <= max_broadcast_terms:
+    # the size check behind the broadcast decision: rows and bytes, one job
+    size = terms.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__key")), F.lit(0)).alias("b")).first()
+    if size["n"] <= max_broadcast_terms and size["b"] <= max_broadcast_bytes:
         terms = F.broadcast(terms)
     return toks.join(terms, "__key", "left_semi").drop("__key")
 

@@ -34,6 +34,9 @@ def test_gazetteer(spark):
     gaz = spark.createDataFrame([("Sevilla",), ("Madrid",)], "term string")
     rows = M.gazetteer_spans(df, "text", gaz).orderBy("start").collect()
     assert [(r.start, r.end, r.matched) for r in rows] == [(8, 15, "Sevilla"), (26, 33, "sevilla")]
+    # over the byte bound the gazetteer is not broadcast: same spans through a shuffle join
+    shuffled = M.gazetteer_spans(df, "text", gaz, max_broadcast_bytes=0)
+    assert [(r.start, r.end, r.matched) for r in shuffled.orderBy("start").collect()] == [(8, 15, "Sevilla"), (26, 33, "sevilla")]
 
 
 def _files(spark):
