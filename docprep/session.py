@@ -19,6 +19,8 @@ _DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a bundle group may hold 50 files of 50 MB: 64-bit Arrow offsets for strings and binaries
+    "spark.sql.execution.arrow.useLargeVarTypes": "true",
     # streaming state (dedupe keys, per-batch progress) kept in RocksDB, not on the heap
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.ui.enabled": "false",
