@@ -1,7 +1,8 @@
 """Session helpers.
 
 On a cluster the session comes from the platform; ``get_spark`` only fills in
-settings that are still unset, so cluster-level configuration always wins.
+SQL settings that the cluster's configuration leaves unset, so cluster-level
+configuration always wins.
 """
 
 from __future__ import annotations
@@ -11,9 +12,10 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Settings this library relies on. AQE coalesces the many small shuffle
-# partitions of the per-batch aggregates and splits skewed ones.
-_DEFAULTS = {
+# SQL settings this library relies on, applied only where the cluster's own
+# configuration (spark-defaults, --conf) gives no value. AQE coalesces the many
+# small shuffle partitions of the per-batch aggregates and splits skewed ones.
+_SQL_DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -23,24 +25,39 @@ _DEFAULTS = {
     "spark.sql.execution.arrow.useLargeVarTypes": "true",
     # streaming state (dedupe keys, per-batch progress) kept in RocksDB, not on the heap
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+}
+# Settings fixed when a local session is started (tests, bench): no web UI.
+_LOCAL_STARTUP = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
 
 
+def apply_defaults(spark: SparkSession) -> SparkSession:
+    """Set each library default that the session leaves unset (neither in its
+    startup configuration nor set at runtime: ``get(key, None)`` is then None)."""
+    for key, value in _SQL_DEFAULTS.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+    return spark
+
+
 def get_spark(master: str | None = None, app_name: str = "docprep", **conf: str) -> SparkSession:
-    """Return the active session, or build a local one (tests, bench)."""
+    """Return the active session (defaults filled in where unset), or build a
+    local one (tests, bench); ``conf`` is applied as given."""
     active = SparkSession.getActiveSession()
     if active is not None:
-        return active
+        return apply_defaults(active)
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    for key, value in {**_DEFAULTS, **conf}.items():
+        for key, value in _LOCAL_STARTUP.items():
+            builder = builder.config(key, value)
+    for key, value in conf.items():
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return apply_defaults(spark)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
