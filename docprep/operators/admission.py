@@ -190,10 +190,14 @@ def order_results(df: DataFrame, batch_col: str = "batch_id", ord_col: str = "or
 def assign_batches(df: DataFrame, size: int = C.MAX_FILES_PER_BATCH, bucket: str | None = None) -> DataFrame:
     """Split a corpus into batches of at most ``size`` rows (P3 then holds).
 
-    Without a bucket the batch id comes from the row's position inside its
-    input partition (a projection, no shuffle). With a bucket the rows are
-    numbered per (bucket, input partition): a hot bucket is still spread over
-    all its input partitions. Ids are stable for a stable input layout.
+    No shuffle. Without a bucket the batch id comes from the row's position
+    inside its input partition (a projection). With a bucket each input
+    partition is sorted locally by (bucket, input order), rows are numbered in
+    that order and cut into blocks of ``size`` positions; a batch is the rows
+    of one bucket in one block of one partition. So a batch never mixes
+    buckets, a bucket's run gets at most two partial batches per partition, and
+    a hot bucket stays spread over all its input partitions. Ids are stable
+    for a stable input layout.
     """
     mono = F.monotonically_increasing_id()
     if bucket is None:
@@ -204,16 +208,15 @@ def assign_batches(df: DataFrame, size: int = C.MAX_FILES_PER_BATCH, bucket: str
             .withColumn("ord", (local % size).cast("int"))
             .drop("__mono")
         )
-    staged = df.withColumns({"__pid": F.spark_partition_id(), "__mono": mono})
-    w = Window.partitionBy(bucket, "__pid").orderBy("__mono")
-    numbered = staged.withColumn("__rn", F.row_number().over(w) - 1)
+    staged = df.withColumn("__in", mono).sortWithinPartitions(bucket, "__in").withColumn("__pos", mono)
+    local = F.col("__pos").bitwiseAND(F.lit((1 << 33) - 1))
     return (
-        numbered.withColumn(
+        staged.withColumn(
             "batch_id",
-            F.xxhash64(F.col(bucket), F.col("__pid"), F.floor(F.col("__rn") / size).cast("long")),
+            F.xxhash64(F.col(bucket), F.spark_partition_id(), F.floor(local / size).cast("long")),
         )
-        .withColumn("ord", (F.col("__rn") % size).cast("int"))
-        .drop("__pid", "__mono", "__rn")
+        .withColumn("ord", (local % size).cast("int"))
+        .drop("__in", "__pos")
     )
 
 

@@ -102,3 +102,6 @@ def test_assign_batches_bounded(spark):
     assert sizes <= 7 and b.count() == d.count()
     plain = A.assign_batches(d, 7)
     assert plain.groupBy("batch_id").count().agg(F.max("count")).first()[0] <= 7
+    # one bucket per batch, and no exchange: partitions are only sorted locally
+    assert b.groupBy("batch_id").agg(F.countDistinct("source").alias("k")).agg(F.max("k")).first()[0] == 1
+    assert "Exchange" not in b._jdf.queryExecution().executedPlan().toString()
