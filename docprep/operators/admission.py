@@ -176,15 +176,15 @@ def dedupe_files(df: DataFrame, keys=("batch_id", "filename", "length"), ord_col
 def order_results(df: DataFrame, batch_col: str = "batch_id", ord_col: str = "ord") -> DataFrame:
     """Position in the batch listing: results first, then errors, each in input order.
 
-    Rejected batches (a batch-level error) have no listing: position NULL. The
-    window therefore only spans admitted batches, which hold at most 50 rows.
+    Rejected batches (a batch-level error) have no listing: position NULL. One
+    window in one pass: an admitted batch (at most 50 rows) is one window
+    partition, while each row of a rejected batch is keyed alone by its
+    ``ord``, so a rejected batch of any size is spread over many tasks.
     """
-    batch_level = F.col("error_code").isin("TOO_MANY_FILES", "BATCH_TOO_LARGE")
+    batch_level = F.coalesce(F.col("error_code").isin("TOO_MANY_FILES", "BATCH_TOO_LARGE"), F.lit(False))
     rank = F.when(F.col("status") == "success", F.lit(0)).otherwise(F.lit(1))
-    w = Window.partitionBy(batch_col).orderBy(rank, F.col(ord_col))
-    admitted = df.filter(~F.coalesce(batch_level, F.lit(False))).withColumn("position", F.row_number().over(w) - 1)
-    rejected = df.filter(F.coalesce(batch_level, F.lit(False))).withColumn("position", F.lit(None).cast("int"))
-    return admitted.unionByName(rejected)
+    w = Window.partitionBy(F.col(batch_col), F.when(batch_level, F.col(ord_col))).orderBy(rank, F.col(ord_col))
+    return df.withColumn("position", F.when(~batch_level, F.row_number().over(w) - 1).cast("int"))
 
 
 def assign_batches(df: DataFrame, size: int = C.MAX_FILES_PER_BATCH, bucket: str | None = None) -> DataFrame:

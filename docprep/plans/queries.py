@@ -355,7 +355,8 @@ def q_format_mix(spark: SparkSession, sf: str) -> DataFrame:
 
     fam = format_families(format_catalog(spark))
     mix = R.format_mix(A.with_format(A.with_names(D.files(spark, sf))))
-    return fam.join(mix, "format", "left").select(
+    # one row per catalogue label plus 'Unknown' at most: a fixed bound
+    return fam.join(F.broadcast(mix), "format", "left").select(
         "format",
         "ordinal",
         "first_ext",
