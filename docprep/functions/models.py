@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docprep.functions.pii import Recognizer, find_spans
+from docprep.functions.text import cut, let, text_chunks
 
 TOKEN_RX = "[\\p{L}\\p{N}]+"
 MODEL_SPAN_TYPE = "array<struct<start:int,end:int,score:double>>"
@@ -76,13 +77,22 @@ def model_spans(text: Column, entity_key: str) -> Column:
 
 
 def detect_with_model(df: DataFrame, text_col: str, entity_key: str, entity: str, id_cols: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Long span table from a registered model, ``matched`` cut natively from the text."""
-    staged = df.select(*id_cols, text_col, F.explode(model_spans(F.col(text_col), entity_key)).alias("s"))
-    return staged.select(
-        *id_cols,
-        F.lit(entity).alias("entity"),
-        "s.start",
-        "s.end",
-        "s.score",
-        F.col(text_col).substr(F.col("s.start") + 1, F.col("s.end") - F.col("s.start")).alias("matched"),
+    """Long span table from a registered model; ``matched`` is cut natively
+    from the text's chunks inside the span array, before the explode, so a
+    long document with many spans is neither walked per span nor copied per row."""
+    t = F.col(text_col)
+    spans = model_spans(t, entity_key)
+    with_text = let(
+        F.struct(text_chunks(t).alias("c"), spans.alias("s")),
+        lambda b: F.transform(
+            b["s"],
+            lambda s: F.struct(
+                F.lit(entity).alias("entity"),
+                s["start"].alias("start"),
+                s["end"].alias("end"),
+                s["score"].alias("score"),
+                cut(b["c"], s["start"], s["end"]).alias("matched"),
+            ),
+        ),
     )
+    return df.select(*id_cols, F.explode(with_text).alias("s")).select(*id_cols, "s.*")

@@ -18,7 +18,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docprep.functions.text import WS, WS_CHARS, exclusive_prefix_sums, let, strip_ws
+from docprep.functions.text import CUT_CHUNK, WS, WS_CHARS, cut, exclusive_prefix_sums, let, strip_ws, text_chunks
 from docprep.sources.catalogs import entity_tag, entity_type
 
 # Check letters for DNI/NIE and CIF.
@@ -435,19 +435,13 @@ def resolve_overlaps(spans: Column, block: int = RESOLVE_BLOCK) -> Column:
     return let(ordered, run)
 
 
-# Code points per chunk when a text is cut at span offsets (see ``redact_spans``).
-CUT_CHUNK = 1024
-
-
 def redact_spans(text: Column, spans: Column, tags: dict[str, str] | None = None, chunk: int = CUT_CHUNK) -> Column:
     """Rebuild the text with each (resolved, non-overlapping, ordered) span
     replaced by its tag.
 
-    Each gap only needs the previous span's end, so there is no fold. Cutting a
-    string at a code-point offset walks it from the start, so the text is first
-    cut into chunks of ``chunk`` code points (one regex pass); a gap is then
-    taken from at most two chunks plus the whole chunks between them, and the
-    work stays linear in the text and the number of spans.
+    Each gap only needs the previous span's end, so there is no fold; gaps are
+    cut from the text's chunks (``text.cut``), so the work stays linear in the
+    text and the number of spans.
     """
     tag_of = tags or {rec.entity: rec.tag for recs in _REGISTRY.values() for rec in recs}
 
@@ -457,29 +451,16 @@ def redact_spans(text: Column, spans: Column, tags: dict[str, str] | None = None
             expr = F.when(entity == ent, F.lit(tag)) if expr is None else expr.when(entity == ent, F.lit(tag))
         return expr
 
-    def cut(chunks: Column, a: Column, b: Column) -> Column:
-        """Code points [a, b) of the text, 0-based."""
-        ca = F.floor(a / chunk).cast("int")
-        cb = F.floor(b / chunk).cast("int")
-        first = F.coalesce(F.try_element_at(chunks, ca + 1), F.lit(""))
-        last = F.coalesce(F.try_element_at(chunks, cb + 1), F.lit(""))
-        middle = F.array_join(F.slice(chunks, ca + 2, F.greatest(cb - ca - 1, F.lit(0))), "")
-        return (
-            F.when(b <= a, F.lit(""))
-            .when(ca == cb, first.substr(a % chunk + 1, b - a))
-            .otherwise(F.concat(first.substr(a % chunk + 1, F.lit(chunk)), middle, last.substr(F.lit(1), b % chunk)))
-        )
-
     def build(t: Column, sp: Column) -> Column:
         def with_chunks(chunks: Column) -> Column:
             def piece(s: Column, i: Column) -> Column:
                 prev_end = F.when(i == 0, F.lit(0)).otherwise(sp[i - 1]["end"])
-                return F.concat(cut(chunks, prev_end, s["start"]), tag_for(s["entity"]))
+                return F.concat(cut(chunks, prev_end, s["start"], chunk), tag_for(s["entity"]))
 
             last_end = sp[F.size(sp) - 1]["end"]
-            rest = cut(chunks, last_end, F.greatest(F.length(t), last_end))
+            rest = cut(chunks, last_end, F.greatest(F.length(t), last_end), chunk)
             return F.concat(F.array_join(F.transform(sp, piece), ""), rest)
 
-        return let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{chunk}}}"), 0), with_chunks)
+        return let(text_chunks(t, chunk), with_chunks)
 
     return let(F.struct(text.alias("t"), spans.alias("s")), lambda b: F.when(F.size(b["s"]) == 0, b["t"]).otherwise(build(b["t"], b["s"])))

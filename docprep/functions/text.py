@@ -115,3 +115,31 @@ def exclusive_prefix_sums(values: Column, block: int = 128) -> Column:
         return F.when(n <= 0, F.array().cast("array<bigint>")).otherwise(let(blocks, with_blocks))
 
     return let(values.cast("array<bigint>"), run)
+
+
+# Code points per chunk when a text is cut at many code-point offsets.
+CUT_CHUNK = 1024
+
+
+def text_chunks(text: Column, chunk: int = CUT_CHUNK) -> Column:
+    """The text as consecutive pieces of ``chunk`` code points (one regex pass)."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{chunk}}}"), 0)
+
+
+def cut(chunks: Column, a: Column, b: Column, chunk: int = CUT_CHUNK) -> Column:
+    """Code points [a, b) (0-based) of the text cut into ``text_chunks``.
+
+    A cut at a code-point offset walks a string from its start; taking it from
+    at most two chunks plus the whole chunks between them keeps many cuts of
+    one long text linear.
+    """
+    ca = F.floor(a / chunk).cast("int")
+    cb = F.floor(b / chunk).cast("int")
+    first = F.coalesce(F.try_element_at(chunks, ca + 1), F.lit(""))
+    last = F.coalesce(F.try_element_at(chunks, cb + 1), F.lit(""))
+    middle = F.array_join(F.slice(chunks, ca + 2, F.greatest(cb - ca - 1, F.lit(0))), "")
+    return (
+        F.when(b <= a, F.lit(""))
+        .when(ca == cb, first.substr(a % chunk + 1, b - a))
+        .otherwise(F.concat(first.substr(a % chunk + 1, F.lit(chunk)), middle, last.substr(F.lit(1), b % chunk)))
+    )

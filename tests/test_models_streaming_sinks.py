@@ -27,6 +27,12 @@ def test_register_model_spans(spark):
     df = spark.createDataFrame([(1, "hola Maria y Pedro"), (2, None)], "doc_id long, text string")
     rows = M.detect_with_model(df, "text", "person", "PERSON").orderBy("start").collect()
     assert [(r.start, r.end, r.matched) for r in rows] == [(5, 10, "Maria"), (13, 18, "Pedro")]
+    # code-point offsets across astral characters and chunk boundaries of a long text
+    long_text = "😀 " * 700 + "Lucia " + "ñ" * 1500 + " Sergio"
+    df2 = spark.createDataFrame([(3, long_text)], "doc_id long, text string")
+    got = [(r.start, r.end, r.matched) for r in M.detect_with_model(df2, "text", "person", "PERSON").orderBy("start").collect()]
+    want = [(m.start(), m.end(), m.group()) for m in re.finditer(r"\b[A-Z][a-z]{3,}\b", long_text)]
+    assert got == want and [g[2] for g in got] == ["Lucia", "Sergio"]
 
 
 def test_gazetteer(spark):
