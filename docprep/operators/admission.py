@@ -98,6 +98,22 @@ def rejected_batches(
     return stats.select(batch_col, code.alias("__batch_code")).filter(F.col("__batch_code").isNotNull())
 
 
+def checked_rejected(
+    df: DataFrame,
+    batch_col: str = "batch_id",
+    size_col: str = "length",
+    max_files: int = C.MAX_FILES_PER_BATCH,
+    max_batch_bytes: int = C.MAX_BATCH_BYTES,
+    max_broadcast_batches: int = MAX_BROADCAST_BATCHES,
+) -> DataFrame:
+    """The rejected batches of ``df``, marked for broadcast when their count is
+    within ``max_broadcast_batches`` (the size check behind the broadcast)."""
+    over = rejected_batches(df, batch_col, size_col, max_files, max_batch_bytes)
+    if over.count() <= max_broadcast_batches:
+        over = F.broadcast(over)
+    return over
+
+
 def admit(
     df: DataFrame,
     batch_col: str = "batch_id",
@@ -106,6 +122,7 @@ def admit(
     max_file_size: int = C.MAX_FILE_SIZE,
     max_batch_bytes: int = C.MAX_BATCH_BYTES,
     max_broadcast_batches: int = MAX_BROADCAST_BATCHES,
+    rejected: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``error_code``/``error``/``http_status`` for the first failed check.
 
@@ -117,12 +134,12 @@ def admit(
     counted first (a job over the narrow ``(batch, size)`` columns); when it is
     within ``max_broadcast_batches`` they are broadcast, so the files (and
     their text) are never shuffled. Otherwise the join shuffles; AQE splits a
-    hot batch on the file side.
+    hot batch on the file side. ``rejected`` (from ``checked_rejected``) lets
+    several parts of one file table share the batch decision.
     """
-    over = rejected_batches(df, batch_col, size_col, max_files, max_batch_bytes)
-    if over.count() <= max_broadcast_batches:  # the size check behind the broadcast
-        over = F.broadcast(over)
-    joined = df.join(over, batch_col, "left")
+    if rejected is None:
+        rejected = checked_rejected(df, batch_col, size_col, max_files, max_batch_bytes, max_broadcast_batches)
+    joined = df.join(rejected, batch_col, "left")
     code = (
         F.when(F.col("__batch_code").isNotNull(), F.col("__batch_code"))
         .when(F.col("format") == "Unknown", F.lit("UNSUPPORTED_FORMAT"))

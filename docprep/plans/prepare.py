@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from docprep.functions.compact import compact_markdown
 from docprep.functions.pii import known_keys, redact
-from docprep.operators.admission import admit, error_message, http_status, with_format, with_names
+from docprep.operators.admission import admit, checked_rejected, error_message, http_status, with_format, with_names
+from docprep.sources.catalogs import MAX_FILE_SIZE
 from docprep.operators.extract import HTML_EXTENSIONS, TEXT_EXTENSIONS, apply_extractors, native_extract, registered_extractors
 
 RESULT_COLUMNS = [
@@ -57,11 +58,20 @@ def prepare(
     anonymized = bool(anonymize and keys)
 
     named = with_format(with_names(files))
-    adm = admit(named)
     if text_col is None:
-        adm = adm.withColumn("__text", F.decode(F.col(content_col), "UTF-8"))
+        # Bytes are read only for files within the size limit: that filter is
+        # pushed into the file scan, and oversized files come from a scan
+        # without their content (they only need an error row). Both parts
+        # share the batch decision taken over all files.
+        rejected = checked_rejected(named)
+        within = (F.col("length") <= MAX_FILE_SIZE) | F.col("length").isNull()
+        small = admit(named.filter(within), rejected=rejected)
+        large = admit(named.filter(~within).drop(content_col), rejected=rejected).withColumn(
+            content_col, F.lit(None).cast("binary")
+        )
+        adm = small.unionByName(large).withColumn("__text", F.decode(F.col(content_col), "UTF-8"))
     else:
-        adm = adm.withColumn("__text", F.col(text_col))
+        adm = admit(named).withColumn("__text", F.col(text_col))
 
     native_exts = (*TEXT_EXTENSIONS, *HTML_EXTENSIONS)
     is_native = F.col("ext").isin(*native_exts)

@@ -141,3 +141,21 @@ def test_progress_updates_over_several_epochs(spark):
     got = {tuple(r) for r in latest_rows(written, ["batch_id"]).select("batch_id", "total_files", "successful", "failed").collect()}
     want = {tuple(r) for r in batch_summary(spark.read.parquet(src)).select("batch_id", "total_files", "successful", "failed").collect()}
     assert got == want
+
+
+def test_binary_files_oversized_bytes_not_read(spark, tmp_path):
+    from docprep.sources.catalogs import MAX_FILE_SIZE
+    from docprep.sources.readers import read_files
+
+    (tmp_path / "a.txt").write_bytes(b"hola\n\n\nmundo")
+    (tmp_path / "b.md").write_bytes(b"# t\n")
+    with open(tmp_path / "big.txt", "wb") as fh:
+        fh.truncate(MAX_FILE_SIZE + 1)  # sparse file just over the limit
+    files = read_files(spark, str(tmp_path)).withColumns({"batch_id": F.lit(1).cast("long"), "ord": F.lit(0)})
+    out = prepare(files, text_col=None, content_col="content")
+    got = {r.original_filename: (r.status, r.error_code, r.markdown_content) for r in out.collect()}
+    assert got["a.txt"] == ("success", None, "hola\n\nmundo")
+    assert got["b.md"] == ("success", None, "# t")
+    assert got["big.txt"][:2] == ("error", "FILE_TOO_LARGE")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "LessThanOrEqual(length,52428800)" in plan  # the size filter reaches the scan that reads bytes
