@@ -159,3 +159,6 @@ def test_binary_files_oversized_bytes_not_read(spark, tmp_path):
     assert got["big.txt"][:2] == ("error", "FILE_TOO_LARGE")
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "LessThanOrEqual(length,52428800)" in plan  # the size filter reaches the scan that reads bytes
+    scans = [line for line in plan.split("\n") if "ReadSchema" in line]
+    with_bytes = [line for line in scans if "content:binary" in line]
+    assert len(with_bytes) == 1 and "LessThanOrEqual(length,52428800)" in with_bytes[0]
