@@ -7,7 +7,7 @@ linear model is corrected by the class prior pi:
 
 and a mini-batch whose second term is negative takes a step that raises it
 instead (the non-negative estimator's correction). Features are the distinct words of a
-text; those kept are the ones whose share differs most between P and U.
+text and their beginnings; those kept are significantly more frequent in P than in U.
 
 Only the fit works on bounded samples (``max_positive``, ``max_unlabelled`` rows, the
 first ones in an order of hashed ids); the prior counts all labelled rows and the
@@ -29,28 +29,28 @@ from docprep.llm.common import lookup_bounded, materialise
 MAX_POSITIVE = 8_000
 MAX_UNLABELLED = 24_000
 FEATURES = 4_096
-MIN_DOCS = 3
+MIN_POSITIVE = 3  # confirmed texts that hold a feature
+MIN_CHI2 = 30.0  # of the feature's share in P against that in U, one text discounted
+PREFIXES = (4, 5, 6)  # inflected words share their first characters
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 class _Features(dict):
-    """raw word (bytes) -> feature hash; punctuation around it and case do not matter."""
+    """raw word (bytes) -> hashes of the word and of its first characters; case and punctuation around it do not matter."""
 
-    def __missing__(self, raw: bytes) -> int:
+    def __missing__(self, raw: bytes) -> tuple[int, ...]:
         if len(self) >= 300_000:
             self.clear()
         word = _EDGE.sub("", raw.decode("utf-8", "replace").lower())
-        h = xxhash.xxh64_intdigest(word.encode(), 11) >> 1 if word else -1
-        self[raw] = h
-        return h
+        names = [word] * bool(word) + [word[:k] + "*" for k in PREFIXES if len(word) > k]
+        found = self[raw] = tuple(xxhash.xxh64_intdigest(x.encode(), 11) >> 1 for x in names)
+        return found
 
 
 def features(text: bytes | None, cache: _Features) -> set[int]:
-    found = set(map(cache.__getitem__, set((text or b"").split())))
-    found.discard(-1)
-    return found
+    return set().union(*map(cache.__getitem__, set((text or b"").split())))
 
 
 def fold(id_col) -> F.Column:
@@ -58,7 +58,7 @@ def fold(id_col) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
 
 
-def fit_nnpu(p: list[np.ndarray], u: list[np.ndarray], n_features: int, prior: float, epochs: int = 60, batch: int = 2048, rate: float = 0.05, l2: float = 1e-4, seed: int = 5):
+def fit_nnpu(p: list[np.ndarray], u: list[np.ndarray], n_features: int, prior: float, epochs: int = 100, batch: int = 2048, rate: float = 0.05, l2: float = 1e-4, seed: int = 5):
     """Weights and bias of the logistic model; p and u hold feature numbers per text."""
     rng = np.random.default_rng(seed)
     w, b = np.zeros(n_features), float(np.log(prior / (1 - prior)))
@@ -92,8 +92,21 @@ def fit_nnpu(p: list[np.ndarray], u: list[np.ndarray], n_features: int, prior: f
             mw, vw = 0.9 * mw + 0.1 * g, 0.999 * vw + 0.001 * g * g
             mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
             w -= rate * (mw / (1 - 0.9**t)) / (np.sqrt(vw / (1 - 0.999**t)) + 1e-8)
+            np.maximum(w, 0, out=w)  # every feature kept speaks for P
             b -= rate * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return w, b
+    # match the prior: the unlabelled texts' mean score is pi; of a few slopes the one with the least risk
+    zp, zu = (margin(rows(items, np.arange(len(items)))) - b for items in (p, u))
+    best = None
+    for slope in (1.0, 1.5, 2.0, 3.0, 4.0):
+        lo, hi = -40.0, 20.0
+        for _ in range(60):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sig(slope * zu + mid).mean() < prior else (lo, mid)
+        yp, yu = slope * zp + lo, slope * zu + lo
+        risk = prior * np.logaddexp(0, -yp).mean() + max(0.0, np.logaddexp(0, yu).mean() - prior * np.logaddexp(0, yp).mean())
+        if best is None or risk < best[0] - 1e-9:
+            best = (risk, slope, lo)
+    return w * best[1], best[2]
 
 
 def train(
@@ -130,23 +143,21 @@ def train(
     if not n_p or not n_u:
         return {}, bias
     counts = rows.select("p", F.explode("features").alias("f")).groupBy("f").agg(F.sum("p").alias("cp"), F.sum(1 - F.col("p")).alias("cu"))
-    share_p, share_u = F.col("cp") / n_p, F.col("cu") / n_u
-    spread = (share_p - share_u) * (share_p - share_u) / (share_p + share_u)
-    kept = counts.where(F.col("cp") + F.col("cu") >= MIN_DOCS).orderBy(spread.desc(), "f").limit(n_features)
+    cp = F.col("cp") - 1
+    share = (cp + F.col("cu") + 0.5) / (n_p + n_u)
+    apart = cp / n_p - F.col("cu") / n_u
+    chi2 = apart * apart / (share * (1 - share) * (1 / n_p + 1 / n_u))
+    kept = counts.where((F.col("cp") >= MIN_POSITIVE) & (apart > 0) & (share < 1) & (chi2 >= MIN_CHI2)).orderBy(chi2.desc(), "f").limit(n_features)
     names = sorted(r.f for r in kept.select("f").collect())
     number = {f: i for i, f in enumerate(names)}
-    keep = F.array_intersect("features", F.array(*[F.lit(f) for f in names])) if len(names) <= 64 else None
-    if keep is None:
-        wanted = rows.sparkSession.sparkContext.broadcast(number)
-
-        def narrow(batches):
-            for b in batches:
-                got = [[wanted.value[f] for f in fs if f in wanted.value] for fs in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], ["p", "features"])
-
-        rows = rows.mapInArrow(narrow, "p int, features array<int>")
-    else:
-        rows = rows.select("p", F.transform(keep, lambda f: F.element_at(F.create_map(*[F.lit(x) for kv in number.items() for x in kv]), f)).alias("features"))
+    wanted = rows.sparkSession.sparkContext.broadcast(number)
+
+    def narrow(batches):
+        for b in batches:
+            got = [[wanted.value[f] for f in fs if f in wanted.value] for fs in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], ["p", "features"])
+
+    rows = rows.mapInArrow(narrow, "p int, features array<int>")
     # ids may repeat in docs, so the collected rows are checked against the bound, not cut
     got = lookup_bounded(rows, 4 * (max_positive + max_unlabelled), "training sample")
     p = [np.array(r.features, dtype=np.int64) for r in got if r.p == 1]
