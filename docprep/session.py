@@ -8,6 +8,7 @@ configuration always wins.
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,8 +64,9 @@ def get_spark(master: str | None = None, app_name: str = "docprep", **conf: str)
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the setting is absent (local tests) a fresh scratch folder is
-    created and registered, so ``DataFrame.checkpoint()`` can cut lineage.
+    Only when the setting is absent and the master is local (tests) a fresh scratch
+    folder is created and registered, so ``DataFrame.checkpoint()`` can cut lineage.
+    On a cluster a machine-local folder would lose data, so the setting is required.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -74,6 +76,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    master = spark.sparkContext.master
+    if not re.fullmatch(r"local(\[.*\])?", master):
+        raise ValueError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
     path = tempfile.mkdtemp(prefix="docprep-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
