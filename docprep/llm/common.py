@@ -3,7 +3,6 @@
 * ``materialise`` cuts lineage with a Parquet table in the shared folder that
   the cluster names in ``spark.checkpoint.dir``: a lost executor costs only the
   step that runs, earlier steps are read back from the table.
-* ``WordHash`` maps words to 64-bit numbers through a bounded cache.
 * ``lookup_bounded`` collects a table whose size is bounded by a parameter and
   fails loudly when the bound does not hold.
 """
@@ -13,7 +12,6 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
-import xxhash
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
@@ -85,23 +83,3 @@ def lookup_bounded(df: DataFrame, max_rows: int, what: str) -> list:
     if len(rows) > max_rows:
         raise ValueError(f"{what}: more than {max_rows} rows; raise the parameter or split the input")
     return rows
-
-
-class WordHash(dict):
-    """word (bytes) -> XXH64 as a signed 64-bit integer, cached.
-
-    The cache only saves time; it is emptied when it holds ``limit`` words, so a
-    worker's memory is bounded whatever the vocabulary.
-    """
-
-    def __init__(self, seed: int, limit: int = 400_000):
-        super().__init__()
-        self.seed, self.limit = seed, limit
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word, self.seed)
-        h = h - (1 << 64) if h >= (1 << 63) else h
-        self[word] = h
-        return h

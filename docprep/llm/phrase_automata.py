@@ -12,9 +12,10 @@ over it also starts in a document with a smaller doc_id.
    compared word by word and those of two or more documents are merged into passages with
    the smallest doc_id. An anchor that many documents list is dealt over salts, and its
    windows' smallest doc_ids are merged after that.
-3. Automata. Passages are dealt into shards of bounded size. A task compiles a shard's
-   windows into one automaton over words (each word one character, so matches
-   are exact) and streams the shard's stretches of all documents through it.
+3. Automata. Passages are dealt into shards of bounded size. A task compiles the words
+   common to each passage's windows into one automaton over words (each word one character)
+   and streams the shard's stretches of all documents through it; at every match the
+   windows around it are looked up whole.
 4. Runs found are collected per document and cut from its whole text.
 """
 
@@ -26,43 +27,80 @@ from itertools import accumulate
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprep.llm.common import WordHash, materialise
+from docprep.llm.common import materialise
 
 WINDOW = 13
 GROUP = 5
 SALT_ROWS = 4096
-SHARD_PASSAGES = 20_000
+SHARD_PASSAGES = 50_000
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _ODD = np.array([0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF | 1 for k in range(1, 65)], dtype=np.uint64)
 
 
-def window_anchors(words: list[bytes], cache: WordHash, window: int = WINDOW, group: int = GROUP) -> np.ndarray:
-    """Anchor of each window (signed 64-bit); none if the text is shorter than a window."""
-    n = len(words)
-    if n < window:
-        return np.empty(0, np.int64)
-    x = np.fromiter(map(cache.__getitem__, words), dtype=np.int64, count=n).view(np.uint64)
-    g = np.zeros(n - group + 1, dtype=np.uint64)
-    for k in range(group):
-        g += x[k : n - group + 1 + k] * _ODD[k]
-    g ^= g >> np.uint64(29)
-    g *= _MIX
-    g ^= g >> np.uint64(32)
-    # minimum over `width` neighbours by doubling
-    width, have, m = window - group + 1, 1, g
-    while have < width:
-        step = min(have, width - have)
-        m = np.minimum(m[:-step], m[step:])
-        have += step
-    return m.view(np.int64)
-
-
-def _identity(words: list[bytes]) -> tuple[bytes, int]:
-    """SHA-256 of the words and its first eight bytes as a signed integer: which text a row holds."""
-    sha = hashlib.sha256(b" ".join(words)).digest()
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0x20, *range(0x09, 0x0E)]] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_LONG = 64  # bytes of a word that are hashed eight at a time
+
+
+class Words:
+    """Words of a batch of texts: byte ranges in ``raw`` and 64-bit hashes, ``first[i]:first[i + 1]`` those of text i."""
+
+    def __init__(self, texts: list[bytes | None]):
+        texts = [t or b"" for t in texts]
+        self.raw = b"\n".join(texts) + b"\n" * 9
+        b = np.frombuffer(self.raw, dtype=np.uint8)
+        blank = np.concatenate([[True], _BLANK[b]])
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        self.starts, self.ends = edges[0::2], edges[1::2]
+        at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        self.first = np.searchsorted(self.starts, at)
+        self.hashes = self._hashes(b)
+
+    def _hashes(self, b: np.ndarray) -> np.ndarray:
+        eight = np.ndarray((len(b) - 7,), dtype="<u8", buffer=self.raw, strides=(1,))
+        size = self.ends - self.starts
+        h = size.astype(np.uint64) * _ODD[0]
+        rows, starts, left = slice(None), self.starts, size
+        for _ in range(_LONG // 8):
+            x = (h[rows] ^ (eight[starts] & _MASK[np.minimum(left, 8)])) * _MIX
+            h[rows] = x ^ (x >> np.uint64(29))
+            more = left > 8
+            if not more.any():
+                break
+            rows = np.flatnonzero(more) if isinstance(rows, slice) else rows[more]
+            starts, left = starts[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > _LONG).tolist():
+            h[i] ^= np.uint64(xxhash.xxh64_intdigest(self.raw[self.starts[i] : self.ends[i]], 7))
+        return h
+
+    def anchors(self, window: int, group: int) -> np.ndarray:
+        """Anchor of the window at each word (signed 64-bit); meaningless where a window leaves its text."""
+        n = len(self.hashes)
+        if n < window:
+            return np.empty(0, np.int64)
+        g = np.zeros(n - group + 1, dtype=np.uint64)
+        for k in range(group):
+            g += self.hashes[k : n - group + 1 + k] * _ODD[k]
+        g ^= g >> np.uint64(29)
+        g *= _MIX
+        g ^= g >> np.uint64(32)
+        # minimum over `width` neighbours by doubling
+        width, have, m = window - group + 1, 1, g
+        while have < width:
+            step = min(have, width - have)
+            m = np.minimum(m[:-step], m[step:])
+            have += step
+        return m.view(np.int64)
+
+
+def _identity(text: bytes | None) -> tuple[bytes, int]:
+    """SHA-256 of a text and its first eight bytes as a signed integer: which text a row holds."""
+    sha = hashlib.sha256(text or b"").digest()
     return sha, int.from_bytes(sha[:8], "little", signed=True)
 
 
@@ -74,14 +112,14 @@ def _texts(docs: DataFrame, window: int, group: int) -> DataFrame:
     """(doc_id, v, sha, n_words, anchors) of every row with a doc_id."""
 
     def run(batches):
-        cache = WordHash(seed=7)
         kind = [("doc_id", pa.int64()), ("v", pa.int64()), ("sha", pa.binary()), ("n_words", pa.int64()), ("anchors", pa.list_(pa.int64()))]
         for b in batches:
-            rows = []
-            for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                words = (t or b"").split()
-                sha, v = _identity(words)
-                rows.append((d, v, sha, len(words), np.unique(window_anchors(words, cache, window, group))))
+            rows, texts = [], b.column(1).to_pylist()
+            words = Words(texts)
+            m, first = words.anchors(window, group), words.first.tolist()
+            for d, t, lo, hi in zip(b.column(0).to_pylist(), texts, first, first[1:]):
+                sha, v = _identity(t)
+                rows.append((d, v, sha, hi - lo, np.unique(m[lo : max(lo, hi - window + 1)])))
             if rows:
                 yield _batch(kind, rows)
 
@@ -95,24 +133,23 @@ def _segments(joined: DataFrame, window: int, group: int, salt_rows: int) -> Dat
     """Stretches of whole texts around recurring anchors: consecutive windows that share one anchor."""
 
     def run(batches):
-        cache = WordHash(seed=7)
         for b in batches:
-            rows = []
-            for d, t, versions in zip(*(b.column(k).to_pylist() for k in range(3))):
-                words = (t or b"").split()
-                v = _identity(words)[1]
+            rows, texts = [], b.column(1).to_pylist()
+            words = Words(texts)
+            m, first, raw = words.anchors(window, group), words.first.tolist(), words.raw
+            for d, t, versions, lo, hi in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), first, first[1:]):
+                v = _identity(t)[1]
                 known = {x["anchor"]: x["n"] for x in versions if x["v"] == v}
-                if not known:
-                    continue
-                m = window_anchors(words, cache, window, group)
-                at = np.flatnonzero(np.isin(m, np.fromiter(known, np.int64, len(known))))
+                own = m[lo : max(lo, hi - window + 1)]
+                at = np.flatnonzero(np.isin(own, np.fromiter(known, np.int64, len(known)), kind="sort")) if known else ()
                 if not len(at):
                     continue
-                a = m[at]
+                a = own[at]
                 cuts = np.flatnonzero((np.diff(at) != 1) | (np.diff(a) != 0)) + 1
-                for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(at)]):
-                    s, anchor = int(at[lo]), int(a[lo])
-                    rows.append((anchor, -(-known[anchor] // salt_rows), d, v, s, b" ".join(words[s : int(at[hi - 1]) + window])))
+                begin, last = at[np.append(0, cuts)], at[np.append(cuts - 1, len(at) - 1)]
+                spans = zip(begin.tolist(), own[begin].tolist(), words.starts[lo + begin].tolist(), words.ends[lo + last + window - 1].tolist())
+                for s, anchor, x, y in spans:
+                    rows.append((anchor, -(-known[anchor] // salt_rows), d, v, s, b" ".join(raw[x:y].split())))
                 if len(rows) >= 20_000:
                     yield _batch(_SEGMENT, rows)
                     rows = []
@@ -185,31 +222,52 @@ def _confirmed(segments: DataFrame, window: int) -> DataFrame:
     return both.select("anchor", "salts", "text", "lo")
 
 
-def _automaton(passages: list[tuple[bytes, int]], window: int):
-    """(word -> character, automaton): every window of the passages with the smallest doc_id it occurs in."""
-    code: dict[bytes, str] = {}
-    first: dict[str, int] = {}
-    for text, lo in passages:
-        line = []
-        for w in text.split(b" "):
-            c = code.get(w)
-            if c is None:
-                k = len(code) + 1  # 0 stands for every other word
-                c = code[w] = chr(k if k < 0xD800 else k + 0x800)
-            line.append(c)
-        line = "".join(line)
-        for i in range(len(line) - window + 1):
-            w = line[i : i + window]
-            if first.get(w, lo) >= lo:
-                first[w] = lo
-    machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-    lows = []
-    for w, lo in first.items():
-        machine.add_word(w, len(lows))
-        lows.append(lo)
-    if lows:
-        machine.make_automaton()
-    return code, machine, lows
+class _Shard:
+    """Automaton of a shard: its patterns are the words common to all windows of a passage.
+
+    Every occurrence of a window holds the common words of its passage, so a match names the
+    only places where windows can be; those are looked up whole (each word one character: exact).
+    """
+
+    def __init__(self, passages: list[tuple[bytes, int]], window: int):
+        self.window, self.code, self.first = window, {}, {}
+        cores = set()
+        for text, lo in passages:
+            line = []
+            for w in text.split(b" "):
+                c = self.code.get(w)
+                if c is None:
+                    k = len(self.code) + 1  # 0 stands for every other word
+                    c = self.code[w] = chr(k if k < 0xD800 else k + 0x800)
+                line.append(c)
+            line = "".join(line)
+            n = len(line) - window + 1  # windows
+            for i in range(n):
+                w = line[i : i + window]
+                if self.first.get(w, lo) >= lo:
+                    self.first[w] = lo
+            # a passage longer than a window's reach has no common word: cut it
+            for i in range(0, n, window):
+                cores.add(line[min(i + window, n) - 1 : i + window])
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for c in cores:
+            self.machine.add_word(c)
+        self.machine.make_automaton()
+
+    def runs(self, text: bytes, doc: int) -> list[tuple[int, int]]:
+        """Runs of words covered by windows that start in a document smaller than ``doc``."""
+        get, window, first = self.code.get, self.window, self.first
+        line = "".join([get(w, "\0") for w in text.split(b" ")])
+        top, done, out = len(line) - window, 0, []
+        for end, size in self.machine.iter(line):
+            for i in range(max(done, end - window + 1), min(top, end - size + 1) + 1):
+                if first.get(line[i : i + window], doc) < doc:
+                    if out and i <= out[-1][1]:
+                        out[-1] = (out[-1][0], i + window)
+                    else:
+                        out.append((i, i + window))
+                done = i + 1
+        return out
 
 
 _RUN = [("doc_id", pa.int64()), ("v", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]
@@ -235,24 +293,9 @@ def _located(passages: DataFrame, segments: DataFrame, window: int, shard_passag
                     pile.append((text, doc))
                     continue
                 if ready is None:
-                    ready, pile = _automaton(pile, window), []
-                code, machine, lows = ready
-                if not lows:
-                    continue
-                lo = hi = None
-                get = code.get
-                for end, k in machine.iter("".join([get(w, "\0") for w in text.split(b" ")])):
-                    if lows[k] >= doc:
-                        continue
-                    s = end - window + 1
-                    if hi is not None and s > hi:
-                        rows.append((doc, v, start + lo, start + hi))
-                        lo = None
-                    if lo is None:
-                        lo = s
-                    hi = end + 1
-                if lo is not None:
-                    rows.append((doc, v, start + lo, start + hi))
+                    ready, pile = _Shard(pile, window) if pile else False, []
+                if ready:
+                    rows += [(doc, v, start + lo, start + hi) for lo, hi in ready.runs(text, doc)]
             if rows:
                 yield _batch(_RUN, rows)
 
@@ -285,9 +328,9 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, group: int = GROUP, sal
     return materialise(found, "runs")
 
 
-def cut(words: list[bytes], runs: list[dict]) -> list[bytes]:
+def cut(text: bytes, words: list[bytes], runs: list[dict]) -> list[bytes]:
     """The words outside the runs of this text's version."""
-    v = _identity(words)[1]
+    v = _identity(text)[1]
     out, at = [], 0
     for s, e in sorted((r["start"], r["stop"]) for r in runs if r["v"] == v):
         if s > at:
@@ -321,7 +364,7 @@ def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
             n_words, n_removed, kept = [], [], []
             for t, r in zip(b.column(text_at).to_pylist(), b.column(runs_at).to_pylist()):
                 words = (t or b"").split()
-                left = cut(words, r) if r else words
+                left = cut(t, words, r) if r else words
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
