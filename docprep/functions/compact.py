@@ -38,7 +38,8 @@ NBSP = "\u00a0"
 
 FENCE_RX = f"^{WS}*(?:```|~~~)"
 ANY_FENCE_RX = f"(?md)^{WS_NO_NL}*(?:```|~~~)"
-EMPTY_TABLE_ROW_RX = f"^{WS}*\\|(?:{WS}*\\|)+{WS}*\\z"
+# flat classes: a repeated group of varying length would recurse once per repeat
+EMPTY_TABLE_ROW_RX = f"^{WS}*\\|{WS[:-1]}|]*\\|{WS}*\\z"
 COMMENT_RX = "(?s)<!--.*?-->"
 
 
@@ -81,7 +82,7 @@ def _token(content: Column, kind: Column) -> Column:
 
 def _assemble(tokens: Column) -> Column:
     joined = F.array_join(F.filter(tokens, lambda x: x.isNotNull()), "\n")
-    t = F.regexp_replace(joined, "^(?:B(?:\n|\\z))+", "")  # leading blanks
+    t = F.regexp_replace(joined, "^(?:B\n)*+(?:B\\z)?", "")  # leading blanks
     t = F.regexp_replace(t, "(?:\nB)+\\z", "")  # trailing blanks
     t = F.regexp_replace(t, "(?:\nB)+\n", "\n\n")  # a run of blanks -> one empty line
     return F.regexp_replace(t, "(^|\n)E", "$1")
@@ -102,8 +103,8 @@ def _compact_fenced(text: Column) -> Column:
 
 def _compact_plain(text: Column) -> Column:
     """Fence-free text: five whole-string regex passes, no arrays."""
-    t = F.regexp_replace(text, f"(?md){WS_NO_NL}+$", "")  # right-strip every line
-    t = F.regexp_replace(t, f"(?md)^{WS_NO_NL}*\\|(?:{WS_NO_NL}*\\|)+(?:\n|\\z)", "")  # drop empty table rows
+    t = F.regexp_replace(text, f"(?md)(?<!{WS_NO_NL}){WS_NO_NL}++$", "")  # right-strip every line
+    t = F.regexp_replace(t, f"(?md)^{WS_NO_NL}*\\|{WS_NO_NL[:-1]}|]*\\|(?:\n|\\z)", "")  # drop empty table rows
     t = F.regexp_replace(t, "^\n+", "")  # leading blank lines
     t = F.regexp_replace(t, "\n+\\z", "")  # trailing blank lines
     return F.regexp_replace(t, "\n{3,}", "\n\n")  # a run of blank lines -> one

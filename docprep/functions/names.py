@@ -14,7 +14,7 @@ from docprep.sources.catalogs import MAX_FILENAME_LEN
 CONTROL_RX = "[\\x00-\\x1f\\x7f]"
 LAST_SEP_RX = "(?s)^.*[/\\\\]"
 SUFFIX_RX = "(?s)^.+(\\.[^.]+)\\z"
-TRAILING_SLASHES_RX = "(?:/\\.?)+\\z"
+TRAILING_SLASHES_RX = "(?:/\\.)*+/?\\z"  # after runs of slashes are one slash
 
 
 def _col(c: Column | str) -> Column:
@@ -32,7 +32,7 @@ def safe_filename(name: Column | str) -> Column:
 
 def _posix_name(name: Column) -> Column:
     """Last component of a POSIX path (trailing ``/`` and ``/.`` ignored)."""
-    trimmed = F.regexp_replace(F.coalesce(name, F.lit("")), TRAILING_SLASHES_RX, "")
+    trimmed = F.regexp_replace(F.regexp_replace(F.coalesce(name, F.lit("")), "/+", "/"), TRAILING_SLASHES_RX, "")
     return F.element_at(F.split(trimmed, "/", -1), -1)
 
 

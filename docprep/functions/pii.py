@@ -37,7 +37,11 @@ PLATE_RX = "(?i)\\b[0-9]{4}[ -]?[BCDFGHJKLMNPRSTVWXYZ]{3}\\b"
 DATE_LONG_RX = f"(?i)\\b[0-9]{{1,2}}{WS}+de{WS}+(?:{MONTHS}){WS}+de{WS}+[0-9]{{4}}\\b"
 DATE_ISO_RX = "\\b[0-9]{4}[/.-][0-9]{1,2}[/.-][0-9]{1,2}\\b"
 DATE_NUM_RX = "\\b[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}\\b"
-EMAIL_RX = "[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}"
+# a domain has at most 127 labels; in Java a match starts only at the first character of a run, so a long
+# run without "@" is read once (RE2 is linear by itself)
+_DOMAIN = "@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+){0,126}\\.[A-Za-z]{2,}"
+EMAIL_RE2 = "[A-Za-z0-9._%+-]+" + _DOMAIN
+EMAIL_RX = "(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++" + _DOMAIN
 PHONE_RX = "(?:\\+[0-9]{1,3}[ .-]?|\\b)(?:\\([0-9]{3}\\)|[0-9]{3})[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}\\b"
 CARD_RX = "\\b[0-9](?:[ -]?[0-9]){12,18}\\b"
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])"
@@ -234,7 +238,7 @@ register_recognizer("vehicle_plate", PLATE_RX, 0.4, name="plate")
 register_recognizer("date", DATE_LONG_RX, 0.7, name="date_long")
 register_recognizer("date", DATE_ISO_RX, 0.6, name="date_iso")
 register_recognizer("date", DATE_NUM_RX, 0.6, name="date_numeric")
-register_recognizer("email", EMAIL_RX, 0.5, name="email", needs="@")
+register_recognizer("email", EMAIL_RX, 0.5, rx_re2=EMAIL_RE2, name="email", needs="@")
 register_recognizer("phone", PHONE_RX, 0.4, name="phone")
 register_recognizer("credit_card", CARD_RX, 0.3, valid_luhn, name="credit_card")
 register_recognizer("ip", IPV4_RX, 0.6, name="ipv4")

@@ -34,12 +34,12 @@ def let(value: Column, body) -> Column:
 
 def strip_ws(col: Column) -> Column:
     """``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(col, f"^{WS}+|{WS}+\\z", "")
+    return F.regexp_replace(col, f"^{WS}++|(?<!{WS}){WS}++\\z", "")
 
 
 def rstrip_ws(col: Column) -> Column:
     """``str.rstrip()`` on a single line."""
-    return F.regexp_replace(col, f"{WS}+\\z", "")
+    return F.regexp_replace(col, f"(?<!{WS}){WS}++\\z", "")
 
 
 def not_blank(col: Column) -> Column:

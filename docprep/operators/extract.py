@@ -38,8 +38,8 @@ def with_fallback(primary: Column, fallback: Column) -> Column:
 
 
 def text_passthrough(content: Column) -> Column:
-    """UTF-8 bytes -> text, unchanged."""
-    return F.decode(content, "UTF-8")
+    """UTF-8 bytes -> text, unchanged; NULL for bytes that are not UTF-8."""
+    return F.try_validate_utf8(content.cast("string"))
 
 
 def trim_extracted(text: Column) -> Column:
@@ -64,6 +64,7 @@ class Extractor:
     trim: bool = True
 
 
+NO_TEXT = "the handler returned no text"
 _EXTRACTORS: dict[str, Extractor] = {}
 
 
@@ -85,6 +86,11 @@ def registered_extractors() -> dict[str, Extractor]:
 def _runner(extractors: dict[str, Extractor]):
     route_of = {e: "ocr" for e in IMAGE_EXTENSIONS} | {".pdf": "pdf"}
 
+    def as_text(x):
+        if x is not None and not isinstance(x, str):
+            raise TypeError(f"the handler returned {type(x).__name__}, not text")
+        return x
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built: dict[str, tuple] = {}
 
@@ -97,13 +103,13 @@ def _runner(extractors: dict[str, Extractor]):
                 try:
                     primary = spec.factory(**spec.options)
                     err = None
-                except (ImportError, OSError) as exc:  # engine missing on this worker
+                except Exception as exc:  # noqa: BLE001 - engine missing or broken on this worker: its rows fail, no others
                     primary, err = None, exc
                 fb = None
                 if spec.fallback is not None:
                     try:
                         fb = spec.fallback(**spec.options)
-                    except (ImportError, OSError):
+                    except Exception:  # noqa: BLE001
                         fb = None
                 built[key] = (primary, fb, err, spec.trim)
             return built[key]
@@ -119,21 +125,23 @@ def _runner(extractors: dict[str, Extractor]):
                 text, code, msg = None, None, None
                 if primary is not None:
                     try:
-                        text = primary(bytes(content) if content is not None else b"")
+                        text = as_text(primary(bytes(content) if content is not None else b""))
                         text = text.strip() if (trim and text is not None) else text
                     except (ImportError, OSError) as exc:
                         code, msg = "EXTRACTOR_UNAVAILABLE", str(exc)
                     except Exception as exc:  # noqa: BLE001 - a row's failure is data
                         code, msg = "FAILED", str(exc)
                 else:
-                    code, msg = "EXTRACTOR_UNAVAILABLE", str(err)
+                    code, msg = "EXTRACTOR_UNAVAILABLE" if isinstance(err, (ImportError, OSError)) else "FAILED", str(err)
                 if (text is None or not text.strip()) and fb is not None:
                     try:
-                        text, code, msg = fb(bytes(content) if content is not None else b""), None, None
+                        text, code, msg = as_text(fb(bytes(content) if content is not None else b"")), None, None
                     except (ImportError, OSError) as exc:
                         text, code, msg = None, "EXTRACTOR_UNAVAILABLE", str(exc)
                     except Exception as exc:  # noqa: BLE001
                         text, code, msg = None, "FAILED", str(exc)
+                if text is None and code is None:
+                    code, msg = "FAILED", NO_TEXT
                 texts.append(text if code is None else None), codes.append(code), errors.append(msg)
             yield pdf.assign(x_text=texts, x_code=codes, x_error=errors)
 

@@ -14,7 +14,7 @@ from docprep.functions.compact import compact_markdown
 from docprep.functions.pii import known_keys, redact
 from docprep.operators.admission import admit, checked_rejected, error_message, http_status, with_format, with_names
 from docprep.sources.catalogs import MAX_FILE_SIZE
-from docprep.operators.extract import HTML_EXTENSIONS, TEXT_EXTENSIONS, apply_extractors, native_extract, registered_extractors
+from docprep.operators.extract import HTML_EXTENSIONS, TEXT_EXTENSIONS, apply_extractors, native_extract, registered_extractors, text_passthrough
 
 RESULT_COLUMNS = [
     "batch_id",
@@ -39,6 +39,9 @@ def parse_entities(raw: str | None) -> list[str]:
     return [p.strip() for p in (raw or "").split(",") if p.strip()]
 
 
+NOT_UTF8 = "The file is not valid UTF-8 text"
+
+
 def prepare(
     files: DataFrame,
     anonymize: bool = False,
@@ -69,13 +72,22 @@ def prepare(
         large = admit(named.filter(~within).drop(content_col), rejected=rejected).withColumn(
             content_col, F.lit(None).cast("binary")
         )
-        adm = small.unionByName(large).withColumn("__text", F.decode(F.col(content_col), "UTF-8"))
+        adm = small.unionByName(large).withColumn(
+            # only text formats are decoded; other bytes go to their handler as they are
+            "__text",
+            F.when(F.col("ext").isin(*TEXT_EXTENSIONS, *HTML_EXTENSIONS), text_passthrough(F.col(content_col))),
+        )
     else:
         adm = admit(named).withColumn("__text", F.col(text_col))
 
     native_exts = (*TEXT_EXTENSIONS, *HTML_EXTENSIONS)
     is_native = F.col("ext").isin(*native_exts)
-    native = adm.filter(F.col("error_code").isNotNull() | is_native | F.lit(not registered_extractors())).withColumns(
+    undecodable = F.lit(False)
+    if text_col is None:
+        undecodable = F.col("error_code").isNull() & is_native & F.col(content_col).isNotNull() & F.col("__text").isNull()
+    native = adm.withColumn("__why", F.when(undecodable, F.lit(NOT_UTF8))).withColumn(
+        "error_code", F.when(undecodable, F.lit("FAILED")).otherwise(F.col("error_code"))
+    ).filter(F.col("error_code").isNotNull() | is_native | F.lit(not registered_extractors())).withColumns(
         {
             "__raw": F.when(F.col("error_code").isNull(), native_extract(F.col("ext"), F.col("__text"))),
             "error_code": F.when(F.col("error_code").isNull() & ~is_native, F.lit("EXTRACTOR_UNAVAILABLE")).otherwise(
@@ -92,7 +104,7 @@ def prepare(
         else:
             src = content_col
         extracted = apply_extractors(codec, src, "ext")
-        extracted = extracted.withColumns({"__raw": F.col("x_text"), "error_code": F.col("x_code")}).drop(
+        extracted = extracted.withColumns({"__raw": F.col("x_text"), "error_code": F.col("x_code"), "__why": F.col("x_error")}).drop(
             "x_text", "x_code", "x_error"
         )
         if content_col is None:
@@ -110,7 +122,7 @@ def prepare(
             "status": F.when(ok, F.lit("success")).otherwise(F.lit("error")),
             "anonymized": F.when(ok, F.lit(anonymized)),
             "compacted": F.when(ok, F.lit(compact)),
-            "error": error_message(F.col("error_code")),
+            "error": F.coalesce(error_message(F.col("error_code")), F.col("__why")),
             "http_status": http_status(F.col("error_code")),
             "original_filename": F.col("safe_name"),
             "extension": F.col("ext"),

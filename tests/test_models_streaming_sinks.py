@@ -164,3 +164,35 @@ def test_binary_files_oversized_bytes_not_read(spark, tmp_path):
     # every scan that reads bytes (native and codec branches) carries the size filter
     assert with_bytes and all("LessThanOrEqual(length,52428800)" in line for line in with_bytes)
     assert any("content:binary" not in line and "GreaterThan(length,52428800)" in line for line in scans)
+
+
+def test_every_file_gets_one_row_whatever_its_bytes(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from docprep.operators.extract import clear_extractors, register_extractor
+    from docprep.plans.prepare import NOT_UTF8, prepare
+
+    def factory():
+        def handler(raw):
+            return None if raw.startswith(b"\xff\xd8") else f"{len(raw)} bytes"
+
+        return handler
+
+    def broken():
+        raise ValueError("no engine")
+
+    rows = [(1, 1, "good.txt", b"hola"), (1, 2, "lat.txt", b"a\xf1o 2024"), (1, 3, "a.pdf", b"%PDF-1.4\xe2\xe3\xcf"), (1, 4, "b.png", b"\xff\xd8\xff"), (1, 5, "c.docx", b"PK\x03")]
+    files = spark.createDataFrame([(*r[:3], len(r[3]), bytearray(r[3])) for r in rows], "batch_id long, ord int, filename string, length long, content binary")
+    try:
+        register_extractor("pdf", factory)
+        register_extractor("ocr", factory)
+        register_extractor("general", broken)
+        out = prepare(files, text_col=None, content_col="content")
+        got = {r.original_filename: r for r in out.select("original_filename", "status", "error", "markdown_content").collect()}
+    finally:
+        clear_extractors()
+    assert len(got) == 5
+    assert got["good.txt"].markdown_content == "hola" and got["a.pdf"].markdown_content == "11 bytes"
+    assert (got["lat.txt"].status, got["lat.txt"].error) == ("error", NOT_UTF8)
+    assert (got["b.png"].status, got["b.png"].error) == ("error", "the handler returned no text")
+    assert (got["c.docx"].status, got["c.docx"].error) == ("error", "no engine")
