@@ -114,9 +114,8 @@ SELECT d.doc_id, o.out AS markdown, o.out <> d.text AS changed FROM documents d
 )
 def q_compaction_clean(spark: SparkSession, sf: str) -> DataFrame:
     d = D.table(spark, sf, "documents")
-    return d.select("doc_id", compact_markdown(F.col("text")).alias("markdown")).join(
-        d.select("doc_id", "text"), "doc_id"
-    ).select("doc_id", "markdown", (F.col("markdown") != F.col("text")).alias("changed"))
+    done = d.select("doc_id", "text", compact_markdown(F.col("text")).alias("markdown"))
+    return done.select("doc_id", "markdown", (F.col("markdown") != F.col("text")).alias("changed"))
 
 
 @register(
