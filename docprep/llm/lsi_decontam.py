@@ -14,12 +14,15 @@
    answer (its last sentence), must cover enough of them.
 
 Only term rows (bounded by the benchmark block) reach the driver. Benchmarks larger than
-``ITEM_BLOCK`` items run block by block against all documents.
+``ITEM_BLOCK`` items run block by block against all documents. ``matches`` turns whole texts into
+term numbers once (a table in the shared folder) and both passes read the numbers;
+``decontaminated`` carries the rows' own columns and reads the texts in both passes.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,7 @@ ITEM_BLOCK = 4_000
 MAX_TERMS = 400_000
 FREQUENT = 64
 _BLOCKS = 4_096  # half passages folded in at once
+_STEPS = 64
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -74,27 +78,65 @@ def lcs_length(a: list[int], b: list[int]) -> int:
     return len(a) - v.bit_count()
 
 
-class _Terms(dict):
-    """raw word (bytes) -> number of its term, -1 for words of no item."""
+class _Terms:
+    """Term numbers of a text's words, -1 for words of no item.
+
+    Most words are looked up as they stand; only unknown words with a character other
+    than letters and digits are stripped at their edges first.
+    """
 
     def __init__(self, number: dict[str, int]):
-        super().__init__()
-        self.number = number
+        self.get = number.get
+        self.stripped: dict[str, int] = {}
+
+    def __call__(self, text: bytes | None) -> np.ndarray:
+        words = (text or b"").decode("utf-8", "replace").lower().split()
+        out = np.fromiter(map(self.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+        at = np.flatnonzero(out < 0).tolist()
+        unknown = [words[i] for i in at]
+        if len(self.stripped) > 200_000:
+            self.stripped.clear()
+        for i, w, plain in zip(at, unknown, map(str.isalnum, unknown)):
+            if not plain:
+                k = self.stripped.get(w)
+                if k is None:
+                    k = self.stripped[w] = self.get(_EDGE.sub("", w), -1)
+                out[i] = k
+        return out
+
+
+def _code(n_terms: int) -> np.dtype:
+    return np.dtype("<i2" if n_terms < 32_768 else "<i4")
+
+
+def _reader(number: dict[str, int], coded: bool):
+    """Column of texts, or of stored term numbers, -> term numbers by row."""
+    if coded:
+        code = _code(len(number))
+        return lambda column: [np.frombuffer(x or b"", dtype=code) for x in column.to_pylist()]
+    terms = _Terms(number)
+    return lambda column: [terms(x) for x in column.to_pylist()]
+
+
+def _numbered(rows: DataFrame, number: dict[str, int]) -> DataFrame:
+    """``(doc_id, t)`` with the texts ``t`` replaced by their words' term numbers, stored."""
+    shared, code = rows.sparkSession.sparkContext.broadcast(number), _code(len(number))
+
+    def run(batches):
+        terms = _Terms(shared.value)
+        for b in batches:
+            coded = pa.array([terms(t).astype(code).tobytes() for t in b.column(1).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), coded], ["doc_id", "t"])
 
-    def __missing__(self, raw: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        k = self[raw] = self.number.get(_EDGE.sub("", raw.decode("utf-8", "replace").lower()), -1)
-        return k
+    return materialise(rows.select("doc_id", "t").mapInArrow(run, "doc_id long, t binary"), "term_numbers")
 
 
 class Passages:
     """Terms of a batch of texts by half passage; half passages of one text follow each other."""
 
-    def __init__(self, texts: list[bytes | None], terms: _Terms):
-        words = [(t or b"").split() for t in texts]
-        sizes = np.array([len(w) for w in words], dtype=np.int64)
-        self.terms = [np.fromiter(map(terms.__getitem__, w), dtype=np.int32, count=len(w)) for w in words]
+    def __init__(self, texts: list[np.ndarray]):
+        self.terms = texts
+        sizes = np.array([len(w) for w in texts], dtype=np.int64)
         halves = -(-sizes // HALF)
         self.first = np.cumsum(halves) - halves  # first half passage of each text
         self.text_of = np.repeat(np.arange(len(texts)), halves)
@@ -102,7 +144,7 @@ class Passages:
         idx = np.concatenate(self.terms) if self.terms else np.empty(0, np.int32)
         at = np.concatenate([w + f for w, f in zip(within, self.first)]) if within else np.empty(0, np.int64)
         known = idx >= 0
-        self.idx, self.at = idx[known], at[known]
+        self.idx, self.at = idx[known].astype(np.int64), at[known]
         self.n = int(halves.sum())
 
     def parts(self, step: int = _BLOCKS):
@@ -119,12 +161,31 @@ class Passages:
         return dense.astype(np.float32), at[~often], idx[~often]
 
 
-def _fold(dense, at, idx, n: int, basis: np.ndarray) -> np.ndarray:
+def _add_runs(out: np.ndarray, keys: np.ndarray, rows: np.ndarray, pick: np.ndarray) -> None:
+    """``out[k] +=`` the sum of ``rows[pick]`` over the run of ``k`` in the ordered ``keys``.
+
+    The runs' first members are added together, then their second ones and so on, longest run
+    first; what a run holds beyond ``_STEPS`` members is summed alone (at most one such run per ``_STEPS`` keys).
+    """
+    if not len(keys):
+        return
+    starts = np.flatnonzero(np.diff(keys, prepend=-1))
+    sizes = np.diff(starts, append=len(keys))
+    order = np.argsort(-sizes, kind="stable")
+    starts, sizes = starts[order], sizes[order]
+    acc = rows[pick[starts]]
+    for step in range(1, min(int(sizes[0]), _STEPS)):
+        n = np.searchsorted(-sizes, -step)  # runs of more than ``step`` members
+        acc[:n] += rows[pick[starts[:n] + step]]
+    for k in range(np.searchsorted(-sizes, -_STEPS)):
+        acc[k] += rows[pick[starts[k] + _STEPS : starts[k] + sizes[k]]].sum(axis=0)
+    out[keys[starts]] += acc
+
+
+def _fold(dense, at, idx, basis: np.ndarray) -> np.ndarray:
     """Sums of the term rows of ``basis`` by half passage."""
     out = dense @ basis[: dense.shape[1]]
-    if len(at):
-        starts = np.flatnonzero(np.diff(at, prepend=-1))
-        out[at[starts]] += np.add.reduceat(basis[idx], starts, axis=0)
+    _add_runs(out, at, basis, idx)
     return out
 
 
@@ -136,32 +197,30 @@ def _pairs(x: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketch_pass(docs: DataFrame, number: dict[str, int], frequent: int, width: int, seed: int):
+def _sketch_pass(docs: DataFrame, coded: bool, number: dict[str, int], frequent: int, width: int, seed: int):
     """(passages, term -> passages that hold it, sketch rows) over all documents."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(number)
     n_terms = len(number)
 
     def run(batches):
-        terms = _Terms(shared.value)
+        read = _reader(shared.value, coded)
         omega = np.random.default_rng(seed).standard_normal((n_terms, width), dtype=np.float32)
         z = np.zeros((n_terms, width), dtype=np.float32)
         df = np.zeros(n_terms, dtype=np.int64)
         seen = 0
         for b in batches:
-            p = Passages(b.column(0).to_pylist(), terms)
+            p = Passages(read(b.column(0)))
             seen += p.n
             for lo, hi, own in p.parts():
                 dense, at, idx = p.rows(lo, own, frequent)
-                n = own - lo
-                y = _fold(dense, at, idx, n, omega)
+                y = _fold(dense, at, idx, omega)
                 z[:frequent] += dense.T @ y
                 df[:frequent] += (dense > 0).sum(axis=0)
                 if len(idx):
                     order = np.argsort(idx, kind="stable")
                     i, a = idx[order], at[order]
-                    starts = np.flatnonzero(np.diff(i, prepend=-1))
-                    z[i[starts]] += np.add.reduceat(y[a], starts, axis=0)
+                    _add_runs(z, i, y, a)
                     once = (np.diff(i, prepend=-1) != 0) | (np.diff(a, prepend=-1) != 0)
                     df += np.bincount(i[once], minlength=n_terms)
         some = np.flatnonzero(df)
@@ -196,11 +255,11 @@ def _sketch_pass(docs: DataFrame, number: dict[str, int], frequent: int, width:
     return seen, df, z
 
 
-def latent_space(docs: DataFrame, items: list[list[int]], number: dict[str, int], frequent: int, rank: int, seed: int = 17):
+def latent_space(docs: DataFrame, coded: bool, items: list[list[int]], number: dict[str, int], frequent: int, rank: int, seed: int = 17):
     """(idf-scaled basis, item directions): what folds term counts into the latent space, and the items in it."""
     n_terms = len(number)
     width = min(rank + OVERSAMPLE, n_terms)
-    seen, df, z = _sketch_pass(docs, number, frequent, width, seed)
+    seen, df, z = _sketch_pass(docs, coded, number, frequent, width, seed)
     idf = np.log((seen + 1) / (df + 1)) + 0.1
     b = np.zeros((len(items), n_terms))
     for k, words in enumerate(items):
@@ -222,36 +281,44 @@ def latent_space(docs: DataFrame, items: list[list[int]], number: dict[str, int]
     return basis.astype(np.float32), (folded / np.maximum(np.linalg.norm(folded, axis=1, keepdims=True), 1e-12)).astype(np.float32)
 
 
-def _check(words: np.ndarray, start: int, item: list[int], answer: list[int]) -> tuple[float, float]:
-    """Shares of the item and of its answer that the words around the passage hold in order."""
+def _check(words: np.ndarray, start: int, item: list[int], answer: list[int], least: float) -> tuple[float, float] | None:
+    """Shares of the item and of its answer that the words around the passage hold in order; None if
+    they hold, in any order, less than ``least`` of the item's words, which bounds the first share."""
     reach = len(item)
     around = words[max(0, start - reach) : start + 2 * HALF + reach]
     around = around[around >= 0].tolist()
-    return lcs_length(item, around) / len(item), lcs_length(answer, around) / len(answer)
+    if sum(map(set(around).__contains__, item)) < least * reach:
+        return None
+    return lcs_length(item, around) / reach, lcs_length(answer, around) / len(answer)
 
 
-def _search(docs: DataFrame, names: list[str], items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer_share, verbatim, schema):
+def _search(docs, coded: bool, names: list[str], items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer_share, verbatim, schema):
+    """Rows of ``docs`` (the columns ``names``, then the texts or term numbers) through ``schema[1]`` with their matches."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((number, items, answers, ids, basis, directions))
+    least = min(lcs, verbatim) - 1e-9
 
     def run(batches):
         number, items, answers, ids, basis, directions = shared.value
-        terms = _Terms(number)
+        read = _reader(number, coded)
         for b in batches:
-            p = Passages(b.column(len(names)).to_pylist(), terms)
+            p = Passages(read(b.column(len(names))))
             best: dict[tuple[int, int], tuple] = {}
             for lo, hi, own in p.parts():
-                x = _fold(*p.rows(lo, hi, frequent), hi - lo, basis)
+                x = _fold(*p.rows(lo, hi, frequent), basis)
                 x = _pairs(x, p.text_of[lo:hi])[: own - lo]
                 x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
                 near = x @ directions.T
-                for h, k in zip(*np.nonzero(near >= cosine)):
+                for h, k in zip(*(c.tolist() for c in np.nonzero(near >= cosine))):
                     text = int(p.text_of[lo + h])
                     start = int(lo + h - p.first[text]) * HALF
-                    share, answered = _check(p.terms[text], start, items[k], answers[k])
+                    shares = _check(p.terms[text], start, items[k], answers[k], least)
+                    if shares is None:
+                        continue
+                    share, answered = shares
                     if (share >= lcs and answered >= answer_share) or share >= verbatim:
                         found = (share, answered, float(near[h, k]))
-                        best[text, int(k)] = max(best.get((text, int(k)), found), found)
+                        best[text, k] = max(best.get((text, k), found), found)
             yield from schema[1](b, names, best, ids)
 
     return docs.mapInArrow(run, schema[0])
@@ -291,12 +358,9 @@ def _clean_rows(b, names, best, ids):
 MATCHES = "doc_id long, item_id long, lcs_share double, answer_share double, cosine double"
 
 
-def _blocks(docs, benchmark, text_col, bench_text, bench_id, min_words, rank):
-    src = docs.select(F.col(text_col).cast("binary").alias("t"))
-    for ids, items, answers, number in _prepare(benchmark, bench_text, bench_id, min_words):
-        frequent = min(FREQUENT, len(number))
-        basis, directions = latent_space(src, items, number, frequent, min(rank, len(number)))
-        yield ids, items, answers, number, frequent, basis, directions
+def _space(src: DataFrame, coded: bool, items, number, rank):
+    frequent = min(FREQUENT, len(number))
+    return frequent, *latent_space(src.select("t"), coded, items, number, frequent, min(rank, len(number)))
 
 
 def matches(
@@ -309,11 +373,12 @@ def matches(
     ``min_words`` words are not searched for; an item_id with several texts is several items. Repeated rows
     give repeated matches. No documents or no items give an empty result.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("__t"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
     out = docs.sparkSession.createDataFrame([], MATCHES)
-    for block in _blocks(docs, benchmark, text_col, bench_text, bench_id, min_words, rank):
-        ids, items, answers, number, frequent, basis, directions = block
-        found = _search(rows, ["doc_id"], items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer, verbatim, (MATCHES, _match_rows))
+    for ids, items, answers, number in _prepare(benchmark, bench_text, bench_id, min_words):
+        coded = _numbered(rows, number)
+        frequent, basis, directions = _space(coded, True, items, number, rank)
+        found = _search(coded, True, ["doc_id"], items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer, verbatim, (MATCHES, _match_rows))
         out = out.unionByName(found)
     return out
 
@@ -323,9 +388,9 @@ def decontaminated(
     cosine=COSINE, lcs=LCS, answer=ANSWER, verbatim=VERBATIM, min_words=MIN_WORDS, rank=RANK,
 ) -> DataFrame:
     """The rows of ``docs`` (all columns) that hold no item; without items all rows."""
-    names, whole = docs.columns, docs
-    for block in _blocks(whole, benchmark, text_col, bench_text, bench_id, min_words, rank):
-        ids, items, answers, number, frequent, basis, directions = block
+    names, whole = docs.columns, docs.select(F.col(text_col).cast("binary").alias("t"))
+    for ids, items, answers, number in _prepare(benchmark, bench_text, bench_id, min_words):
+        frequent, basis, directions = _space(whole, False, items, number, rank)
         rows = docs.withColumn("__t", F.col(text_col).cast("binary"))
-        docs = _search(rows, names, items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer, verbatim, (docs.schema, _clean_rows))
+        docs = _search(rows, False, names, items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer, verbatim, (docs.schema, _clean_rows))
     return docs

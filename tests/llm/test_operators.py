@@ -216,6 +216,22 @@ def test_decontamination(spark, docs, empty):
     assert lsi_decontam.lcs_length(a, b) == _lcs(a, b)[-1, -1] == brute(a, b)
 
 
+def test_term_numbers_and_run_sums():
+    raw = "  ¿Qué's the «Fox», fox? x_1 _fox_ don't \u3000 well-known (THE) ... ΣΑΣ fox!!"
+    number = {w: k for k, w in enumerate(dict.fromkeys(lsi_decontam.normal_words("the fox don't well-known qué's σας")))}
+    got = lsi_decontam._Terms(number)(raw.encode())
+    plain = [number.get(lsi_decontam._EDGE.sub("", w), -1) for w in raw.lower().split()]
+    assert got.tolist() == plain and plain.count(number["fox"]) == 4
+    assert lsi_decontam._Terms(number)(None).tolist() == []
+    rng = np.random.default_rng(1)
+    keys = np.sort(np.concatenate([rng.integers(0, 40, 200), np.full(500, 7), np.full(64, 50)]))
+    rows, pick = rng.standard_normal((30, 5)), rng.integers(0, 30, len(keys))
+    out, right = np.zeros((60, 5)), np.zeros((60, 5))
+    lsi_decontam._add_runs(out, keys, rows, pick)
+    np.add.at(right, keys, rows[pick])
+    assert np.allclose(out, right)
+
+
 def _lcs(a, b):
     t = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
     for i in range(len(a)):
