@@ -1,24 +1,28 @@
 """Free-text entity recognition: gazetteers (D12) and pluggable models.
 
-* A gazetteer is a table of terms; documents are tokenised natively (one row
-  per token with its offsets) and joined with it. The gazetteer is broadcast
-  only when its row count is below a checked bound, otherwise the join
-  shuffles on the lower-cased token.
+* A gazetteer is a table of terms of one or more words; documents are tokenised
+  natively (one row per token, or run of tokens as long as some term, with its
+  offsets) and joined with it. The gazetteer is broadcast only when its rows and
+  bytes are within checked bounds, otherwise the join shuffles on the lower-cased words.
 * A model is user code behind ``register_model``: an iterator Pandas UDF builds
   it once per task (``factory()``) and maps Arrow batches of texts to span
   arrays. The statistical model itself is not part of this library.
+* ``gazetteer_model`` makes a model from a gazetteer of bounded size, so that
+  redaction and the pipeline can use either kind as a source of spans.
 """
 
 from __future__ import annotations
 
+import re
 from typing import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docprep.functions.pii import Recognizer, find_spans
+from docprep.functions.pii import SPAN_TYPE, Recognizer, detect_spans, find_spans, known_keys, redact_spans, resolve_overlaps
 from docprep.functions.text import cut, let, text_chunks
+from docprep.sources.catalogs import PII_ENTITIES
 
 TOKEN_RX = "[\\p{L}\\p{N}]+"
 MODEL_SPAN_TYPE = "array<struct<start:int,end:int,score:double>>"
@@ -27,6 +31,7 @@ MODEL_SPAN_TYPE = "array<struct<start:int,end:int,score:double>>"
 MAX_BROADCAST_TERMS = 2_000_000
 MAX_BROADCAST_TERM_BYTES = 64 * 1024 * 1024
 
+_ENTITY = {key: (entity, tag) for key, entity, _, tag, _ in PII_ENTITIES}
 _MODELS: dict[str, Callable[[], Callable[[str], list[tuple[int, int, float]]]]] = {}
 
 
@@ -45,15 +50,83 @@ def gazetteer_spans(
     max_broadcast_terms: int = MAX_BROADCAST_TERMS,
     max_broadcast_bytes: int = MAX_BROADCAST_TERM_BYTES,
 ) -> DataFrame:
-    """Spans of tokens that are gazetteer terms (case-insensitive, single tokens)."""
-    toks = df.select(*id_cols, F.explode(tokens(F.col(text_col), entity_key)).alias("t")).select(*id_cols, "t.*")
-    toks = toks.withColumn("__key", F.lower("matched"))
-    terms = gazetteer.select(F.lower(F.col(term_col)).alias("__key")).distinct()
-    # the size check behind the broadcast decision: rows and bytes, one job
-    size = terms.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__key")), F.lit(0)).alias("b")).first()
+    """Spans of the gazetteer's terms, in any case.
+
+    A term is the words (letters and digits) of its text, whatever stands between them; in a
+    document its words must follow each other with exactly one other character between two
+    ("New York", "Saint-Denis"). Terms without a word match nothing. Overlapping matches are all given.
+    """
+    terms = _terms(gazetteer, term_col)
+    # the size check behind the broadcast decision (rows, bytes) and the lengths of the terms, one job
+    size = terms.agg(
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__key")), F.lit(0)).alias("b"), F.collect_set("__n").alias("lengths")
+    ).first()
     if size["n"] <= max_broadcast_terms and size["b"] <= max_broadcast_bytes:
         terms = F.broadcast(terms)
-    return toks.join(terms, "__key", "left_semi").drop("__key")
+    runs = let(tokens(F.col(text_col), entity_key), lambda t: F.concat(*[_token_runs(F.col(text_col), t, n) for n in sorted(size["lengths"]) or [1]]))
+    found = df.select(*id_cols, F.explode(runs).alias("t")).select(*id_cols, "t.*")
+    return found.join(terms, "__key", "left_semi").drop("__key")
+
+
+def _terms(gazetteer: DataFrame, term_col: str) -> DataFrame:
+    """Distinct lower-cased terms: ``__key`` (words joined by blanks) and ``__n`` (number of words)."""
+    words = F.regexp_extract_all(F.col(term_col), F.lit(TOKEN_RX), 0)
+    keyed = gazetteer.select(words.alias("w")).select(F.lower(F.array_join("w", " ")).alias("__key"), F.size("w").alias("__n"))
+    return keyed.filter("__n > 0").select("__key", "__n").distinct()
+
+
+def _token_runs(text: Column, toks: Column, n: int) -> Column:
+    """All runs of ``n`` tokens with single characters between them, as spans with their ``__key``."""
+
+    def span(first: Column, last: Column, key: Column, matched: Column) -> Column:
+        fields = [first["entity"].alias("entity"), first["start"].alias("start"), last["end"].alias("end"), first["score"].alias("score")]
+        return F.struct(key.alias("__key"), *fields, matched.alias("matched"))
+
+    if n == 1:
+        return F.transform(toks, lambda t: span(t, t, F.lower(t["matched"]), t["matched"]))
+
+    def run(b: Column, i: Column) -> Column:
+        words = F.slice(b["t"], i, n)
+        spelled = F.transform(words, lambda w: w["matched"])
+
+        def build(w: Column) -> Column:
+            first, last = F.element_at(w["r"], 1), F.element_at(w["r"], n)
+            close = last["end"] - first["start"] == F.length(F.array_join(w["s"], " "))
+            key = F.lower(F.array_join(w["s"], " "))
+            return F.when(close, span(first, last, key, cut(b["c"], first["start"], last["end"])))
+
+        return let(F.struct(words.alias("r"), spelled.alias("s")), build)
+
+    bound = F.struct(toks.alias("t"), text_chunks(text).alias("c"))
+    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return let(bound, lambda b: F.filter(F.transform(starts, lambda i: run(b, i)), lambda s: s.isNotNull()))
+
+
+def gazetteer_model(gazetteer: DataFrame, term_col: str = "term", max_terms: int = MAX_BROADCAST_TERMS, score: float = 0.85):
+    """A model factory from a gazetteer of at most ``max_terms`` distinct terms (checked, never cut):
+    at every token the longest term that starts there, by the rules of ``gazetteer_spans``."""
+    rows = _terms(gazetteer, term_col).limit(max_terms + 1).collect()
+    if len(rows) > max_terms:
+        raise ValueError(f"the gazetteer has more than {max_terms} terms; raise max_terms or use gazetteer_spans")
+    keys, lengths = frozenset(r["__key"] for r in rows), sorted({r["__n"] for r in rows}, reverse=True)
+    word = re.compile(r"[^\W_]+")
+
+    def factory():
+        def predict(text: str) -> list[tuple[int, int, float]]:
+            at = [(m.start(), m.end(), m.group().lower()) for m in word.finditer(text)]
+            out, i = [], 0
+            while i < len(at):
+                for n in lengths:
+                    run = at[i : i + n]
+                    if len(run) == n and all(a[1] + 1 == b[0] for a, b in zip(run, run[1:])) and " ".join(w[2] for w in run) in keys:
+                        out.append((run[0][0], run[-1][1], score))
+                        break
+                i += n if out and out[-1][0] == at[i][0] else 1
+            return out
+
+        return predict
+
+    return factory
 
 
 def register_model(entity_key: str, factory: Callable[[], Callable[[str], list[tuple[int, int, float]]]]) -> None:
@@ -61,9 +134,38 @@ def register_model(entity_key: str, factory: Callable[[], Callable[[str], list[t
     _MODELS[entity_key] = factory
 
 
-def model_spans(text: Column, entity_key: str) -> Column:
-    """Spans predicted by the registered model (built once per task)."""
-    factory = _MODELS[entity_key]
+def registered_models() -> dict[str, Callable]:
+    return dict(_MODELS)
+
+
+def missing_sources(keys: list[str], models: dict[str, Callable] | None = None) -> list[str]:
+    """Requested entity types of the catalogue that neither a pattern nor a model can find."""
+    have = set(known_keys(keys)) | set(models or {})
+    return [k for k in dict.fromkeys(keys) if k in _ENTITY and k not in have]
+
+
+def redact_with_models(text: Column, keys: list[str], models: dict[str, Callable]) -> Column:
+    """R4 with spans of patterns and models together: overlaps resolved (R3), then replaced by the types' tags."""
+    found = [detect_spans(text, keys)]
+    for key in dict.fromkeys(k for k in keys if k in models):
+        found.append(_typed_spans(text, model_spans(text, key, models[key]), _ENTITY.get(key, (key.upper(), ""))[0]))
+    spans = resolve_overlaps(F.coalesce(F.concat(*found), F.array().cast(SPAN_TYPE)))
+    tags = {entity: tag for entity, tag in _ENTITY.values()} | {k.upper(): f"[{k.upper()}]" for k in models if k not in _ENTITY}
+    return F.when(text.isNotNull(), redact_spans(text, spans, tags))
+
+
+def _typed_spans(text: Column, spans: Column, entity: str) -> Column:
+    """Spans of a model with their type and their text, cut from the text's chunks inside the array."""
+    fields = lambda s: (F.lit(entity).alias("entity"), s["start"].alias("start"), s["end"].alias("end"), s["score"].alias("score"))
+    return let(
+        F.struct(text_chunks(text).alias("c"), spans.alias("s")),
+        lambda b: F.transform(b["s"], lambda s: F.struct(*fields(s), cut(b["c"], s["start"], s["end"]).alias("matched"))),
+    )
+
+
+def model_spans(text: Column, entity_key: str, factory: Callable | None = None) -> Column:
+    """Spans predicted by ``factory``'s model, or the registered one (built once per task)."""
+    factory = _MODELS[entity_key] if factory is None else factory
 
     @F.pandas_udf(MODEL_SPAN_TYPE)
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -82,17 +184,5 @@ def detect_with_model(df: DataFrame, text_col: str, entity_key: str, entity: str
     long document with many spans is neither walked per span nor copied per row."""
     t = F.col(text_col)
     spans = model_spans(t, entity_key)
-    with_text = let(
-        F.struct(text_chunks(t).alias("c"), spans.alias("s")),
-        lambda b: F.transform(
-            b["s"],
-            lambda s: F.struct(
-                F.lit(entity).alias("entity"),
-                s["start"].alias("start"),
-                s["end"].alias("end"),
-                s["score"].alias("score"),
-                cut(b["c"], s["start"], s["end"]).alias("matched"),
-            ),
-        ),
-    )
+    with_text = _typed_spans(t, spans, entity)
     return df.select(*id_cols, F.explode(with_text).alias("s")).select(*id_cols, "s.*")

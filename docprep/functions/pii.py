@@ -399,8 +399,9 @@ RESOLVE_BLOCK = 128
 
 def resolve_overlaps(spans: Column, block: int = RESOLVE_BLOCK) -> Column:
     """One replacement per stretch of text. Spans are ordered by start, longer
-    first, higher score first; a span starting before the end of a kept one is
-    dropped (so a span inside another loses, and equal spans keep the best score)."""
+    first, higher score first. A span inside the text already taken is dropped (equal
+    spans keep the best score). One that reaches beyond it extends the last span when it is
+    of the same type, and is else cut to its free part: no matched text stays uncovered."""
     ordered = F.array_sort(
         spans,
         lambda a, b: F.when(a["start"] != b["start"], F.when(a["start"] < b["start"], -1).otherwise(1))
@@ -410,31 +411,43 @@ def resolve_overlaps(spans: Column, block: int = RESOLVE_BLOCK) -> Column:
         .otherwise(0),
     )
 
-    def keep_in_block(reach: Column, blk: Column) -> Column:
-        init = F.struct(reach.alias("reach"), F.array().cast(SPAN_TYPE).alias("out"))
-        return F.aggregate(
-            blk,
-            init,
-            lambda acc, s: F.when(
-                s["start"] >= acc["reach"],
-                F.struct(s["end"].alias("reach"), F.concat(acc["out"], F.array(s)).alias("out")),
-            ).otherwise(acc),
-        )
+    def joined(a: Column, s: Column, matched: Column, start: Column, score: Column) -> Column:
+        return F.struct(a["entity"].alias("entity"), start.alias("start"), s["end"].alias("end"), score.alias("score"), matched.alias("matched"))
+
+    # ``last``: none yet, or the span that may still grow; ``out``: the spans before it
+    def keep_in_block(last: Column, blk: Column) -> Column:
+        init = F.struct(last.alias("last"), F.array().cast(SPAN_TYPE).alias("out"))
+
+        def step(acc: Column, s: Column) -> Column:
+            grown = F.get(acc["last"], F.lit(0))
+            reach = F.coalesce(grown["end"], F.lit(0))
+            tail = F.substr(s["matched"], reach - s["start"] + 1, s["end"] - reach)
+            merged = joined(grown, s, F.concat(grown["matched"], tail), grown["start"], F.greatest(grown["score"], s["score"]))
+            push = lambda x: F.struct(F.array(x).cast(SPAN_TYPE).alias("last"), F.concat(acc["out"], acc["last"]).alias("out"))
+            return (
+                F.when(s["start"] >= reach, push(s))
+                .when(s["end"] <= reach, acc)
+                .when(s["entity"] == grown["entity"], F.struct(F.array(merged).cast(SPAN_TYPE).alias("last"), acc["out"].alias("out")))
+                .otherwise(push(joined(s, s, tail, reach, s["score"])))
+            )
+
+        return F.aggregate(blk, init, step)
 
     def run(o: Column) -> Column:
         n = F.size(o)
         nb = F.floor((n + block - 1) / block).cast("int")
         blocks = F.transform(F.sequence(F.lit(0), F.greatest(nb - 1, F.lit(0))), lambda i: F.slice(o, i * block + 1, block))
-        init = F.struct(F.lit(0).alias("reach"), F.array().cast(f"array<{SPAN_TYPE}>").alias("outs"))
+        init = F.struct(F.array().cast(SPAN_TYPE).alias("last"), F.array().cast(f"array<{SPAN_TYPE}>").alias("outs"))
         folded = F.aggregate(
             blocks,
             init,
             lambda acc, blk: let(
-                keep_in_block(acc["reach"], blk),
-                lambda r: F.struct(r["reach"].alias("reach"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")),
+                keep_in_block(acc["last"], blk),
+                lambda r: F.struct(r["last"].alias("last"), F.concat(acc["outs"], F.array(r["out"])).alias("outs")),
             ),
         )
-        return F.when(n <= 0, F.array().cast(SPAN_TYPE)).otherwise(F.flatten(folded["outs"]))
+        whole = let(folded, lambda f: F.concat(F.flatten(f["outs"]), f["last"]))
+        return F.when(n <= 0, F.array().cast(SPAN_TYPE)).otherwise(whole)
 
     return let(ordered, run)
 

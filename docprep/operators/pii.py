@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docprep.functions import pii as P
+from docprep.functions.models import missing_sources, redact_with_models
+from docprep.sources import catalogs as C
 from docprep.sources.catalogs import PII_ENTITIES, default_entity_keys
 
 
@@ -31,14 +33,20 @@ def redact_resolved(text: Column, keys: list[str] | None = None) -> Column:
     return P.redact_spans(text, P.resolve_overlaps(P.detect_spans(text, keys)))
 
 
-def redact_columns(df: DataFrame, cols: list[str], keys: list[str] | None, anonymize: bool = True) -> DataFrame:
+def redact_columns(df: DataFrame, cols: list[str], keys: list[str] | None, anonymize: bool = True, models: dict | None = None) -> DataFrame:
     """Redact the requested entity types in each column; adds ``anonymized``
     (true when anonymisation was asked with a non-empty key list, even if every
-    key is unknown)."""
-    keys = list(keys or [])
+    key is unknown). Types of the catalogue that neither a pattern nor one of ``models`` finds
+    are an error: their values would stay in the text."""
+    keys, models = list(keys or []), models or {}
     out = df
-    if anonymize and P.known_keys(keys):
-        out = out.withColumns({c: P.redact(F.col(c), keys) for c in cols})
+    if anonymize:
+        if missing := missing_sources(keys, models):
+            raise ValueError(C.ANONYMIZER_MESSAGE + ", ".join(missing))
+        if any(k in models for k in keys):
+            out = out.withColumns({c: redact_with_models(F.col(c), keys, models) for c in cols})
+        elif P.known_keys(keys):
+            out = out.withColumns({c: P.redact(F.col(c), keys) for c in cols})
     return out.withColumn("anonymized", F.lit(bool(anonymize and keys)))
 
 
@@ -50,6 +58,21 @@ def pii_summary(spans: DataFrame, group_cols: tuple[str, ...] = (), id_col: str
     )
 
 
+def pii_counts(df: DataFrame, text_col: str, keys: list[str] | None = None, group_cols: tuple[str, ...] = ()) -> DataFrame:
+    """A4 straight from texts, a document being a row: the spans of a row are counted by entity inside the row,
+    so two plain sums are left and no (entity, document) pair is shuffled."""
+    keys = default_entity_keys() if keys is None else keys
+    found = F.transform(P.detect_spans(F.col(text_col), keys), lambda s: s["entity"])
+    counts = P.let(
+        found,
+        lambda a: F.transform(
+            F.array_distinct(a), lambda e: F.struct(e.alias("entity"), F.size(F.filter(a, lambda x: x == e)).cast("long").alias("n"))
+        ),
+    )
+    rows = df.select(*group_cols, F.explode(counts).alias("c")).select(*group_cols, "c.*")
+    return rows.groupBy(*group_cols, "entity").agg(F.sum("n").alias("n_spans"), F.count(F.lit(1)).alias("n_docs"))
+
+
 # --------------------------------------------------------------------------- entity parameters
 
 _KEYS = [k for k, *_ in PII_ENTITIES]

@@ -11,9 +11,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docprep.functions.compact import compact_markdown
+from docprep.functions.models import missing_sources, redact_with_models
 from docprep.functions.pii import known_keys, redact
 from docprep.operators.admission import admit, checked_rejected, error_message, http_status, with_format, with_names
-from docprep.sources.catalogs import MAX_FILE_SIZE
+from docprep.sources.catalogs import ANONYMIZER_MESSAGE, MAX_FILE_SIZE
 from docprep.operators.extract import HTML_EXTENSIONS, TEXT_EXTENSIONS, apply_extractors, native_extract, registered_extractors, text_passthrough
 
 RESULT_COLUMNS = [
@@ -49,24 +50,36 @@ def prepare(
     compact: bool = True,
     text_col: str | None = "text",
     content_col: str | None = None,
+    models: dict | None = None,
+    batch_limits: bool = True,
 ) -> DataFrame:
     """Run the pipeline over ``files`` (batch_id, ord, filename, length + text or content).
 
     ``anonymized`` is true whenever anonymisation was asked with a non-empty
     key list, even if every key is unknown; ``original_chars`` is the length in
     code points after redaction and before compaction.
+
+    ``models`` maps entity keys to model factories (``register_model``, ``gazetteer_model``). When a
+    type of the catalogue is requested that has neither a pattern nor a model, every file that would
+    succeed becomes an ANONYMIZER_UNAVAILABLE row: an incomplete redaction never passes for a whole one.
+    With ``batch_limits`` off, batches over a limit are not looked for and the column ``length`` is
+    kept: ``apply_batch_limits`` takes that decision later, over all parts of a stream.
+    ``person`` has a source of its own, the label rule, which finds labelled names only.
     """
     keys = parse_entities(entities) if isinstance(entities, str) else list(entities)
     redact_keys = known_keys(keys) if anonymize else []
     anonymized = bool(anonymize and keys)
+    asked = [k for k in keys if k in (models or {})] if anonymize else []
+    unsourced = missing_sources(keys, models) if anonymize else []
 
     named = with_format(with_names(files))
+    undecided = None if batch_limits else named.select("batch_id", F.lit("").alias("__batch_code")).where(F.lit(False))
     if text_col is None:
         # Bytes are read only for files within the size limit: that filter is
         # pushed into the file scan, and oversized files come from a scan
         # without their content (they only need an error row). Both parts
         # share the batch decision taken over all files.
-        rejected = checked_rejected(named)
+        rejected = checked_rejected(named) if undecided is None else undecided
         within = (F.col("length") <= MAX_FILE_SIZE) | F.col("length").isNull()
         small = admit(named.filter(within), rejected=rejected)
         large = admit(named.filter(~within).drop(content_col), rejected=rejected).withColumn(
@@ -78,7 +91,7 @@ def prepare(
             F.when(F.col("ext").isin(*TEXT_EXTENSIONS, *HTML_EXTENSIONS), text_passthrough(F.col(content_col))),
         )
     else:
-        adm = admit(named).withColumn("__text", F.col(text_col))
+        adm = admit(named, rejected=undecided).withColumn("__text", F.col(text_col))
 
     native_exts = (*TEXT_EXTENSIONS, *HTML_EXTENSIONS)
     is_native = F.col("ext").isin(*native_exts)
@@ -112,8 +125,13 @@ def prepare(
         parts.append(extracted)
     staged = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
+    if unsourced:
+        no_source = F.col("error_code").isNull()
+        staged = staged.withColumn("__why", F.when(no_source, F.lit(ANONYMIZER_MESSAGE + ", ".join(unsourced))).otherwise(F.col("__why")))
+        staged = staged.withColumn("error_code", F.coalesce("error_code", F.lit("ANONYMIZER_UNAVAILABLE")))
+
     text = F.col("__raw")
-    redacted = redact(text, redact_keys) if redact_keys else text
+    redacted = redact_with_models(text, keys, models) if asked else redact(text, redact_keys) if redact_keys else text
     ok = F.col("error_code").isNull()
     out = staged.withColumn("__red", F.when(ok, redacted)).withColumns(
         {
@@ -130,4 +148,20 @@ def prepare(
             "markdown_filename": F.when(ok, F.col("markdown_filename")),
         }
     )
-    return out.select(*RESULT_COLUMNS)
+    return out.select(*RESULT_COLUMNS, *([] if batch_limits else ["length"]))
+
+
+def apply_batch_limits(prepared: DataFrame) -> DataFrame:
+    """P3/P4 over rows prepared with ``batch_limits`` off: all rows of a batch over a limit become its error rows."""
+    over, code = F.col("__batch_code").isNotNull(), F.col("__batch_code")
+    rows = prepared.join(checked_rejected(prepared), "batch_id", "left")
+    of_results = ("format", "markdown_content", "markdown_filename", "anonymized", "original_chars", "compacted")
+    return rows.withColumns(
+        {c: F.when(~over, F.col(c)) for c in of_results}
+        | {
+            "status": F.when(over, F.lit("error")).otherwise(F.col("status")),
+            "error_code": F.coalesce(code, F.col("error_code")),
+            "error": F.when(over, error_message(code)).otherwise(F.col("error")),
+            "http_status": F.when(over, http_status(code)).otherwise(F.col("http_status")),
+        }
+    ).select(*RESULT_COLUMNS)

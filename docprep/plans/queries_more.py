@@ -100,18 +100,18 @@ def q_detect_pii(spark: SparkSession, sf: str) -> DataFrame:
     return OP.detect_pii(D.id_documents(spark, sf), "text", ALL_KEYS)
 
 
-_RESOLVED_SQL = f"""WITH s_src AS (SELECT doc_id AS id, text AS t FROM ({D.ID_DOCUMENTS_SQL})),
-sp AS ({_SPANS_SQL}),
-ordered AS (SELECT *, max("end") OVER (PARTITION BY id ORDER BY "start", "end" DESC, score DESC, entity
-             ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach_all FROM sp)"""
-
-
 _SPAN_STRUCT = "STRUCT(entity VARCHAR, st INTEGER, en INTEGER, score DOUBLE, matched VARCHAR)"
 _RESOLVED_ORACLE = f"""WITH s_src AS (SELECT doc_id AS id, text AS t FROM ({D.ID_DOCUMENTS_SQL})),
 sp AS ({_SPANS_SQL}),
 grp AS (SELECT id, list(struct_pack(entity := entity, st := "start", en := "end", score := score, matched := matched)
           ORDER BY "start", "end" DESC, score DESC, entity) AS ss FROM sp GROUP BY id),
-res AS (SELECT id, list_reduce(ss, lambda acc, x: CASE WHEN x.st >= acc.reach THEN {{'reach': x.en, 'out': list_append(acc.out, x)}} ELSE acc END,
+res AS (SELECT id, list_reduce(ss, lambda acc, x: CASE WHEN x.st >= acc.reach THEN {{'reach': x.en, 'out': list_append(acc.out, x)}}
+          WHEN x.en <= acc.reach THEN acc
+          WHEN x.entity = acc.out[-1].entity THEN {{'reach': x.en, 'out': list_append(acc.out[1:len(acc.out) - 1], struct_pack(entity := x.entity,
+            st := acc.out[-1].st, en := x.en, score := greatest(acc.out[-1].score, x.score),
+            matched := acc.out[-1].matched || substr(x.matched, acc.reach - x.st + 1)))}}
+          ELSE {{'reach': x.en, 'out': list_append(acc.out, struct_pack(entity := x.entity, st := acc.reach, en := x.en, score := x.score,
+            matched := substr(x.matched, acc.reach - x.st + 1)))}} END,
           {{'reach': 0, 'out': []::{_SPAN_STRUCT}[]}}).out AS kept FROM grp),
 u AS (SELECT id, unnest(kept) AS k FROM res)
 SELECT id AS doc_id, k.entity AS entity, k.st AS "start", k.en AS "end", k.score AS score, k.matched AS matched FROM u"""
@@ -119,7 +119,7 @@ SELECT id AS doc_id, k.entity AS entity, k.st AS "start", k.en AS "end", k.score
 
 @register(
     "resolve_overlaps",
-    "R3 (a span inside or overlapping an earlier, longer or better one is dropped)",
+    "R3 (inside an earlier, longer or better span: dropped; beyond it: merged when of its type, else cut to the free part)",
     _RESOLVED_ORACLE,
 )
 def q_resolve_overlaps(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,8 +135,7 @@ FROM ({_SPANS_SQL}) sp JOIN documents d ON sp.id = d.doc_id GROUP BY d.source, s
 )
 def q_pii_summary(spark: SparkSession, sf: str) -> DataFrame:
     d = D.id_documents(spark, sf)
-    spans = OP.detect_pii(d, "text", ALL_KEYS, id_cols=("doc_id", "source"))
-    return OP.pii_summary(spans, ("source",)).select("source", "entity", "n_spans", "n_docs")
+    return OP.pii_counts(d, "text", ALL_KEYS, ("source",)).select("source", "entity", "n_spans", "n_docs")
 
 
 # The entity requests given to document i are REQUESTS[i % 5].
@@ -448,16 +447,20 @@ def _documents_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _stream_prepared(spark: SparkSession, sf: str) -> DataFrame:
-    from docprep.streaming.stream import prepare_stream, scratch
+    from docprep.streaming.stream import prepare_stream, read_prepared, read_stream, scratch
 
     out, ck = scratch(spark, "st1-out"), scratch(spark, "st1-ck")
+    # several files, one a trigger: batches come over several epochs
+    src = scratch(spark, "st1-in")
+    docs = D.table(spark, sf, "documents")
+    docs.repartition(4, "doc_id").write.parquet(src)
     q = prepare_stream(
-        _documents_stream(spark, sf), out, ck,
+        read_stream(spark, src, docs.schema, max_files=1), out, ck,
         to_files=lambda b: D.files_from_documents(b, id_text=True),
         anonymize=True, entities=PIPELINE_ENTITIES, compact=True,
     )
     q.awaitTermination()
-    return spark.read.parquet(out)
+    return read_prepared(spark, out)
 
 
 @register("stream_prepare", "ST1 (the pipeline over a file stream; equals the batch pipeline)", f"WITH {_PIPE}\nSELECT {_RESULT_COLS} FROM pipeline")
@@ -547,13 +550,13 @@ def q_export_bundles(spark: SparkSession, sf: str) -> DataFrame:
 
 # =========================================================================== free-text entities, catalogue report
 
-GAZ_FIRST_TOKEN_RX = "^[\\p{L}\\p{N}]+"
-
-
 def _gazetteer_terms(spark: SparkSession, sf: str) -> DataFrame:
-    b = D.table(spark, sf, "benchmark")
-    t = b.select(F.regexp_extract("text", GAZ_FIRST_TOKEN_RX, 0).alias("term"))
-    return t.filter(F.length("term") >= 4)
+    """Every word and every two words in a row of the benchmark's whole texts."""
+    from docprep.functions.models import TOKEN_RX
+
+    words = D.table(spark, sf, "benchmark").select(F.regexp_extract_all("text", F.lit(TOKEN_RX), 0).alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.expr("slice(w, 2, size(w))"), lambda a, b: F.concat_ws(" ", a, b))
+    return words.select(F.explode(F.concat("w", F.when(F.size("w") > 1, pairs).otherwise(F.array().cast("array<string>")))).alias("term"))
 
 
 def _gazetteer_sql() -> str:
@@ -562,12 +565,18 @@ def _gazetteer_sql() -> str:
 
     tok = S.spans_sql("s_src", [], [Recognizer("location", TOKEN_RX, 0.85, name="token")])
     return f"""WITH s_src AS (SELECT doc_id AS id, text AS t FROM documents),
-terms AS (SELECT DISTINCT lower(regexp_extract(text, {S.q(GAZ_FIRST_TOKEN_RX)}, 0)) AS k FROM benchmark
-          WHERE length(regexp_extract(text, {S.q(GAZ_FIRST_TOKEN_RX)}, 0)) >= 4)
-SELECT id AS doc_id, entity, "start", "end", score, matched FROM ({tok}) WHERE lower(matched) IN (SELECT k FROM terms)"""
-
-
-@register("gazetteer_locations", "D12 (gazetteer terms from the benchmark table, token join, size-checked broadcast)", _gazetteer_sql())
+ws AS (SELECT regexp_extract_all(text, {S.q(TOKEN_RX)}, 0) AS w FROM benchmark),
+terms AS (SELECT DISTINCT lower(k) AS k FROM (SELECT unnest(w) AS k FROM ws
+  UNION ALL SELECT w[i] || ' ' || w[i + 1] AS k FROM (SELECT w, unnest(range(1, len(w))) AS i FROM ws))),
+tok AS ({tok}),
+nxt AS (SELECT *, lead("start") OVER o AS st2, lead("end") OVER o AS en2, lead(matched) OVER o AS m2 FROM tok WINDOW o AS (PARTITION BY id ORDER BY "start")),
+runs AS (SELECT id, entity, "start", "end", score, matched, lower(matched) AS k FROM tok
+  UNION ALL SELECT n.id, entity, "start", en2 AS "end", score, matched || substr(t, "end" + 1, 1) || m2 AS matched, lower(matched || ' ' || m2) AS k
+  FROM nxt n JOIN s_src USING (id) WHERE st2 = "end" + 1)
+SELECT id AS doc_id, entity, "start", "end", score, matched FROM runs WHERE k IN (SELECT k FROM terms)"""
+
+
+@register("gazetteer_locations", "D12 (one- and two-word terms from the whole benchmark texts, token run join, size-checked broadcast)", _gazetteer_sql())
 def q_gazetteer_locations(spark: SparkSession, sf: str) -> DataFrame:
     from docprep.functions.models import gazetteer_spans
 
@@ -590,8 +599,7 @@ SELECT CAST(c.ordinal AS INTEGER) AS ordinal, c.key, c.label, c.tag, c."default"
 FROM {_CATALOG_SQL} c LEFT JOIN agg a ON c.entity = a.entity""",
 )
 def q_entity_report(spark: SparkSession, sf: str) -> DataFrame:
-    spans = OP.detect_pii(D.id_documents(spark, sf), "text", ALL_KEYS)
-    agg = OP.pii_summary(spans)
+    agg = OP.pii_counts(D.id_documents(spark, sf), "text", ALL_KEYS)
     cat = C.pii_catalog(spark)
     return cat.join(agg, "entity", "left").select(
         "ordinal", "key", "label", "tag", "default",

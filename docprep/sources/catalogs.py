@@ -82,6 +82,7 @@ TOO_MANY_MESSAGE = f"Too many files (max {MAX_FILES_PER_BATCH})"
 EMPTY_MESSAGE = "No files provided"
 BATCH_TOO_LARGE_MESSAGE = "Request body too large"
 EXTRACTOR_MESSAGE = "Extractor not available for this format"
+ANONYMIZER_MESSAGE = "Anonymizer not available for: "
 
 
 def format_catalog(spark: SparkSession) -> DataFrame:

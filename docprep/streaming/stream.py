@@ -1,9 +1,10 @@
 """The pipeline over Structured Streaming (ST1-ST3).
 
-* ST1 ``prepare_stream``: arriving files run through the same pipeline. The
-  row expressions are stateless; admission needs whole batches, so each
-  micro-batch is prepared with ``foreachBatch`` and written under its epoch id
-  (an overwrite of that epoch's folder: a retried epoch replaces its output).
+* ST1 ``prepare_stream``: arriving files run through the same pipeline. Each
+  micro-batch is prepared row by row with ``foreachBatch`` and written under its epoch id
+  (an overwrite of that epoch's folder: a retried epoch replaces its output). A batch may
+  arrive over many epochs, so its limits are judged over all of them when the rows are read
+  (``read_prepared``), and the result equals the batch pipeline's whatever the triggers.
 * ST2 ``dedupe_stream``: first file per key within the watermark.
 * ST3 ``progress_stream``: running done/ok/failed per batch, a stateful
   streaming aggregate (state in the checkpoint), written in update mode
@@ -21,7 +22,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docprep.plans.prepare import prepare
+from docprep.plans.prepare import apply_batch_limits, prepare
 from docprep.session import checkpoint_dir
 
 
@@ -51,7 +52,7 @@ def prepare_stream(
 
     def each(batch: DataFrame, epoch: int) -> None:
         files = to_files(batch) if to_files else batch
-        out = prepare(files, **prepare_opts).withColumn("epoch", F.lit(epoch).cast("long"))
+        out = prepare(files, batch_limits=False, **prepare_opts).withColumn("epoch", F.lit(epoch).cast("long"))
         out.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
@@ -59,6 +60,11 @@ def prepare_stream(
     return writer.start()
 
 
+def read_prepared(spark: SparkSession, out_dir: str) -> DataFrame:
+    """The rows of ``prepare_stream`` so far, with the batch limits over all epochs."""
+    return apply_batch_limits(spark.read.parquet(out_dir))
+
+
 def dedupe_stream(stream: DataFrame, keys: list[str], event_time: str, delay: str = "1 hour") -> DataFrame:
     """ST2: drop later copies of a key seen within the watermark delay."""
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
@@ -73,21 +79,6 @@ def progress_stream(results: DataFrame, batch_col: str = "batch_id") -> DataFram
     )
 
 
-def write_complete(agg: DataFrame, out_dir: str, checkpoint: str):
-    """Materialise a streaming aggregate: every epoch overwrites the full table."""
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(out_dir)
-
-    return (
-        agg.writeStream.outputMode("complete")
-        .foreachBatch(each)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-
-
 def write_updates(agg: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
     """Materialise a streaming aggregate in update mode: each epoch writes only
     the groups it changed, under ``epoch=<id>`` (overwritten when an epoch is

@@ -196,3 +196,41 @@ def test_every_file_gets_one_row_whatever_its_bytes(spark, tmp_path):
     assert (got["lat.txt"].status, got["lat.txt"].error) == ("error", NOT_UTF8)
     assert (got["b.png"].status, got["b.png"].error) == ("error", "the handler returned no text")
     assert (got["c.docx"].status, got["c.docx"].error) == ("error", "no engine")
+
+
+def test_gazetteer_terms_of_several_words(spark):
+    df = spark.createDataFrame([(1, "De Nueva  York a nueva york, a Nueva-York y York"), (2, None), (3, "")], "doc_id long, text string")
+    gaz = spark.createDataFrame([("Nueva York",), ("york",), ("...",), (None,)], "term string")
+    want = {(10, 14, "York"), (17, 27, "nueva york"), (23, 27, "york"), (31, 41, "Nueva-York"), (37, 41, "York"), (44, 48, "York")}
+    for bound in (M.MAX_BROADCAST_TERM_BYTES, 0):
+        assert {(r.start, r.end, r.matched) for r in M.gazetteer_spans(df, "text", gaz, max_broadcast_bytes=bound).collect()} == want
+    predict = M.gazetteer_model(gaz)()
+    assert [s[:2] for s in predict(df.first().text)] == [(10, 14), (17, 27), (31, 41), (44, 48)]
+    assert M.gazetteer_spans(df, "text", gaz.where("false")).count() == 0
+
+
+def test_types_without_a_source_are_errors(spark):
+    files = spark.createDataFrame([(1, 0, "a.txt", 9, "Maria vive en Nueva York, 1/2/2024"), (1, 1, "b.zzz", 9, "x")], "batch_id long, ord int, filename string, length long, text string")
+    got = {r.original_filename: r for r in prepare(files, anonymize=True, entities="location,date").collect()}
+    assert got["a.txt"].error_code == "ANONYMIZER_UNAVAILABLE" and got["a.txt"].http_status == 503
+    assert got["a.txt"].error.endswith("location") and got["a.txt"].markdown_content is None and got["a.txt"].anonymized is None
+    assert got["b.zzz"].error_code == "UNSUPPORTED_FORMAT"
+    places = M.gazetteer_model(spark.createDataFrame([("nueva york",)], "term string"))
+    row = prepare(files, anonymize=True, entities="location,date", models={"location": places}).filter("ord = 0").first()
+    assert (row.status, row.markdown_content, row.anonymized) == ("success", "Maria vive en [DIRECCION], [FECHA]", True)
+
+
+def test_stream_judges_batches_over_all_epochs(spark):
+    from docprep.plans.prepare import RESULT_COLUMNS
+    from docprep.streaming.stream import prepare_stream, read_prepared, read_stream, scratch
+
+    rows = [(1, i, f"f{i}.txt", 5, f"text {i}") for i in range(60)] + [(2, i, f"g{i}.txt", 5, "ok") for i in range(4)]
+    files = spark.createDataFrame(rows, "batch_id long, ord int, filename string, length long, text string")
+    src, out = scratch(spark, "t-st-src"), scratch(spark, "t-st-out")
+    for i in range(2):  # 30 files of batch 1 and two of batch 2 a trigger
+        files.filter(F.col("ord") % 2 == i).coalesce(1).write.mode("append").parquet(src)
+    prepare_stream(read_stream(spark, src, files.schema, max_files=1), out, scratch(spark, "t-st-ck")).awaitTermination()
+    assert spark.read.parquet(out).select("epoch").distinct().count() == 2
+    got = {tuple(r) for r in read_prepared(spark, out).select(*RESULT_COLUMNS).collect()}
+    assert got == {tuple(r) for r in prepare(files).collect()}
+    assert sum(r[RESULT_COLUMNS.index("error_code")] == "TOO_MANY_FILES" for r in got) == 60

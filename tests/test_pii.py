@@ -116,3 +116,14 @@ def test_no_python_udf_in_redaction_plan(spark):
     df = spark.createDataFrame([(1, "x")], "doc_id long, text string")
     plan = df.select(P.redact(F.col("text"), ALL).alias("r"))._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "BatchEvalPython" not in plan and "Exchange" not in plan
+
+
+def test_resolution_leaves_no_matched_text_uncovered(spark):
+    # two date patterns overlap: the stretch becomes one date
+    assert one(spark, lambda c: OP.redact_resolved(c, ["date"]), "el 1/2/2024/3/4 fin")[0].count("[FECHA]") == 1
+    span = "struct<entity:string,start:int,end:int,score:double,matched:string>"
+    rows = [[("A", 0, 5, 0.5, "abcde"), ("A", 3, 8, 0.9, "defgh"), ("B", 6, 10, 0.4, "ghij"), ("B", 7, 9, 0.4, "hi"), ("A", 9, 12, 0.1, "jkl")]]
+    df = spark.createDataFrame([(r,) for r in rows], f"s array<{span}>")
+    for block in (1, 2, 128):
+        got = [tuple(x) for x in df.select(P.resolve_overlaps(F.col("s"), block=block)).first()[0]]
+        assert got == [("A", 0, 8, 0.9, "abcdefgh"), ("B", 8, 10, 0.4, "ij"), ("A", 10, 12, 0.1, "kl")]
