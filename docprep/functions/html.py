@@ -2,9 +2,10 @@
 
 Not a general HTML parser: it covers the tags documents and scraped pages
 use. Script, style, head and comments go first (a ``</p>`` inside a script
-string must not end a paragraph), then headings, emphasis, links, list items
-and block breaks are rewritten, every other tag is dropped and entities are
-unescaped with ``&amp;`` last.
+string must not end a paragraph), then headings, emphasis, links, images, list
+items, table rows and block breaks are rewritten, every other tag is dropped and
+entities are unescaped with ``&amp;`` last. Tag names match whole (``<link>`` is no
+list item, ``<header>`` no head); a table row becomes ``| cell | cell |``.
 
 ``RULES`` is written once and rendered for Java (``$1``) or RE2 (``\\1``).
 """
@@ -12,32 +13,46 @@ unescaped with ``&amp;`` last.
 from __future__ import annotations
 
 import re
+from html.entities import name2codepoint
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docprep.functions.text import strip_ws
 
+# Names of the entities of Western European letters and punctuation that are unescaped.
+_LETTERS = [v + mark for mark in ("acute", "grave", "circ", "uml") for v in "aeiouAEIOU"]
+_OTHERS = "ntilde Ntilde ccedil Ccedil iquest iexcl laquo raquo lsquo rsquo ldquo rdquo ndash mdash hellip euro copy reg ordm ordf deg".split()
+_ATTRS = "[^<>]*?"
+
 # (pattern, replacement with $n groups). Order matters.
 RULES: list[tuple[str, str]] = [
-    ("(?is)<script[^>]*>.*?</script>", ""),
-    ("(?is)<style[^>]*>.*?</style>", ""),
-    ("(?is)<head[^>]*>.*?</head>", ""),
+    ("(?is)<script(?:\\s[^>]*)?>.*?</script>", ""),
+    ("(?is)<style(?:\\s[^>]*)?>.*?</style>", ""),
+    ("(?is)<head(?:\\s[^>]*)?>.*?</head>", ""),
     ("(?s)<!--.*?-->", ""),
     ("(?is)<!doctype[^>]*>", ""),
     *[(f"(?is)<h{n}[^>]*>(.*?)</h{n}>", "\n\n" + "#" * n + " $1\n\n") for n in range(1, 7)],
     ("(?i)</?(?:b|strong)(?:[ \\t\\n][^>]*)?>", "**"),
     ("(?i)</?(?:i|em)(?:[ \\t\\n][^>]*)?>", "*"),
-    ("(?is)<a[^>]*?href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)"),
-    ("(?i)<li[^>]*>", "\n* "),
+    (f"(?is)<img\\s{_ATTRS}alt=\"([^\"]*)\"{_ATTRS}src=\"([^\"]*)\"[^>]*>", "![$1]($2)"),
+    (f"(?is)<img\\s{_ATTRS}src=\"([^\"]*)\"{_ATTRS}alt=\"([^\"]*)\"[^>]*>", "![$2]($1)"),
+    (f"(?is)<a\\s{_ATTRS}href=\"([^\"]*)\"[^>]*>(.*?)</a>", "[$2]($1)"),
+    (f"(?is)<a\\s{_ATTRS}href='([^']*)'[^>]*>(.*?)</a>", "[$2]($1)"),
+    ("(?i)<li(?:\\s[^>]*)?>", "\n* "),
+    ("(?i)<tr(?:\\s[^>]*)?>", "\n|"),
+    ("(?i)<t[dh](?:\\s[^>]*)?>", " "),
+    ("(?i)</t[dh]\\s*>", " |"),
     ("(?i)<br[^>]*>", "\n"),
-    ("(?i)</?(?:p|div|article|section|ul|ol|nav|header|footer|main|aside|table|tr|blockquote|h[1-6])(?:[ \\t\\n][^>]*)?>", "\n\n"),
+    ("(?i)</?(?:p|div|article|section|ul|ol|nav|header|footer|main|aside|table|blockquote|h[1-6])(?:[ \\t\\n][^>]*)?>", "\n\n"),
     ("(?s)<[^>]*>", ""),
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
     ("&#39;", "'"),
+    ("&apos;", "'"),
     ("&nbsp;", " "),
+    *[(f"&{name};", chr(name2codepoint[name])) for name in (*_LETTERS, *_OTHERS)],
     ("&amp;", "&"),
     ("[ \\t]+\n", "\n"),
     ("\n[ \\t]+", "\n"),
@@ -59,5 +74,6 @@ def html_to_markdown(html: Column | str) -> Column:
     """Markdown text of an HTML document (NULL stays NULL)."""
     col = F.col(html) if isinstance(html, str) else html
     for pattern, rep in RULES:
-        col = F.regexp_replace(col, pattern, rep)
+        literal = pattern.startswith("&")
+        col = F.replace(col, F.lit(pattern), F.lit(rep)) if literal else F.regexp_replace(col, pattern, rep)
     return strip_ws(col)

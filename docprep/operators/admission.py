@@ -69,6 +69,16 @@ def client_supported(df: DataFrame, name_col: str = "filename") -> DataFrame:
     return supported(df.withColumn("__lext", extension_lenient(F.col(name_col))), "__lext").drop("__lext")
 
 
+def with_support(df: DataFrame, ext_col: str = "ext", name_col: str = "filename") -> DataFrame:
+    """Both checks as flags of every row, ``supported`` and ``client_supported``: one scan, two broadcast joins."""
+    cat = _catalog(df).select("ext")
+    strict = cat.select(F.col("ext").alias("__cat"), F.lit(True).alias("__in"))
+    lenient = cat.select(F.col("ext").alias("__lcat"), F.lit(True).alias("__lin"))
+    out = df.join(strict, F.col(ext_col) == F.col("__cat"), "left").join(lenient, extension_lenient(F.col(name_col)) == F.col("__lcat"), "left")
+    flags = {"supported": F.coalesce("__in", F.lit(False)), "client_supported": F.coalesce("__lin", F.lit(False))}
+    return out.withColumns(flags).drop("__cat", "__in", "__lcat", "__lin")
+
+
 def batch_stats(df: DataFrame, batch_col: str = "batch_id", size_col: str = "length") -> DataFrame:
     """Per batch: file count and total known bytes (partial aggregation)."""
     return df.groupBy(batch_col).agg(
@@ -214,7 +224,7 @@ def assign_batches(df: DataFrame, size: int = C.MAX_FILES_PER_BATCH, bucket: str
     of one bucket in one block of one partition. So a batch never mixes
     buckets, a bucket's run gets at most two partial batches per partition, and
     a hot bucket stays spread over all its input partitions. Ids are stable
-    for a stable input layout.
+    for a stable input layout. With a bucket the id is the text ``partition:block:bucket``: exact, no hash.
     """
     mono = F.monotonically_increasing_id()
     if bucket is None:
@@ -230,7 +240,7 @@ def assign_batches(df: DataFrame, size: int = C.MAX_FILES_PER_BATCH, bucket: str
     return (
         staged.withColumn(
             "batch_id",
-            F.xxhash64(F.col(bucket), F.spark_partition_id(), F.floor(local / size).cast("long")),
+            F.concat_ws(":", F.spark_partition_id(), F.floor(local / size).cast("long"), F.col(bucket).cast("string")),
         )
         .withColumn("ord", (local % size).cast("int"))
         .drop("__in", "__pos")

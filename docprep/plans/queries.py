@@ -276,12 +276,10 @@ SELECT f.doc_id, {_size_sql('f.length')} AS size_label, {_size_sql('d.n_chars')}
 FROM f JOIN documents d ON f.doc_id = d.doc_id""",
 )
 def q_display_formats(spark: SparkSession, sf: str) -> DataFrame:
-    f = D.files(spark, sf).select("doc_id", "length")
-    d = D.table(spark, sf, "documents").select("doc_id", "n_chars")
-    j = f.join(d, "doc_id")
-    return j.select(
+    d = D.table(spark, sf, "documents")
+    return d.select(
         "doc_id",
-        N.format_size(F.col("length")).alias("size_label"),
+        N.format_size((F.octet_length("text") * D.SIZE_FACTOR).cast("long")).alias("size_label"),
         N.format_size(F.col("n_chars")).alias("small_label"),
         N.format_elapsed(F.col("n_chars").cast("double") * 0.37).alias("elapsed_label"),
     )
@@ -330,13 +328,7 @@ SELECT doc_id, ext IN (SELECT ext FROM {FORMATS_SQL}) AS supported,
        lext IN (SELECT ext FROM {FORMATS_SQL}) AS client_supported FROM fn""",
 )
 def q_supported_split(spark: SparkSession, sf: str) -> DataFrame:
-    f = A.with_names(D.files(spark, sf))
-    sup = A.supported(f).select("doc_id").withColumn("supported", F.lit(True))
-    uns = A.unsupported(f).select("doc_id").withColumn("supported", F.lit(False))
-    client = A.client_supported(f).select("doc_id").withColumn("client_supported", F.lit(True))
-    return sup.unionByName(uns).join(client, "doc_id", "left").select(
-        "doc_id", "supported", F.coalesce("client_supported", F.lit(False)).alias("client_supported")
-    )
+    return A.with_support(A.with_names(D.files(spark, sf))).select("doc_id", "supported", "client_supported")
 
 
 @register(

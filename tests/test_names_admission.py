@@ -105,3 +105,27 @@ def test_assign_batches_bounded(spark):
     # one bucket per batch, and no exchange: partitions are only sorted locally
     assert b.groupBy("batch_id").agg(F.countDistinct("source").alias("k")).agg(F.max("k")).first()[0] == 1
     assert "Exchange" not in b._jdf.queryExecution().executedPlan().toString()
+
+
+def test_html_structure(spark):
+    from docprep.functions.html import html_to_markdown
+
+    cases = {
+        "<head><title>t</title></head><header>top</header><link rel='x'>a": "top\n\na",
+        "<table><tr><th>Name</th><th>Age</th></tr><tr class=\"r\"><td>Ana</td><td>3</td></tr></table>": "| Name | Age |\n| Ana | 3 |",
+        "<ul><li>uno</li><li id=\"b\">dos</li></ul>": "* uno\n* dos",
+        "<img src=\"p.png\" alt=\"foto\"> <img alt=\"otra\" width=3 src=\"q.png\"/>": "![foto](p.png) ![otra](q.png)",
+        "<a class='x' href='u/1'>uno</a> <article href=\"n\">dos</article>": "[uno](u/1)\n\ndos",
+        "a&ntilde;o caf&eacute; &iquest;l&apos;&Uuml;? &laquo;x&raquo; 5&euro; &amp;eacute;": "año café ¿l'Ü? «x» 5€ &eacute;",
+    }
+    got = one(spark, html_to_markdown, *cases)
+    assert got == list(cases.values())
+
+
+def test_support_flags(spark):
+    from docprep.operators import admission as A
+
+    rows = [(1, "a.PDF"), (2, "b.zzz"), (3, None), (4, ""), (1, "a.PDF")]
+    df = A.with_names(spark.createDataFrame(rows, "doc_id long, filename string"))
+    flags = sorted((r.doc_id, r.supported) for r in A.with_support(df).collect())
+    assert flags == [(1, True), (1, True), (2, False), (3, False), (4, False)]
