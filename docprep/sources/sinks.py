@@ -2,8 +2,8 @@
 
 Writes go through the DataFrame writer (atomic task commits: a lost executor
 re-runs its tasks, it never leaves half a file behind). Bundles are built
-per batch with ``applyInPandas``: admission bounds a batch to 50 files of at
-most 50 MB, which is also what one archive holds.
+per batch with ``applyInPandas``: a bundle holds at most 50 files (checked) of at
+most 50 MB (admission).
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docprep.functions.names import ensure_md, safe_filename
+from docprep.operators.admission import checked_rejected, error_message
 from docprep.operators.names import unique_names
 
 RESULT_FIELDS = [
@@ -62,12 +63,20 @@ def _zip_group(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def export_bundles(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    """One deflate archive per batch of successful documents."""
-    ok = df.filter(F.col("status") == "success")
-    members = bundle_members(ok.select(batch_col, "ord", "markdown_filename", "markdown_content"), batch_col)
-    return members.select(F.col(batch_col).alias("batch_id"), "ord", "member_name", "markdown_content").groupBy("batch_id").applyInPandas(
-        _zip_group, "batch_id long, n_files long, archive binary"
+    """One deflate archive per batch of successful documents: ``(batch_id, n_files, archive, error)``.
+
+    A batch of more than 50 documents is not bundled: its row has an error and no archive, and its
+    texts never meet in one task. A batch without documents has no row.
+    """
+    ok = df.filter(F.col("status") == "success").select(batch_col, "ord", "markdown_filename", "markdown_content")
+    rejected = checked_rejected(ok.select(batch_col, F.lit(0).cast("long").alias("length")), batch_col)
+    members = bundle_members(ok.join(rejected, batch_col, "left_anti"), batch_col)
+    id_type = df.schema[batch_col].dataType.simpleString()
+    zipped = members.select(F.col(batch_col).alias("batch_id"), "ord", "member_name", "markdown_content").groupBy("batch_id").applyInPandas(
+        _zip_group, f"batch_id {id_type}, n_files long, archive binary"
     )
+    refused = rejected.select(F.col(batch_col).alias("batch_id"), error_message(F.col("__batch_code")).alias("error"))
+    return zipped.withColumn("error", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
 
 
 # Error codes that reject a whole batch (the request-level errors).

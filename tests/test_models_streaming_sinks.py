@@ -234,3 +234,11 @@ def test_stream_judges_batches_over_all_epochs(spark):
     got = {tuple(r) for r in read_prepared(spark, out).select(*RESULT_COLUMNS).collect()}
     assert got == {tuple(r) for r in prepare(files).collect()}
     assert sum(r[RESULT_COLUMNS.index("error_code")] == "TOO_MANY_FILES" for r in got) == 60
+
+
+def test_bundles_of_too_many_files_are_refused(spark):
+    rows = [("a:0:x", i, f"f{i}.md", "# t", "success") for i in range(50)] + [("b", i, "f.md", "x", "success") for i in range(51)] + [("c", 0, "f.md", "x", "error")]
+    df = spark.createDataFrame(rows, "batch_id string, ord int, markdown_filename string, markdown_content string, status string")
+    got = {r.batch_id: r for r in export_bundles(df).collect()}
+    assert set(got) == {"a:0:x", "b"} and got["a:0:x"].n_files == 50 and got["a:0:x"].error is None
+    assert got["b"].archive is None and got["b"].error == "Too many files (max 50)"
