@@ -9,7 +9,9 @@
    their directions. Nystrom's single-pass form of the randomised SVD turns the sketch into
    the ``RANK`` leading term directions.
 3. A second pass folds every passage into that space and takes the items whose cosine
-   is at least ``COSINE``. Paraphrases are then confirmed in the same task: the longest common
+   is at least ``COSINE``. Beside it, every run of ``RUN`` item words in a row (words of no item
+   between them do not matter) is looked up among the items' own runs, so whole copies do not
+   depend on the space. Candidates of both kinds are then confirmed in the same task: the longest common
    subsequence of the item and the words around the passage, and that of the item's
    answer (its last sentence), must cover enough of them.
 
@@ -39,11 +41,14 @@ LCS = 0.6
 ANSWER = 0.6
 VERBATIM = 0.8
 MIN_WORDS = 5
+RUN = 5  # words in a row that make a candidate whatever its cosine
 ITEM_BLOCK = 4_000
 MAX_TERMS = 400_000
 FREQUENT = 64
 _BLOCKS = 4_096  # half passages folded in at once
 _STEPS = 64
+_LOOKUPS = 1_024  # runs whose items are listed at once
+_MIX = np.uint64(0x9E3779B97F4A7C15)
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 
@@ -161,6 +166,47 @@ class Passages:
         return dense.astype(np.float32), at[~often], idx[~often]
 
 
+def _run_hashes(terms: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all runs of ``size`` terms."""
+    n = max(0, len(terms) - size + 1)
+    x = terms.astype(np.uint64)
+    h = np.zeros(n, dtype=np.uint64)
+    for k in range(size):
+        h = (h + x[k : k + n] + np.uint64(1)) * _MIX
+        h ^= h >> np.uint64(29)
+    return h
+
+
+class _Runs:
+    """The items that hold a run of ``RUN`` words (an item of fewer words: all of its words)."""
+
+    def __init__(self, items: list[list[int]]):
+        self.tables = []
+        for size in sorted({min(RUN, len(w)) for w in items if w}):
+            own = [(k, np.unique(_run_hashes(np.array(w), size))) for k, w in enumerate(items) if min(RUN, len(w)) == size]
+            keys = np.concatenate([h for _, h in own])
+            order = np.argsort(keys, kind="stable")
+            keys, owner = keys[order], np.repeat([k for k, _ in own], [len(h) for _, h in own])[order]
+            shift = np.uint64(64 - max(16, len(keys).bit_length() + 4))
+            some = np.zeros(1 << (64 - int(shift)), dtype=bool)  # first bits that some key has
+            some[keys >> shift] = True
+            self.tables.append((size, keys, owner, shift, some))
+
+    def found(self, p: Passages, lo: int, own: int):
+        """(half passages from ``lo`` on, items) of the runs that begin in a range of half passages."""
+        a, b = np.searchsorted(p.at, (lo, own))
+        for size, keys, owner, shift, some in self.tables:
+            h = _run_hashes(p.idx[a : b + size - 1], size)
+            at = np.flatnonzero(some[h >> shift])
+            at = at[p.text_of[p.at[a + at]] == p.text_of[p.at[a + at + size - 1]]]
+            for k in range(0, len(at), _LOOKUPS):
+                part = at[k : k + _LOOKUPS]
+                first, n = np.searchsorted(keys, h[part]), np.searchsorted(keys, h[part], "right")
+                n -= first
+                which = np.arange(n.sum()) + np.repeat(first - (np.cumsum(n) - n), n)
+                yield np.repeat(p.at[a + part] - lo, n), owner[which]
+
+
 def _add_runs(out: np.ndarray, keys: np.ndarray, rows: np.ndarray, pick: np.ndarray) -> None:
     """``out[k] +=`` the sum of ``rows[pick]`` over the run of ``k`` in the ordered ``keys``.
 
@@ -295,11 +341,11 @@ def _check(words: np.ndarray, start: int, item: list[int], answer: list[int], le
 def _search(docs, coded: bool, names: list[str], items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer_share, verbatim, schema):
     """Rows of ``docs`` (the columns ``names``, then the texts or term numbers) through ``schema[1]`` with their matches."""
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((number, items, answers, ids, basis, directions))
+    shared = spark.sparkContext.broadcast((number, items, answers, ids, basis, directions, _Runs(items)))
     least = min(lcs, verbatim) - 1e-9
 
     def run(batches):
-        number, items, answers, ids, basis, directions = shared.value
+        number, items, answers, ids, basis, directions, runs = shared.value
         read = _reader(number, coded)
         for b in batches:
             p = Passages(read(b.column(len(names))))
@@ -309,7 +355,10 @@ def _search(docs, coded: bool, names: list[str], items, answers, ids, number, fr
                 x = _pairs(x, p.text_of[lo:hi])[: own - lo]
                 x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-12)
                 near = x @ directions.T
-                for h, k in zip(*(c.tolist() for c in np.nonzero(near >= cosine))):
+                candidate = near >= cosine
+                for at, held in runs.found(p, lo, own):
+                    candidate[at, held] = True
+                for h, k in zip(*(c.tolist() for c in np.nonzero(candidate))):
                     text = int(p.text_of[lo + h])
                     start = int(lo + h - p.first[text]) * HALF
                     shares = _check(p.terms[text], start, items[k], answers[k], least)

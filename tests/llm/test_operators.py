@@ -216,6 +216,23 @@ def test_decontamination(spark, docs, empty):
     assert lsi_decontam.lcs_length(a, b) == _lcs(a, b)[-1, -1] == brute(a, b)
 
 
+def test_decontamination_finds_every_copy(spark):
+    """Whole copies are found by their runs of words, however little of them the latent space keeps."""
+    rng = np.random.default_rng(7)
+    vocab = ["".join(rng.choice(list("abcdefghij"), 5)) for _ in range(300)]
+    items = [(i, " ".join(rng.choice(vocab, 5 + i % 8))) for i in range(120)]
+    dashed = lambda t: t.replace(" ", " -- ").title()
+    rows = [(i, f"{' '.join(rng.choice(vocab, 90))} {dashed(t) if i % 2 else t} {' '.join(rng.choice(vocab, 90))}") for i, t in items]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    whole = lambda found: {r.doc_id for r in found.collect() if r.doc_id == r.item_id and r.lcs_share == 1}
+    assert whole(lsi_decontam.matches(docs, bench, rank=16)) == set(range(120))
+    assert whole(lsi_decontam.matches(docs, bench, cosine=1.1, min_words=1)) == set(range(120))
+    assert lsi_decontam.decontaminated(docs, bench, rank=16).count() == 0
+    short = spark.createDataFrame([(0, vocab[0]), (1, " ".join(vocab[1:4]))], "item_id long, text string")
+    text = spark.createDataFrame([(0, f"x {vocab[0]} y"), (1, f"x {' '.join(vocab[1:4])} y")], "doc_id long, text string")
+    assert whole(lsi_decontam.matches(text, short, cosine=1.1, min_words=1)) == {0, 1}
+
+
 def test_term_numbers_and_run_sums():
     raw = "  ¿Qué's the «Fox», fox? x_1 _fox_ don't \u3000 well-known (THE) ... ΣΑΣ fox!!"
     number = {w: k for k, w in enumerate(dict.fromkeys(lsi_decontam.normal_words("the fox don't well-known qué's σας")))}
