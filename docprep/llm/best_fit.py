@@ -29,17 +29,18 @@ END_ID = 0
 
 
 def tokenised_pieces(
-    docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID
+    docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, special_as_text: bool = False
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``: whole texts as ids plus the end id, cut only beyond ``capacity``.
 
     All pieces but the first are full; ids are little-endian unsigned 32-bit
-    integers. Null text counts as empty: one piece holding the end id.
+    integers. Null text counts as empty: one piece holding the end id. A special token's
+    string in a text becomes its id, as the library does, unless ``special_as_text``.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, special_as_text)
         for b in batches:
             doc_ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo in range(0, len(texts), 256):

@@ -3,8 +3,11 @@
 Both public vocabularies cut a text at white space before they merge, so the ids
 of a text are the ids of its stretches one after another. A stretch that occurs
 again is looked up; new ones are encoded by the library, many in one call.
-A text whose white space does not follow the simple pattern goes through the
-library whole, so the ids always equal the library's own.
+A text whose white space does not follow the simple pattern, or that holds the
+string of an added token, goes through the library whole, so the ids always equal
+those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
+With ``special_as_text`` the strings of special tokens in a text are ordinary text
+(the library's ``encode_special_tokens``).
 """
 
 from __future__ import annotations
@@ -20,20 +23,25 @@ _JOIN = 4_000
 # white space other than blanks and line feeds, and the mark of a first stretch
 _ODD = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\0"
 _ODD_WIDE = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_INSTANCES: dict[str, "CachedEncoder"] = {}
+_INSTANCES: dict[tuple[str, bool], "CachedEncoder"] = {}
 
 
-def encoder(path: str) -> "CachedEncoder":
-    """One encoder per worker process and vocabulary file."""
-    if path not in _INSTANCES:
-        _INSTANCES[path] = CachedEncoder(path)
-    return _INSTANCES[path]
+def encoder(path: str, special_as_text: bool = False) -> "CachedEncoder":
+    """One encoder per worker process, vocabulary file and reading of special tokens."""
+    key = path, special_as_text
+    if key not in _INSTANCES:
+        _INSTANCES[key] = CachedEncoder(path, special_as_text)
+    return _INSTANCES[key]
 
 
 class CachedEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         self.lib = Tokenizer.from_file(path)
-        self.lib.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.lib.encode_special_tokens = special_as_text
+        added = [t for t in self.lib.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        self.added = [t.content for t in added]
+        # a normalized token is matched in the normalized text
+        self.added_normal = [self._normal(t.content) for t in added if t.normalized]
         # a word-end vocabulary drops white space; a byte-level one keeps it in its ids
         self.drops_space = self.lib.encode("a b", add_special_tokens=False).ids == [
             *self.lib.encode("a", add_special_tokens=False).ids,
@@ -42,6 +50,9 @@ class CachedEncoder:
         self.sizes = self._token_bytes()
         self.cache: dict[str, bytes] = {}
 
+    def _normal(self, text: str) -> str:
+        return self.lib.normalizer.normalize_str(text) if self.lib.normalizer else text
+
     def _token_bytes(self) -> np.ndarray:
         """Bytes of text that each id stands for (a byte-level vocabulary has one character a byte)."""
         suffix = getattr(self.lib.model, "end_of_word_suffix", None) or ""
@@ -55,6 +66,12 @@ class CachedEncoder:
 
     def _stretches(self, text: str) -> list[str] | None:
         """Stretches whose ids are independent; None if the text needs the library as a whole."""
+        if any(x in text for x in self.added):
+            return None
+        if self.added_normal:
+            shown = self._normal(text)
+            if any(x in shown for x in self.added_normal):
+                return None
         if self.drops_space:
             return text.replace("\n", " ").split(" ")
         if any(x in text for x in _ODD):

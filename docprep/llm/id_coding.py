@@ -76,7 +76,7 @@ def read_segment(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return doc_ids, counts, decode_ranks(control, data, n)
 
 
-def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
+def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int, special_as_text: bool) -> DataFrame:
     """(bucket, doc_id, n, ids) sorted by doc_id within buckets of consecutive doc_ids, as a written table."""
     size = docs.agg(F.count("doc_id").alias("n"), F.sum(F.octet_length("text")).alias("b")).collect()[0]
     spark = docs.sparkSession
@@ -87,7 +87,7 @@ def _tokenised(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def run(batches):
-        enc = encoder(tokenizer_path)
+        enc = encoder(tokenizer_path, special_as_text)
         for b in batches:
             ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
             for lo in range(0, len(texts), 256):
@@ -131,16 +131,17 @@ def _ranks(ids: DataFrame) -> np.ndarray:
 
 
 def write_corpus(
-    docs: DataFrame, tokenizer_path: str, folder: str | None = None, text_col: str = "text", id_col: str = "doc_id", end_id: int = END_ID, segment_ids: int = SEGMENT_IDS
+    docs: DataFrame, tokenizer_path: str, folder: str | None = None, text_col: str = "text", id_col: str = "doc_id", end_id: int = END_ID, segment_ids: int = SEGMENT_IDS, special_as_text: bool = False
 ) -> str:
     """Encode whole texts and write the corpus below ``folder`` (default: the shared folder); returns the folder.
 
     Null texts count as empty (the end id alone); null doc_ids come first; rows of
-    one doc_id stay rows of their own. An empty table gives a corpus without segments.
+    one doc_id stay rows of their own. A special token's string in a text becomes its id, as the library
+    does, unless ``special_as_text``. An empty table gives a corpus without segments.
     """
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "corpus")
-    ids = _tokenised(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), tokenizer_path, end_id)
+    ids = _tokenised(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")), tokenizer_path, end_id, special_as_text)
     id_of_rank = _ranks(ids)
     with new_file(f"{folder}/ranks") as out:
         out.write(id_of_rank.tobytes())

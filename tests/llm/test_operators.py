@@ -143,6 +143,23 @@ def _ids(name, text, end):
     return [*t.encode(text or "", add_special_tokens=False).ids, end]
 
 
+def test_added_tokens_as_the_library(spark):
+    """Ids equal those of a plain Tokenizer for texts that hold an added token's string; the other reading is an option."""
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b c\nd", "<|endoftext|>", "x <|ENDOFTEXT|> <|endoftext |>", "plain  text\n\n here", "<|endoftext|>\t<|endoftext|>  z", "hello world", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for special_as_text in (False, True):
+        byte, word = (Tokenizer.from_file(public_tokenizers.path(n)) for n in ("byte_bpe_50k.json", "word_bpe_49k.json"))
+        byte.encode_special_tokens = word.encode_special_tokens = special_as_text
+        option = {"special_as_text": True} if special_as_text else {}
+        rows = best_fit.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), **option).collect()
+        want = {i: [*byte.encode(t, add_special_tokens=False).ids, 0] for i, t in enumerate(texts)}
+        assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == want
+        rows = id_coding.read_corpus(spark, id_coding.write_corpus(docs, public_tokenizers.path("word_bpe_49k.json"), **option)).collect()
+        want = {i: [*word.encode(t, add_special_tokens=False).ids, 1] for i, t in enumerate(texts)}
+        assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in rows} == want
+    assert Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(texts[0], add_special_tokens=False).ids == [31373, 220, 50256, 995]
+
+
 def test_packing(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     rows = best_fit.pack(best_fit.tokenised_pieces(docs, path, capacity=64), capacity=64, open_bins=4, group_pieces=20).collect()
