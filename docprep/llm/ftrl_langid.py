@@ -3,8 +3,9 @@
 Counts of 1- to 3-grams of characters are hashed to ``DIMENSIONS`` features. IDF counts all
 texts that may be learned from. The weights are fitted by follow-the-regularised-leader
 (proximal) with elastic-net penalties, one text at a time, in a task of its own on a
-bounded sample (``per_language`` texts of each language, the first in an order of hashed
-ids); a temperature fitted on a fifth of the sample calibrates the probabilities.
+bounded sample (``per_language`` ids of each language, the first in an order of hashed
+ids; of an id's several rows the text with the smallest hash counts). That task gets the
+texts' n-gram counts, at most ``dimensions`` a text however long it is; a temperature fitted on a fifth of the sample calibrates the probabilities.
 """
 
 from __future__ import annotations
@@ -47,9 +48,13 @@ def vector(text: str, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(features, weights): TF-IDF with damped counts, length 1."""
     counts = gram_counts(text, len(idf))
     at = np.flatnonzero(counts)
-    x = (1 + np.log(counts[at])) * idf[at]
+    return at, _weighted(at, counts[at], idf)
+
+
+def _weighted(at: np.ndarray, counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    x = (1 + np.log(counts)) * idf[at]
     norm = np.sqrt((x * x).sum())
-    return at, x / norm if norm else x
+    return x / norm if norm else x
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -79,10 +84,9 @@ class Ftrl:
         self.n[at] = n + g * g
 
 
-def fit(texts: list[str], y: np.ndarray, classes: int, idf: np.ndarray, epochs: int = 3, seed: int = 3) -> tuple[np.ndarray, float]:
-    """(weights, temperature); every fifth text calibrates and is not learned from."""
+def fit(rows: list[tuple], y: np.ndarray, classes: int, idf: np.ndarray, epochs: int = 3, seed: int = 3) -> tuple[np.ndarray, float]:
+    """(weights, temperature) from the texts' vectors; every fifth text calibrates and is not learned from."""
     rng = np.random.default_rng(seed)
-    rows = [vector(t, idf) for t in texts]
     order = rng.permutation(len(rows))
     tune, learn = order[::5], order if len(order) < 10 else np.setdiff1d(order, order[::5])
     model = Ftrl(len(idf), classes)
@@ -101,6 +105,31 @@ def fold(id_col) -> F.Column:
     return F.pmod(F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
 
 
+def pick(src: DataFrame, per_language: int) -> DataFrame:
+    """``(id, lang)``: the first ids of each language in an order of hashed ids; repeated rows of an id are one."""
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
+    picked = src.select("id", "lang").distinct().withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
+    return materialise(picked.select("id", "lang"), "picked")
+
+
+def sample_counts(src: DataFrame, picked: DataFrame, dimensions: int) -> DataFrame:
+    """``(id, lang, at, n)``: a row per picked id and language, its n-grams' features and their counts."""
+
+    def counted(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                counts = [gram_counts(t, dimensions) for t in part.column(3).to_pylist()]
+                some = [np.flatnonzero(c) for c in counts]
+                at, n = pa.array([s.astype("<u4").tobytes() for s in some], pa.binary()), pa.array([c[s].astype("<i8").tobytes() for c, s in zip(counts, some)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], at, n], ["id", "lang", "h", "at", "n"])
+
+    sample = src.join(F.broadcast(picked), ["id", "lang"]).select("id", "lang", F.xxhash64("t").alias("h"), "t")  # per_language ids a language
+    sample = sample.mapInArrow(counted, "id long, lang string, h long, at binary, n binary")
+    # ids may repeat in docs: one row each, combined before the shuffle
+    return sample.groupBy("id", "lang").agg(F.min(F.struct("h", "at", "n")).alias("first")).select("id", "lang", "first.at", "first.n")
+
+
 def train(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", per_language=PER_LANGUAGE, dimensions=DIMENSIONS):
     """(languages, idf-scaled weights, idf, temperature); ``None`` if there is nothing to learn from."""
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("t"), F.col(lang_col).cast("string").alias("lang"))
@@ -123,17 +152,19 @@ def train(docs: DataFrame, text_col="text", lang_col="lang", id_col="doc_id", pe
     idf = np.zeros(dimensions)
     for f, c in got.items():
         idf[f] = np.log((n + 1) / (c + 1)) + 1
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    picked = src.select("id", "lang").withColumn("k", F.row_number().over(first)).where(F.col("k") <= per_language)
-    picked = materialise(picked.select("id", "lang").distinct(), "picked")
+    picked = pick(src, per_language)
     langs = sorted(r.lang for r in lookup_bounded(picked.select("lang").distinct(), MAX_LANGUAGES, "languages"))
-    sample = src.join(F.broadcast(picked), ["id", "lang"]).select("id", "lang", "t")  # per_language ids a language
+    sample = sample_counts(src, picked, dimensions)
     number = {x: i for i, x in enumerate(langs)}
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["id", "lang", "t"])
+        frame = frame.sort_values(["id", "lang"])
         y = frame["lang"].map(number).to_numpy()
-        w, temperature = fit(frame["t"].tolist(), y, len(number), idf)
+        rows = []
+        for a, n in zip(frame["at"], frame["n"]):
+            a = np.frombuffer(a, "<u4").astype(np.int64)
+            rows.append((a, _weighted(a, np.frombuffer(n, "<i8"), idf)))
+        w, temperature = fit(rows, y, len(number), idf)
         at = np.flatnonzero(np.abs(w).sum(axis=1))
         return pd.DataFrame({"f": np.append(at, -1).astype(np.int32), "w": [*w[at].tolist(), [temperature]]})
 

@@ -9,8 +9,9 @@ and a mini-batch whose second term is negative takes a step that raises it
 instead (the non-negative estimator's correction). Features are the distinct words of a
 text and their beginnings; those kept are significantly more frequent in P than in U.
 
-Only the fit works on bounded samples (``max_positive``, ``max_unlabelled`` rows, the
-first ones in an order of hashed ids); the prior counts all labelled rows and the
+Only the fit works on bounded samples (``max_positive``, ``max_unlabelled`` ids, the
+first ones in an order of hashed ids; of an id's several rows the text with the smallest
+hash counts); the prior counts all labelled rows and the
 scores cover whole texts of all rows.
 """
 
@@ -132,13 +133,16 @@ def train(
     def run(batches):
         cache = _Features()
         for b in batches:
-            found = [list(features(t, cache)) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["p", "features"])
+            found = [sorted(features(t, cache)) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["p", "id", "h", "features"])
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("t"))
     # at most max_positive + max_unlabelled ids are broadcast; the texts stay where they are
-    rows = src.join(F.broadcast(sample), "id").select("p", "t").mapInArrow(run, "p int, features array<long>")
-    rows = materialise(rows, "features")
+    rows = src.join(F.broadcast(sample), "id").select("p", "id", F.xxhash64("t").alias("h"), "t")
+    rows = rows.mapInArrow(run, "p int, id long, h long, features array<long>")
+    # ids may repeat in docs: one row each, combined before the shuffle
+    rows = rows.groupBy("p", "id").agg(F.min(F.struct("h", "features")).alias("first"))
+    rows = materialise(rows.select("p", "id", F.col("first.features").alias("features")), "features")
     n_p, n_u = rows.agg(F.count_if(F.col("p") == 1), F.count_if(F.col("p") == 0)).collect()[0]
     if not n_p or not n_u:
         return {}, bias
@@ -154,12 +158,11 @@ def train(
 
     def narrow(batches):
         for b in batches:
-            got = [[wanted.value[f] for f in fs if f in wanted.value] for fs in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.list_(pa.int32()))], ["p", "features"])
+            got = [[wanted.value[f] for f in fs if f in wanted.value] for fs in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array(got, pa.list_(pa.int32()))], ["p", "id", "features"])
 
-    rows = rows.mapInArrow(narrow, "p int, features array<int>")
-    # ids may repeat in docs, so the collected rows are checked against the bound, not cut
-    got = lookup_bounded(rows, 4 * (max_positive + max_unlabelled), "training sample")
+    rows = rows.mapInArrow(narrow, "p int, id long, features array<int>")
+    got = sorted(lookup_bounded(rows, max_positive + max_unlabelled, "training sample"), key=lambda r: (r.p, r.id))  # a row an id
     p = [np.array(r.features, dtype=np.int64) for r in got if r.p == 1]
     u = [np.array(r.features, dtype=np.int64) for r in got if r.p == 0]
     w, b = fit_nnpu(p, u, len(names), prior)

@@ -313,6 +313,32 @@ def test_language_held_out(spark):
     assert ftrl_langid.train(docs.where("false")) is None
 
 
+def test_repeated_ids_count_once_in_the_fits(spark):
+    """Repeated rows of sampled ids neither end the fits nor weigh in them."""
+    rng = np.random.default_rng(6)
+    words = [f"word{i}" for i in range(100)]
+    rows = [(i, " ".join([*rng.choice(words, 20), *["vileword"] * (i % 3 == 0)]), "ab"[i % 2]) for i in range(240)]
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(240)], "doc_id long, toxic int")
+    schema = "doc_id long, text string, lang string"
+    docs = spark.createDataFrame(rows, schema)
+    # every row again, and one id very often
+    often = docs.unionByName(docs).unionByName(docs.where("doc_id = 3").crossJoin(spark.range(1500).select()))
+    small = {"max_positive": 60, "max_unlabelled": 120}
+    weights, bias = pu_toxicity.train(docs, labels, **small)
+    assert weights and (weights, bias) == pu_toxicity.train(often, labels, **small)
+    # languages: the id picked first has many rows of a text that says nothing; the others are still learned from
+    tell = docs.select("doc_id", F.when(F.col("lang") == "a", "kato mire").otherwise("schung ver").alias("text"), "lang")
+    first = tell.where(ftrl_langid.fold(F.col("doc_id")) != ftrl_langid.HELD_OUT).groupBy("lang").agg(F.min_by("doc_id", F.xxhash64("doc_id")).alias("doc_id"))
+    empty_of = first.select("doc_id", F.lit("qq").alias("text"), "lang").crossJoin(spark.range(70).select())
+    mixed = tell.join(first, "doc_id", "left_anti").select("doc_id", "text", "lang").unionByName(empty_of.select("doc_id", "text", "lang"))
+    found = ftrl_langid.predict(mixed.where("text <> 'qq'"), ftrl_langid.train(mixed, per_language=50)).collect()
+    assert len(found) == 238 and all(r.lang == r.lang_pred for r in found)
+    src = mixed.select(F.col("doc_id").alias("id"), F.col("text").alias("t"), "lang")
+    sample = ftrl_langid.sample_counts(src, ftrl_langid.pick(src, 50), 1 << 14)
+    got = sample.collect()
+    assert sample.columns == ["id", "lang", "at", "n"] and len(got) == len({(r.id, r.lang) for r in got}) == 100
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as C
     from conftest import SF
