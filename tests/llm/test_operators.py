@@ -352,3 +352,38 @@ def test_pipeline_stages(spark):
             assert docs.columns == before.columns and counts[-1] <= counts[-2]
     pieces = docs.select("doc_id").distinct().count()
     assert pieces == counts[-2]
+
+
+def test_pipeline_decisions(spark, tmp_path):
+    """Planted toxic texts, near copies, shared passages and benchmark items: ids and texts left after every stage."""
+    import corpus_pipeline as C
+
+    rng = np.random.default_rng(8)
+    vocab = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(3000)]
+    fresh = lambda n: " ".join(rng.choice(vocab, n))
+    base = {i: fresh(60) for i in range(800)}
+    toxic = {i: f"{t} vilewordly! Nastyish" for i, t in base.items() if i % 8 == 0}
+    base |= toxic
+    copies = {2000 + i: base[i].upper() for i in range(1, 200) if i % 8}
+    parts = {3000 + i: (fresh(40), " ".join(base[i].split()[10:30]), fresh(40)) for i in range(1, 100) if i % 8}
+    items = {i: fresh(30) for i in range(40)}
+    holds = {4000 + i: f"{fresh(50)} {t} {fresh(50)}" for i, t in items.items()}
+    every = base | copies | {i: "  ".join(p) for i, p in parts.items()} | holds
+    save = lambda rows, schema, name: spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    save([(i, t, "en", "s", len(t)) for i, t in every.items()], "doc_id long, text string, lang string, source string, n_chars long", "documents")
+    save([(i, 1, int(i in toxic)) for i in base], "doc_id long, quality int, toxic int", "labels")
+    save(list(items.items()), "item_id long, text string", "benchmark")
+
+    clean = {i: t for i, t in every.items() if i not in toxic}
+    single = {i: t for i, t in clean.items() if i not in copies}
+    cut = single | {i: f"{a} {b}" for i, (a, _, b) in parts.items()}
+    want = [clean, single, cut, {i: t for i, t in cut.items() if i not in holds}]
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for (name, stage), left in zip(C.STAGES, want):
+        docs = C.materialise(stage(spark, docs, str(tmp_path)), "stage")
+        got = {r.doc_id: (r.text, r.n_chars) for r in docs.collect()}
+        assert docs.count() == len(got) and got == {i: (t, len(t)) for i, t in left.items()}, name
+    sizes = collections.Counter()
+    for r in C.STAGES[4][1](spark, docs, str(tmp_path)).collect():
+        sizes[r.doc_id] += r.length
+    assert sizes == {i: len(_ids("byte_bpe_50k.json", t, 0)) for i, t in want[3].items()}
