@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docprep.llm import best_fit, byte_shards, ftrl_langid, id_coding, int8_tiles, lsi_decontam, phrase_automata, pu_toxicity, simhash_bk, warc_index
+from docprep.llm import audit_repair, best_fit, byte_shards, ftrl_langid, id_coding, int8_tiles, lsi_decontam, periodic_runs, phrase_automata, piece_table, pu_toxicity, simhash_bk, warc_index
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -84,6 +84,40 @@ def op10_id_coding(spark: SparkSession, sf: str) -> DataFrame:
     return back.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_audit_repair(spark: SparkSession, sf: str) -> DataFrame:
+    talks = _table(spark, sf, "conversations")
+    return audit_repair.repaired(audit_repair.damaged(talks), every=talks)
+
+
+def op12_piece_table(spark: SparkSession, sf: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    found = piece_table.encoded(_table(spark, sf, "documents").select("doc_id", "text"), model, keep=["doc_id"])
+    found = piece_table.decoded(found, model)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = periodic_runs.with_repetition(_table(spark, sf, "documents").select("doc_id", "text"))
+    found = periodic_runs.periodic_runs(docs).withColumn("best", periodic_runs.strongest(F.col("runs")))
+    line = F.transform("runs", lambda r: F.concat_ws(",", r.start.cast("string"), r.length.cast("string"), r.period.cast("string")))
+    lines = F.when(F.size("runs") > 0, F.concat(F.array_join(line, "\n"), F.lit("\n"))).otherwise("")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "best.start",
+        "best.length",
+        "best.period",
+        F.expr("(1000 * best.length) div best.period").alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed_text").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -97,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_best_fit,
         op9_ftrl_langid,
         op10_id_coding,
+        op11_audit_repair,
+        op12_piece_table,
+        op13_periodic_runs,
     )
 }
 ORACLES: dict[str, str] = {}
