@@ -8,21 +8,21 @@ over it also starts in a document with a smaller doc_id.
    document lists its distinct anchors (about one for five windows); an anchor that two
    different texts list may belong to a recurring passage. Equal texts count as
    one text here: every copy but the one with the smallest doc_id goes whole.
-2. Confirmation. The stretches around such anchors meet by anchor; their windows are
-   compared word by word and those of two or more documents are merged into passages with
-   the smallest doc_id. An anchor that many documents list is dealt over salts, and its
-   windows' smallest doc_ids are merged after that.
-3. Automata. Passages are dealt into shards of bounded size. A task compiles the words
-   common to each passage's windows into one automaton over words (each word one character)
-   and streams the shard's stretches of all documents through it; at every match the
-   windows around it are looked up whole.
-4. Runs found are collected per document and cut from its whole text.
+2. Stretches. The words around such anchors are cut from the whole texts and dealt by anchor into
+   shards of a bounded number of stretches, a task each.
+3. Confirmation and automata. A task writes each word of its shard as one character and confirms,
+   word by word, the windows that two or more documents hold. Each confirmed window, whole, is a pattern of the shard's automaton;
+   its value is the smallest doc_id that holds it.
+4. All stretches of the shard, of every document, stream through the automaton: each match is an
+   occurrence of a window. Runs found are collected per text and cut from it.
+
+An anchor that very many documents list is dealt over salts; its windows are confirmed per salt, merged, and
+handed as patterns to the shard of every salt.
 """
 
 from __future__ import annotations
 
 import hashlib
-from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -31,12 +31,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprep.llm.common import materialise
+from docprep.llm.common import materialise, text_bytes, with_text
 
 WINDOW = 13
 GROUP = 5
 SALT_ROWS = 4096
-SHARD_PASSAGES = 50_000
+SHARD_STRETCHES = 30_000
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _ODD = np.array([0x9E3779B97F4A7C15 * k & 0xFFFFFFFFFFFFFFFF | 1 for k in range(1, 65)], dtype=np.uint64)
 
@@ -98,10 +98,9 @@ class Words:
         return m.view(np.int64)
 
 
-def _identity(text: bytes | None) -> tuple[bytes, int]:
-    """SHA-256 of a text and its first eight bytes as a signed integer: which text a row holds."""
-    sha = hashlib.sha256(text or b"").digest()
-    return sha, int.from_bytes(sha[:8], "little", signed=True)
+def _version(text: F.Column) -> F.Column:
+    """60 bits of the SHA-256 of a text (null: of the empty one): which text a row holds."""
+    return F.conv(F.substring(F.sha2(F.coalesce(text.cast("binary"), F.lit(b"")), 256), 1, 15), 16, 10).cast("long")
 
 
 def _batch(schema: list[tuple], rows: list[tuple]) -> pa.RecordBatch:
@@ -109,39 +108,39 @@ def _batch(schema: list[tuple], rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _texts(docs: DataFrame, window: int, group: int) -> DataFrame:
-    """(doc_id, v, sha, n_words, anchors) of every row with a doc_id."""
+    """(doc_id, v, sha, n_words, anchors) of every row of ``docs(doc_id, t, v)``."""
 
     def run(batches):
-        kind = [("doc_id", pa.int64()), ("v", pa.int64()), ("sha", pa.binary()), ("n_words", pa.int64()), ("anchors", pa.list_(pa.int64()))]
+        kind = [("sha", pa.binary()), ("n_words", pa.int64()), ("anchors", pa.list_(pa.int64()))]
         for b in batches:
-            rows, texts = [], b.column(1).to_pylist()
+            texts = text_bytes(b.column(1))
             words = Words(texts)
             m, first = words.anchors(window, group), words.first.tolist()
-            for d, t, lo, hi in zip(b.column(0).to_pylist(), texts, first, first[1:]):
-                sha, v = _identity(t)
-                rows.append((d, v, sha, hi - lo, np.unique(m[lo : max(lo, hi - window + 1)])))
+            rows = [
+                (hashlib.sha256(t or b"").digest(), hi - lo, np.unique(m[lo : max(lo, hi - window + 1)])) for t, lo, hi in zip(texts, first, first[1:])
+            ]
             if rows:
-                yield _batch(kind, rows)
+                found = _batch(kind, rows)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *found.columns], ["doc_id", "v", *found.schema.names])
 
-    return docs.mapInArrow(run, "doc_id long, v long, sha binary, n_words long, anchors array<long>")
+    return docs.select("doc_id", "t", "v").mapInArrow(run, "doc_id long, v long, sha binary, n_words long, anchors array<long>")
 
 
-_SEGMENT = [("anchor", pa.int64()), ("salts", pa.int32()), ("doc_id", pa.int64()), ("v", pa.int64()), ("start", pa.int64()), ("text", pa.binary())]
+_STRETCH = [("anchor", pa.int64()), ("salts", pa.int32()), ("doc_id", pa.int64()), ("v", pa.int64()), ("start", pa.int64()), ("text", pa.binary())]
 
 
-def _segments(joined: DataFrame, window: int, group: int, salt_rows: int) -> DataFrame:
+def _stretches(joined: DataFrame, window: int, group: int, salt_rows: int) -> DataFrame:
     """Stretches of whole texts around recurring anchors: consecutive windows that share one anchor."""
 
     def run(batches):
         for b in batches:
-            rows, texts = [], b.column(1).to_pylist()
+            rows, texts = [], text_bytes(b.column(1))
             words = Words(texts)
             m, first, raw = words.anchors(window, group), words.first.tolist(), words.raw
-            for d, t, versions, lo, hi in zip(b.column(0).to_pylist(), texts, b.column(2).to_pylist(), first, first[1:]):
-                v = _identity(t)[1]
-                known = {x["anchor"]: x["n"] for x in versions if x["v"] == v}
+            for d, v, wanted, lo, hi in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), first, first[1:]):
+                known = {x["anchor"]: x["n"] for x in wanted}
                 own = m[lo : max(lo, hi - window + 1)]
-                at = np.flatnonzero(np.isin(own, np.fromiter(known, np.int64, len(known)), kind="sort")) if known else ()
+                at = np.flatnonzero(np.isin(own, np.fromiter(known, np.int64, len(known)), kind="sort"))
                 if not len(at):
                     continue
                 a = own[at]
@@ -151,162 +150,163 @@ def _segments(joined: DataFrame, window: int, group: int, salt_rows: int) -> Dat
                 for s, anchor, x, y in spans:
                     rows.append((anchor, -(-known[anchor] // salt_rows), d, v, s, b" ".join(raw[x:y].split())))
                 if len(rows) >= 20_000:
-                    yield _batch(_SEGMENT, rows)
+                    yield _batch(_STRETCH, rows)
                     rows = []
             if rows:
-                yield _batch(_SEGMENT, rows)
+                yield _batch(_STRETCH, rows)
 
     return joined.mapInArrow(run, "anchor long, salts int, doc_id long, v long, start long, text binary")
 
 
-def _offsets(text: bytes) -> list[int]:
-    """Start of each word of a joined stretch, and one past the end plus one."""
-    return [0, *accumulate(len(w) + 1 for w in text.split(b" "))]
+_WINDOW = [("anchor", pa.int64()), ("salts", pa.int32()), ("text", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())]
 
 
-_PASSAGE = [("anchor", pa.int64()), ("salts", pa.int32()), ("text", pa.binary()), ("lo", pa.int64()), ("hi", pa.int64())]
-
-
-def _confirmed(segments: DataFrame, window: int) -> DataFrame:
-    """(anchor, salts, text, lo): passages all of whose windows occur in two or more documents, lo the smallest."""
-
-    def finish(anchor, salts, seen, fresh):
-        out = []
-        for text, at, doc, new in fresh:  # new: windows first seen in this stretch, ascending
-            if salts > 1:
-                out += [(anchor, salts, w, *seen[w]) for w in dict.fromkeys(text[at[i] : at[i + window] - 1] for i in new)]
-                continue
-            run = []
-            for i in [*new, None]:
-                good = i is not None and seen[text[at[i] : at[i + window] - 1]][1] > doc
-                if run and not (good and i == run[-1] + 1):
-                    out.append((anchor, salts, text[at[run[0]] : at[run[-1] + window] - 1], doc, doc + 1))
-                    run = []
-                if good:
-                    run.append(i)
-        return out
+def _salted_windows(stretches: DataFrame, window: int) -> DataFrame:
+    """(anchor, salts, text, lo): windows of salted anchors that occur in two or more documents, lo the smallest."""
 
     def run(batches):
-        key, seen, fresh = None, {}, []
-        for b in batches:
-            rows = []
-            for anchor, salts, salt, doc, text in zip(*(c.to_pylist() for c in b.columns)):
-                if (anchor, salt) != key:
-                    if key:
-                        rows += finish(key[0], last, seen, fresh)
-                    key, seen, fresh = (anchor, salt), {}, []
-                last = salts
-                at, new = _offsets(text), []
-                for i in range(len(at) - window):
-                    w = text[at[i] : at[i + window] - 1]
-                    known = seen.get(w)
-                    if known is None:
-                        seen[w] = [doc, doc]
-                        new.append(i)
-                    elif doc > known[1]:
-                        known[1] = doc
-                if new:
-                    fresh.append((text, at, doc, new))
-            if rows:
-                yield _batch(_PASSAGE, rows)
-        if key and (rows := finish(key[0], last, seen, fresh)):
-            yield _batch(_PASSAGE, rows)
+        for b in batches:  # equal windows of a batch are merged before the shuffle
+            seen: dict[tuple, list[int]] = {}
+            for anchor, salts, doc, text in zip(*(c.to_pylist() for c in b.columns)):
+                words = text.split(b" ")
+                for i in range(len(words) - window + 1):
+                    known = seen.setdefault((anchor, salts, b" ".join(words[i : i + window])), [doc, doc])
+                    known[0], known[1] = min(known[0], doc), max(known[1], doc)
+            if seen:
+                yield _batch(_WINDOW, [(*k, *v) for k, v in seen.items()])
 
-    dealt = segments.withColumn("salt", F.expr("int(pmod(xxhash64(doc_id), salts))"))
-    dealt = dealt.select("anchor", "salts", "salt", "doc_id", "text")
-    # ascending doc_id: a window's first document is the smallest of the group
-    dealt = dealt.repartition("anchor", "salt").sortWithinPartitions("anchor", "salt", "doc_id")
-    found = materialise(dealt.mapInArrow(run, "anchor long, salts int, text binary, lo long, hi long"), "confirmed")
-    salted = found.where("salts > 1").groupBy("anchor", "salts", "text").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    both = found.where("salts = 1").unionByName(salted.where("lo < hi").select(*found.columns))
-    return both.select("anchor", "salts", "text", "lo")
+    found = stretches.select("anchor", "salts", "doc_id", "text").mapInArrow(run, "anchor long, salts int, text binary, lo long, hi long")
+    merged = found.groupBy("anchor", "salts", "text").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return merged.where("lo < hi").select("anchor", "salts", "text", "lo")
 
 
-class _Shard:
-    """Automaton of a shard: its patterns are the words common to all windows of a passage.
+class Shard:
+    """Stretches of one shard: confirms windows, compiles them into an automaton and finds every occurrence.
 
-    Every occurrence of a window holds the common words of its passage, so a match names the
-    only places where windows can be; those are looked up whole (each word one character: exact).
+    Each word is one character, so windows are strings of ``window`` characters and all comparisons are exact.
     """
 
-    def __init__(self, passages: list[tuple[bytes, int]], window: int):
-        self.window, self.code, self.first = window, {}, {}
-        cores = set()
-        for text, lo in passages:
-            line = []
-            for w in text.split(b" "):
-                c = self.code.get(w)
-                if c is None:
-                    k = len(self.code) + 1  # 0 stands for every other word
-                    c = self.code[w] = chr(k if k < 0xD800 else k + 0x800)
-                line.append(c)
-            line = "".join(line)
-            n = len(line) - window + 1  # windows
-            for i in range(n):
-                w = line[i : i + window]
-                if self.first.get(w, lo) >= lo:
-                    self.first[w] = lo
-            # a passage longer than a window's reach has no common word: cut it
-            for i in range(0, n, window):
-                cores.add(line[min(i + window, n) - 1 : i + window])
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        for c in cores:
-            self.machine.add_word(c)
-        self.machine.make_automaton()
-
-    def runs(self, text: bytes, doc: int) -> list[tuple[int, int]]:
-        """Runs of words covered by windows that start in a document smaller than ``doc``."""
-        get, window, first = self.code.get, self.window, self.first
-        line = "".join([get(w, "\0") for w in text.split(b" ")])
-        top, done, out = len(line) - window, 0, []
-        for end, size in self.machine.iter(line):
-            for i in range(max(done, end - window + 1), min(top, end - size + 1) + 1):
-                if first.get(line[i : i + window], doc) < doc:
-                    if out and i <= out[-1][1]:
-                        out[-1] = (out[-1][0], i + window)
-                    else:
-                        out.append((i, i + window))
-                done = i + 1
-        return out
+    def __init__(self, window: int):
+        self.window = window
+        self.code: dict[bytes, str] = {}
+        self.rows: dict[str, list[tuple[int, int, int]]] = {}  # line -> (doc_id, v, start) of its stretches
+        self.lo: dict[str, int] = {}  # window -> smallest doc_id
+        self.hi: dict[str, int] = {}  # window -> greatest doc_id
+
+    def line(self, text: bytes) -> str:
+        out, code = [], self.code
+        for w in text.split(b" "):
+            c = code.get(w)
+            if c is None:
+                k = len(code) + 1
+                c = code[w] = chr(k if k < 0xD800 else k + 0x800)
+            out.append(c)
+        return "".join(out)
+
+    def add_window(self, text: bytes, lo: int) -> None:
+        """A window confirmed elsewhere, with its smallest doc_id."""
+        w = self.line(text)
+        self.lo[w], self.hi[w] = lo, lo + 1
+
+    def add(self, text: bytes, doc: int, v: int, start: int) -> None:
+        self.rows.setdefault(self.line(text), []).append((doc, v, start))
+
+    def confirm(self) -> None:
+        """Smallest and greatest doc_id of each window of the stretches added."""
+        n, lo, hi = self.window, self.lo, self.hi
+        for line, rows in self.rows.items():
+            least, most = min(rows)[0], max(rows)[0]
+            for i in range(len(line) - n + 1):
+                w = line[i : i + n]
+                if lo.get(w, least) >= least:
+                    lo[w] = least
+                if hi.get(w, most) <= most:
+                    hi[w] = most
+
+    def patterns(self) -> dict[str, int]:
+        hi = self.hi
+        return {w: least for w, least in self.lo.items() if least < hi[w]}
+
+    def runs(self):
+        """(doc_id, v, start, stop) of the words covered by windows that start in a smaller doc_id."""
+        machine = ahocorasick.Automaton(ahocorasick.STORE_ANY)
+        for w, least in self.patterns().items():
+            machine.add_word(w, least)
+        if not len(machine):
+            return
+        machine.make_automaton()
+        n = self.window
+        for line, rows in self.rows.items():
+            hits = [(end - n + 1, least) for end, least in machine.iter(line)]
+            if not hits:
+                continue
+            greatest = max(least for _, least in hits)
+            whole = _joined([i for i, _ in hits], n)
+            for doc, v, start in rows:
+                for lo, hi in whole if doc > greatest else _joined([i for i, least in hits if least < doc], n):
+                    yield doc, v, start + lo, start + hi
+
+
+def _joined(starts: list[int], n: int) -> list[tuple[int, int]]:
+    """Ranges of words covered by windows of ``n`` words at ascending starts."""
+    out: list[tuple[int, int]] = []
+    for i in starts:
+        if out and i <= out[-1][1]:
+            out[-1] = (out[-1][0], i + n)
+        else:
+            out.append((i, i + n))
+    return out
 
 
 _RUN = [("doc_id", pa.int64()), ("v", pa.int64()), ("start", pa.int64()), ("stop", pa.int64())]
+_CONFIRMED, _LOCATE, _BOTH = range(3)
 
 
-def _located(passages: DataFrame, segments: DataFrame, window: int, shard_passages: int) -> DataFrame:
+def _located(stretches: DataFrame, window: int, shard_stretches: int) -> DataFrame:
     """(doc_id, v, start, stop): runs of words covered by windows that start in a smaller doc_id."""
-    passages = materialise(passages.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)"))).select("anchor", "salt", "text", "lo"), "passages")
-    shards = max(1, -(-passages.count() // shard_passages))
+    shards = max(1, -(-stretches.count() // shard_stretches))
     shard = F.expr(f"int(pmod(xxhash64(anchor, salt), {shards}))").alias("shard")
     none = F.lit(None).cast("long")
-    patterns = passages.select(shard, F.lit(0).alias("kind"), "text", F.col("lo").alias("doc_id"), none.alias("v"), none.alias("start"))
-    streams = segments.withColumn("salt", F.expr("int(pmod(xxhash64(doc_id), salts))")).select(shard, F.lit(1).alias("kind"), "text", "doc_id", "v", "start")
+    dealt = stretches.withColumn("salt", F.expr("int(pmod(xxhash64(doc_id, v), salts))"))
+    rows = dealt.select(shard, F.when(F.col("salts") > 1, _LOCATE).otherwise(_BOTH).alias("kind"), "text", "doc_id", "v", "start")
+    salted = stretches.where("salts > 1")
+    if not salted.isEmpty():
+        windows = materialise(_salted_windows(salted, window), "salted_windows")
+        windows = windows.withColumn("salt", F.explode(F.expr("sequence(0, salts - 1)")))
+        rows = rows.unionByName(windows.select(shard, F.lit(_CONFIRMED).alias("kind"), "text", F.col("lo").alias("doc_id"), none.alias("v"), none.alias("start")))
 
     def run(batches):
-        now, pile, ready = None, [], None
+        now, own, streamed = None, None, None
+
+        def finish():
+            # windows of salted anchors are confirmed already: only the others' stretches confirm theirs
+            own.confirm()
+            own.rows.update(streamed)
+            return list(own.runs())
+
         for b in batches:
-            rows = []
             for shard_, kind, text, doc, v, start in zip(*(c.to_pylist() for c in b.columns)):
                 if shard_ != now:
-                    now, pile, ready = shard_, [], None
-                if kind == 0:
-                    pile.append((text, doc))
-                    continue
-                if ready is None:
-                    ready, pile = _Shard(pile, window) if pile else False, []
-                if ready:
-                    rows += [(doc, v, start + lo, start + hi) for lo, hi in ready.runs(text, doc)]
-            if rows:
-                yield _batch(_RUN, rows)
-
-    rows = patterns.unionByName(streams)
-    parts = max(shards, passages.sparkSession.sparkContext.defaultParallelism)
-    rows = rows.repartition(parts, "shard").sortWithinPartitions("shard", "kind")
+                    if own is not None and (found := finish()):
+                        yield _batch(_RUN, found)
+                    now, own, streamed = shard_, Shard(window), {}
+                if kind == _CONFIRMED:
+                    own.add_window(text, doc)
+                elif kind == _LOCATE:
+                    streamed.setdefault(own.line(text), []).append((doc, v, start))
+                else:
+                    own.add(text, doc, v, start)
+        if own is not None and (found := finish()):
+            yield _batch(_RUN, found)
+
+    rows = rows.select("shard", "kind", "text", "doc_id", "v", "start")
+    # one shard a partition: neither a hash of shard numbers nor a merge of small partitions decides a task's size
+    rows = rows.repartitionById(shards, F.col("shard"))
     return rows.mapInArrow(run, "doc_id long, v long, start long, stop long")
 
 
-def repeated_runs(docs: DataFrame, window: int = WINDOW, group: int = GROUP, salt_rows: int = SALT_ROWS, shard_passages: int = SHARD_PASSAGES) -> DataFrame:
-    """``docs(doc_id long, t binary)`` -> ``(doc_id, runs array<struct<v, start, stop>>)``, documents with removals only."""
+def repeated_runs(docs: DataFrame, window: int = WINDOW, group: int = GROUP, salt_rows: int = SALT_ROWS, shard_stretches: int = SHARD_STRETCHES) -> DataFrame:
+    """``docs(doc_id long, t, v long)`` -> ``(doc_id, v, runs array<struct<start, stop>>)``, texts with removals only."""
     docs = docs.where("doc_id is not null")
     texts = materialise(_texts(docs, window, group), "texts")
     # copies: all but the smallest doc_id of a text go whole, if the text has a window at all
@@ -319,20 +319,21 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, group: int = GROUP, sal
     several = anchors.groupBy("anchor").agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count(F.lit(1)).alias("n"))
     several = materialise(several.where("a <> b").select("anchor", "n"), "several")
     rare = anchors.join(several, "anchor").join(copies.select("doc_id", "v"), ["doc_id", "v"], "left_anti")
-    per_doc = rare.groupBy("doc_id").agg(F.collect_set(F.struct("v", "anchor", "n")).alias("versions"))
-    per_doc = materialise(per_doc, "anchors")
-    segments = materialise(_segments(docs.join(per_doc, "doc_id").select("doc_id", "t", "versions"), window, group, salt_rows), "segments")
-    runs = _located(_confirmed(segments, window), segments, window, shard_passages)
+    # repeated rows of one text list the same anchors
+    per_text = rare.groupBy("doc_id", "v").agg(F.collect_set(F.struct("anchor", "n")).alias("wanted"))
+    per_text = materialise(per_text, "anchors")
+    joined = docs.join(per_text, ["doc_id", "v"]).select("doc_id", "t", "v", "wanted")
+    stretches = materialise(_stretches(joined, window, group, salt_rows), "stretches")
+    runs = _located(stretches, window, shard_stretches)
     whole = copies.where(F.col("n_words") >= window).select("doc_id", "v", F.lit(0).cast("long").alias("start"), F.col("n_words").alias("stop"))
-    found = runs.unionByName(whole).groupBy("doc_id").agg(F.collect_set(F.struct("v", "start", "stop")).alias("runs"))
+    found = runs.unionByName(whole).groupBy("doc_id", "v").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
     return materialise(found, "runs")
 
 
-def cut(text: bytes, words: list[bytes], runs: list[dict]) -> list[bytes]:
-    """The words outside the runs of this text's version."""
-    v = _identity(text)[1]
+def cut(words: list[bytes], runs: list[dict]) -> list[bytes]:
+    """The words outside the runs."""
     out, at = [], 0
-    for s, e in sorted((r["start"], r["stop"]) for r in runs if r["v"] == v):
+    for s, e in sorted((r["start"], r["stop"]) for r in runs):
         if s > at:
             out += words[at:s]
         at = max(at, e)
@@ -350,21 +351,23 @@ def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
     the input. A repeated doc_id never removes from itself; a row with a null doc_id removes nothing and loses
     nothing. Texts shorter than a window stay whole. An empty table gives an empty result.
     """
-    src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("t"))
-    runs = repeated_runs(src, window=window, **kw).select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs"))
     docs = docs.drop(*out)
-    names = docs.columns
-    joined = docs.join(runs, F.col(id_col).cast("long") == F.col("__id"), "left").drop("__id")
-    joined = joined.withColumn("__t", F.col(text_col).cast("binary"))
+    rows, text_at = with_text(docs, text_col)
+    names, text = docs.columns, rows.columns[text_at]
+    version = _version(F.col(text))
+    runs = repeated_runs(rows.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text).alias("t"), version.alias("v")), window=window, **kw)
+    runs = runs.select(F.col("doc_id").alias("__id"), F.col("v").alias("__of"), F.col("runs").alias("__runs"))
+    joined = rows.withColumn("__v", version).join(runs, (F.col(id_col).cast("long") == F.col("__id")) & (F.col("__v") == F.col("__of")), "left")
+    joined = joined.select(*rows.columns, "__runs")
     schema = docs.select("*", F.lit(0).cast("long").alias(out[0]), F.lit(0).cast("long").alias(out[1]), F.lit("").alias(out[2])).schema
-    runs_at, text_at = len(names), len(names) + 1
+    runs_at = len(rows.columns)
 
     def run(batches):
         for b in batches:
             n_words, n_removed, kept = [], [], []
-            for t, r in zip(b.column(text_at).to_pylist(), b.column(runs_at).to_pylist()):
+            for t, r in zip(text_bytes(b.column(text_at)), b.column(runs_at).to_pylist()):
                 words = (t or b"").split()
-                left = cut(t, words, r) if r else words
+                left = cut(words, r) if r else words
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(left))
                 kept.append(b" ".join(left).decode())
@@ -372,4 +375,4 @@ def deduplicated(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id"
                 [*b.columns[: len(names)], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], [*names, *out]
             )
 
-    return joined.select(*names, "__runs", "__t").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)

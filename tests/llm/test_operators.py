@@ -86,7 +86,7 @@ def test_simhash_brute_force(spark, docs, empty):
 
 
 def test_passages_brute_force(spark, docs, empty):
-    got = phrase_automata.deduplicated(docs.withColumn("n_words", F.lit("clash")), salt_rows=1, shard_passages=2).collect()
+    got = phrase_automata.deduplicated(docs.withColumn("n_words", F.lit("clash")), salt_rows=1, shard_stretches=2).collect()
     assert len(got) == len(TEXTS)
     first = {}
     for d, t in sorted((r for r in TEXTS if r[0] is not None), key=lambda r: r[0]):
@@ -104,6 +104,39 @@ def test_passages_brute_force(spark, docs, empty):
     assert phrase_automata.deduplicated(empty).collect() == []
 
 
+def test_patterns_are_whole_windows():
+    shard = phrase_automata.Shard(13)
+    for doc, words in ((3, PHRASE.split()), (4, ["x"] + PHRASE.split()[2:]), (4, PHRASE.split()[:13]), (9, ["y"] * 20)):
+        shard.add(" ".join(words).encode(), doc, 0, 100)
+    shard.confirm()
+    patterns = shard.patterns()
+    assert {len(w) for w in patterns} == {13} and set(patterns.values()) == {3}
+    assert sorted(shard.runs()) == [(4, 0, 100, 113), (4, 0, 101, 119)]
+
+
+@pytest.mark.parametrize("salt_rows", [1, 2, 4096])
+def test_hot_passage_over_salts(spark, salt_rows):
+    rng = np.random.default_rng(4)
+    passage = " ".join(f"p{i}" for i in range(60))
+    texts = []
+    for i in range(40):
+        own = [" ".join(rng.choice(list("abcdefg"), 30)) for _ in range(2)]
+        at = rng.integers(0, 30)
+        texts.append((int(rng.integers(0, 35)), f"{own[0]} {' '.join(passage.split()[at : at + 30])} {own[1]}"))
+    got = phrase_automata.deduplicated(spark.createDataFrame(texts, "doc_id long, text string"), salt_rows=salt_rows, shard_stretches=15).collect()
+    first = {}
+    for d, t in sorted(texts):
+        w = t.split()
+        for i in range(len(w) - 12):
+            first.setdefault(tuple(w[i : i + 13]), d)
+    want = []
+    for d, t in texts:
+        w = t.split()
+        gone = {k for i in range(len(w) - 12) if first[tuple(w[i : i + 13])] < d for k in range(i, i + 13)}
+        want.append((d, len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    assert sorted((r.doc_id, r.n_removed, r.kept_text) for r in got) == sorted(want) and sum(n for _, n, _ in want) > 500
+
+
 def test_shards(docs, empty):
     rows = byte_shards.assign_shards(byte_shards.sized(docs), shards=4, block_rows=3).collect()
     assert len(rows) == len(TEXTS)
@@ -387,3 +420,12 @@ def test_pipeline_decisions(spark, tmp_path):
     for r in C.STAGES[4][1](spark, docs, str(tmp_path)).collect():
         sizes[r.doc_id] += r.length
     assert sizes == {i: len(_ids("byte_bpe_50k.json", t, 0)) for i, t in want[3].items()}
+
+
+def test_lower_cased_letters_have_the_same_ids():
+    """The cache holds one stretch for both cases of Latin letters: the library must see them alike."""
+    lib = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    letters = [chr(c) for c in range(0x250) if chr(c).lower() != chr(c)]
+    words = [x + y for x in letters for y in ("", "a", "\u0301", ".")]
+    plain, lower = (lib.encode_batch(w, add_special_tokens=False) for w in (words, [w.lower() for w in words]))
+    assert [e.ids for e in plain] == [e.ids for e in lower]
