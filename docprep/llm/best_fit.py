@@ -11,6 +11,7 @@ the fullest open one closes first.
 
 from __future__ import annotations
 
+import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
 
@@ -29,15 +30,18 @@ END_ID = 0
 
 
 def tokenised_pieces(
-    docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, special_as_text: bool = False
+    docs: DataFrame, tokenizer_path: str, text_col: str = "text", id_col: str = "doc_id", capacity: int = CAPACITY, end_id: int = END_ID, special_as_text: bool = False, crc_only: bool = False
 ) -> DataFrame:
     """``(doc_id, piece, start, length, ids)``: whole texts as ids plus the end id, cut only beyond ``capacity``.
 
     All pieces but the first are full; ids are little-endian unsigned 32-bit
     integers. Null text counts as empty: one piece holding the end id. A special token's
-    string in a text becomes its id, as the library does, unless ``special_as_text``.
+    string in a text becomes its id, as the library does, unless ``special_as_text``. With ``crc_only`` the column
+    ``ids_crc32 long`` (CRC-32 of the ids, unsigned) stands in place of ``ids``. Repeated rows give repeated pieces, an
+    empty table none; other columns are left out.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
+    last, kind = ("ids_crc32", pa.int64()) if crc_only else ("ids", pa.binary())
 
     def run(batches):
         enc = encoder(tokenizer_path, special_as_text)
@@ -52,15 +56,16 @@ def tokenised_pieces(
                     at, k = 0, 0
                     while at < n:
                         stop = first if k == 0 else at + capacity
-                        rows.append((d, k, at, stop - at, raw[4 * at : 4 * stop]))
+                        ids = raw[4 * at : 4 * stop]
+                        rows.append((d, k, at, stop - at, zlib.crc32(ids) if crc_only else ids))
                         at, k = stop, k + 1
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                    ["doc_id", "piece", "start", "length", "ids"],
+                    [pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), kind))],
+                    ["doc_id", "piece", "start", "length", last],
                 )
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
+    return src.mapInArrow(run, f"doc_id long, piece int, start long, length long, {last} {'long' if crc_only else 'binary'}")
 
 
 class BestFit:
@@ -113,8 +118,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, open_bins: int = OPEN_BINS
 
     A sequence holds at most ``capacity`` ids and its offsets have no gaps. Rows
     are dealt by hash, so neither a hot document nor an order of the input
-    decides a group's size; equal rows are packed one by one.
+    decides a group's size; equal rows are packed one by one. Columns named like the two new ones are
+    replaced, other columns stay. An empty table gives an empty result.
     """
+    pieces = pieces.drop("sequence_id", "offset")
     names = pieces.columns
     pieces = materialise(pieces, "pieces")
     groups = max(1, -(-pieces.count() // group_pieces))

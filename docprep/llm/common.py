@@ -12,8 +12,10 @@ from __future__ import annotations
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from docprep.session import checkpoint_dir
 
@@ -21,7 +23,7 @@ from docprep.session import checkpoint_dir
 # replaces them) and hand Python workers batches of bounded size in bytes.
 _STEP_CONF = {
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
-    "spark.sql.execution.arrow.maxBytesPerBatch": str(32 * 1024 * 1024),
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 * 1024 * 1024),
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
 }
 
@@ -52,10 +54,28 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with step_conf(spark):
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        # row groups of a size that a task can hold beside its workers
+        df.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", 32 * 1024 * 1024).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def text_bytes(column: pa.Array) -> list[bytes | None]:
+    """The values of a column of strings or bytes as bytes; strings are not copied for it."""
+    kind = column.type
+    if pa.types.is_string(kind):
+        column = column.cast(pa.binary())
+    elif pa.types.is_large_string(kind):
+        column = column.cast(pa.large_binary())
+    return column.to_pylist()
+
+
+def with_text(docs: DataFrame, text_col: str) -> tuple[DataFrame, int]:
+    """(rows, place of their text): the column itself where it holds strings or bytes, else a copy of it as a string, last."""
+    if docs.schema[text_col].dataType.simpleString() in ("string", "binary"):
+        return docs, docs.columns.index(text_col)
+    return docs.withColumn("__text", F.col(text_col).cast("string")), len(docs.columns)
+
+
 def store(uri: str):
     """(pyarrow file system, path) of a folder or file; a URI without a scheme is a plain path."""
     if "://" in uri:

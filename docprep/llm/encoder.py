@@ -1,4 +1,4 @@
-"""Whole-text token ids by the tokenizers library, through a bounded cache of stretches.
+"""Whole-text token ids by the tokenizers library, through a cache of stretches bounded in bytes.
 
 Both public vocabularies cut a text at white space before they merge, so the ids
 of a text are the ids of its stretches one after another. A stretch that occurs
@@ -12,22 +12,30 @@ With ``special_as_text`` the strings of special tokens in a text are ordinary te
 
 from __future__ import annotations
 
+import os
 import re
 import unicodedata
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer
 
-_CACHE_LIMIT = 700_000
+CACHE_BYTES = 128 * 1024 * 1024  # of stretches learnt; those of the round before stay beside them
+LONGEST_KEPT = 256  # characters of a stretch that outlives its batch
+_ENTRY_BYTES = 200  # of a stretch besides its own characters and ids
+_PART_CHARS = 4_000_000  # characters cut into stretches at once
 _JOIN = 4_000
 # white space other than blanks and line feeds, and the mark of a first stretch
 _ODD = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\0"
 _ODD_WIDE = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+# beyond these letters lower-casing may depend on neighbours or on the version of Unicode
+_BEYOND_LATIN = re.compile("[^\0-\u024f]")
 _INSTANCES: dict[tuple[str, bool], "CachedEncoder"] = {}
 
 
 def encoder(path: str, special_as_text: bool = False) -> "CachedEncoder":
     """One encoder per worker process, vocabulary file and reading of special tokens."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     key = path, special_as_text
     if key not in _INSTANCES:
         _INSTANCES[key] = CachedEncoder(path, special_as_text)
@@ -47,8 +55,13 @@ class CachedEncoder:
             *self.lib.encode("a", add_special_tokens=False).ids,
             *self.lib.encode("b", add_special_tokens=False).ids,
         ]
+        # characters that every normalized added token holds; no other character is lower-cased or composed to one of these
+        self.marks = [c for c in "<|>" if all(c in x for x in self.added_normal)]
+        self.lowers = self.lib.encode("ÀB", add_special_tokens=False).ids == self.lib.encode("àb", add_special_tokens=False).ids
         self.sizes = self._token_bytes()
         self.cache: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.weight = 0
 
     def _normal(self, text: str) -> str:
         return self.lib.normalizer.normalize_str(text) if self.lib.normalizer else text
@@ -68,11 +81,15 @@ class CachedEncoder:
         """Stretches whose ids are independent; None if the text needs the library as a whole."""
         if any(x in text for x in self.added):
             return None
-        if self.added_normal:
+        if self.added_normal and all(c in text for c in self.marks):
             shown = self._normal(text)
             if any(x in shown for x in self.added_normal):
                 return None
         if self.drops_space:
+            if self.lowers and (text.isascii() or not _BEYOND_LATIN.search(text)):
+                low = text.lower()  # one stretch for both cases
+                if not any(x in low for x in self.added):
+                    text = low
             return text.replace("\n", " ").split(" ")
         if any(x in text for x in _ODD):
             return None
@@ -85,65 +102,88 @@ class CachedEncoder:
 
     def _learn(self, new: list[str]) -> None:
         """Encode stretches not seen before, many joined in one call, and cut the ids by their bytes."""
-        plain = []
-        if self.drops_space:
-            joinable = [w for w in new if w]
-            shown = [unicodedata.normalize("NFC", w).lower() for w in joinable]
-            lengths = [len(w.encode()) for w in shown]
-            joined = [" ".join(joinable[i : i + _JOIN]) for i in range(0, len(joinable), _JOIN)]
-        else:
-            joinable = [w for w in new if w and w[0] not in "\0\n"]
-            plain = [w for w in new if w and w[0] in "\0\n"]
-            lengths = [len(w.encode()) + 1 for w in joinable]
-            joined = [" " + " ".join(joinable[i : i + _JOIN]) for i in range(0, len(joinable), _JOIN)]
+        joinable, plain, before = new, [], ""
+        if not self.drops_space:
+            joinable = [w for w in new if w[0] not in "\0\n"]
+            plain, before = [w for w in new if w[0] in "\0\n"], " "
+        joined = [before + " ".join(joinable[i : i + _JOIN]) for i in range(0, len(joinable), _JOIN)]
         for k, e in enumerate(self.lib.encode_batch_fast(joined, add_special_tokens=False)):
             words = joinable[k * _JOIN : (k + 1) * _JOIN]
             ids = np.array(e.ids, dtype="<u4")
             ends = np.cumsum(self.sizes[ids])
-            want = np.cumsum(lengths[k * _JOIN : (k + 1) * _JOIN])
-            cut = np.searchsorted(ends, want) + 1
-            if len(ends) and ends[-1] == want[-1] and np.array_equal(ends[cut - 1], want):
+            cut, want = None, self._ends(joined[k], len(words))
+            if want is not None and len(ends) and ends[-1] == want[-1]:
+                cut = np.searchsorted(ends, want) + 1
+            if cut is not None and np.array_equal(ends[cut - 1], want):
                 raw = ids.tobytes()
-                at = 0
-                for w, c in zip(words, (cut * 4).tolist()):
-                    self.cache[w] = raw[at:c]
-                    at = c
+                stops = (cut * 4).tolist()
+                self.cache.update(zip(words, [raw[x:y] for x, y in zip([0, *stops], stops)]))
+                self.weight += len(words) * _ENTRY_BYTES + len(joined[k]) + len(raw)
             else:  # the library changed lengths (rare characters): one by one
                 plain += words
         if plain:
             texts = [w[1:] if w[0] == "\0" else w if self.drops_space or w[0] == "\n" else " " + w for w in plain]
             for w, e in zip(plain, self.lib.encode_batch_fast(texts, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, dtype="<u4").tobytes()
+                self.cache[w] = ids = np.array(e.ids, dtype="<u4").tobytes()
+                self.weight += _ENTRY_BYTES + len(w) + len(ids)
+
+    def _ends(self, joined: str, n: int) -> np.ndarray | None:
+        """Where the ids of each of ``n`` joined words end, in bytes that ids stand for."""
+        if self.drops_space:
+            joined = unicodedata.normalize("NFC", joined).lower()
+        raw = np.frombuffer(joined.encode(), dtype=np.uint8)
+        blanks = np.flatnonzero(raw == 0x20)
+        if self.drops_space:
+            return np.append(blanks, len(raw)) - np.arange(n) if len(blanks) == n - 1 else None
+        return np.append(blanks[1:], len(raw)) if len(blanks) == n else None
+
+    def _round(self) -> None:
+        """Begin a new round of the cache when this one is full; stretches of the last round come back when they are met again."""
+        if self.weight > CACHE_BYTES:
+            self.old = {w: x for w, x in self.cache.items() if len(w) <= LONGEST_KEPT}
+            self.cache, self.weight = {}, 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of whole texts as little-endian unsigned 32-bit integers (null: none)."""
-        cut = [self._stretches(t or "") if t else [] for t in texts]
-        need: set[str] = set()
-        for words in cut:
-            if words:
-                need.update(words)
-        if not self.drops_space:
-            need -= {"", "\n"}
-        known = self.cache
-        new = [w for w in need if w not in known]
-        if len(need) > _CACHE_LIMIT // 2:  # an enormous batch: by halves, so the cache stays bounded
-            if len(texts) > 1:
-                half = len(texts) // 2
-                return self.encode(texts[:half]) + self.encode(texts[half:])
-            return [self._plain(texts[0])]
-        if len(known) + len(new) > _CACHE_LIMIT:
-            known.clear()
-            new = list(need)
+        out, lo, size = [], 0, 0
+        for hi, t in enumerate(texts, 1):
+            size += len(t or "")
+            if size > _PART_CHARS or hi == len(texts):
+                out += self._encoded(texts[lo:hi])
+                lo, size = hi, 0
+        return out
+
+    def _encoded(self, texts: list[str | None]) -> list[bytes]:
+        self._round()
+        cut = [self._stretches(t) if t else [] for t in texts]
+        flat = list(chain.from_iterable(words for words in cut if words))
+        ids = list(map(self.cache.get, flat))
+        missing = {w for w, x in zip(flat, ids) if x is None}
+        if missing:
+            self._fetch(missing)
+            get = self.cache.get
+            ids = [get(w) if x is None else x for w, x in zip(flat, ids)]
+        out, at = [], 0
+        for t, words in zip(texts, cut):
+            own = ids[at : at + len(words or ())]
+            at += len(own)
+            # two kinds of white space in a row leave a stretch that is never learnt: the text goes through the library
+            out.append(self._plain(t) if words is None or None in own else b"".join(own))
+        return out
+
+    def _fetch(self, missing: set[str]) -> None:
+        if self.drops_space:
+            self.cache[""] = b""
+        else:
+            missing.discard("\n")
+        missing.discard("")
+        new = []
+        for w in missing:
+            x = self.old.get(w)
+            if x is None:
+                new.append(w)
+            else:
+                self.cache[w] = x
+                self.weight += _ENTRY_BYTES + len(w) + len(x)
         if new:
             self._learn(new)
-        if self.drops_space:
-            known[""] = b""
-        return [self._joined(t, words) for t, words in zip(texts, cut)]
-
-    def _joined(self, text: str, words: list[str] | None) -> bytes:
-        if words is not None:
-            try:
-                return b"".join(map(self.cache.__getitem__, words))
-            except KeyError:
-                pass
-        return self._plain(text)
