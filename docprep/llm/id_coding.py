@@ -117,8 +117,9 @@ def _ranks(ids: DataFrame) -> np.ndarray:
     def count(batches):
         total = np.zeros(0, dtype=np.int64)
         for b in batches:
-            for raw, n in zip(b.column(1).to_pylist(), b.column(0).to_pylist()):
-                c = np.bincount(_ids_of(raw, n))
+            raws, sizes = b.column(1).to_pylist(), b.column(0).to_pylist()
+            for width, code in ((2, "<u2"), (4, "<u4")):  # a text has an end id at least
+                c = np.bincount(np.frombuffer(b"".join(r for r, n in zip(raws, sizes) if len(r) == width * n), code))
                 if len(c) > len(total):
                     total = np.concatenate([total, np.zeros(len(c) - len(total), np.int64)])
                 total[: len(c)] += c
