@@ -25,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from sentencepiece import SentencePieceProcessor
 
 BLANK = "▁"
 CACHE_BYTES = 96 * 1024 * 1024  # of stretches remembered; those of the round before stay beside them
-FITTING = 400_000  # pairs of pieces remembered
+FITTING = 250_000  # pairs of pieces remembered
 LONGEST_KEPT = 64  # characters of a stretch that is remembered
 _ENTRY_BYTES = 200  # of a remembered stretch besides its own characters and ids
 _PROBE = "A  b ﬁ①éÅ "  # what a normalizer that changes characters would change
@@ -191,28 +192,32 @@ class PieceTable(dict):
         return [*out, run] if run else out
 
 
-def encoded(docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, end: bool = True) -> DataFrame:
+def encoded(
+    docs: DataFrame, model_path: str, text_col: str = "text", ids_col: str = "ids", keep: list[str] | None = None, end: bool = True, decoded_col: str | None = None
+) -> DataFrame:
     """The rows of ``docs`` with ``ids array<int>``: the whole text's ids as the library gives them, and the end id.
 
     ``keep`` names the columns that stay (default: all; one named like ``ids_col`` is replaced). Null and empty texts have the
-    end id alone. Each row is a result of its own, repeated or not; an empty table gives an empty result.
+    end id alone. Each row is a result of its own, repeated or not; an empty table gives an empty result. With ``decoded_col`` the text
+    that the library's ``decode`` makes of the ids follows, in the same task.
     """
-    names = [c for c in (docs.columns if keep is None else keep) if c != ids_col]
-    src = docs.select(*names, F.col(text_col).cast("string").alias("__text")) if text_col not in names else docs.select(*names)
-    at = src.columns.index("__text" if text_col not in names else text_col)
-    if text_col in names:
-        src = src.withColumn(text_col, F.col(text_col).cast("string"))
-    schema = src.select(*names, F.array(F.lit(0)).alias(ids_col)).schema
+    new = [ids_col, decoded_col] if decoded_col else [ids_col]
+    names = [c for c in (docs.columns if keep is None else keep) if c not in new]
+    src = docs.select(*names, F.col(text_col).cast("string").alias("__text"))
+    types = src.select(*names, F.array(F.lit(0)).alias(ids_col), F.lit("").alias(decoded_col or "__text")).schema
+    schema = T.StructType(types.fields[: len(names) + len(new)])
 
     def run(batches):
         table = piece_table(model_path)
-        tail = np.array([table.lib.eos_id()], dtype="<i4").tobytes() if end else b""
+        tail = array("i", [table.lib.eos_id()]).tobytes() if end else b""
         for b in batches:
-            raw = [table.encode(t) + tail for t in b.column(at).to_pylist()]
+            raw = [table.encode(t.as_py()) + tail for t in b.column(len(names))]
             stops = np.cumsum([0, *(len(r) // 4 for r in raw)])
             values = pa.array(np.frombuffer(b"".join(raw), dtype="<i4"), pa.int32())
-            ids = pa.ListArray.from_arrays(pa.array(stops, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], ids], [*names, ids_col])
+            columns = [*b.columns[: len(names)], pa.ListArray.from_arrays(pa.array(stops, pa.int32()), values)]
+            if decoded_col:
+                columns.append(pa.array([table.lib.decode(np.frombuffer(r, dtype="<i4").tolist()) for r in raw], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, [*names, *new])
 
     return src.mapInArrow(run, schema)
 
@@ -225,12 +230,12 @@ def decoded(rows: DataFrame, model_path: str, ids_col: str = "ids", text_col: st
     schema = src.select(*names, F.lit("").alias(text_col)).schema
 
     def run(batches):
-        lib = piece_table(model_path).lib
+        lib = SentencePieceProcessor(model_file=model_path)
         for b in batches:
-            lists = b.column(at).to_pylist()
-            texts = lib.decode([x for x in lists if x is not None], num_threads=1) if lists else []
-            rest = iter(texts)
-            out = [None if x is None else next(rest) for x in lists]
+            out = []
+            for ids in b.column(at):  # a text's ids at a time are Python numbers
+                ids = ids.as_py()
+                out.append(None if ids is None else lib.decode(ids))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*names, text_col])
 
     return src.mapInArrow(run, schema)

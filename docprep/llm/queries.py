@@ -67,8 +67,7 @@ def op7_int8_tiles(spark: SparkSession, sf: str) -> DataFrame:
 
 def op8_best_fit(spark: SparkSession, sf: str, docs: DataFrame | None = None) -> DataFrame:
     docs = _table(spark, sf, "documents") if docs is None else docs
-    pieces = best_fit.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return best_fit.pack(pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+    return best_fit.pack(best_fit.tokenised_pieces(docs, public_tokenizers.path("byte_bpe_50k.json"), crc_only=True))
 
 
 def op9_ftrl_langid(spark: SparkSession, sf: str) -> DataFrame:
@@ -91,8 +90,7 @@ def op11_audit_repair(spark: SparkSession, sf: str) -> DataFrame:
 
 def op12_piece_table(spark: SparkSession, sf: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
-    found = piece_table.encoded(_table(spark, sf, "documents").select("doc_id", "text"), model, keep=["doc_id"])
-    found = piece_table.decoded(found, model)
+    found = piece_table.encoded(_table(spark, sf, "documents"), model, keep=["doc_id"], decoded_col="decoded")
     return found.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),

@@ -174,6 +174,8 @@ def test_prefix_table_ids_and_text(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string, ids string")
     got = piece_table.decoded(piece_table.encoded(table, MODEL), MODEL).collect()
     assert len(got) == len(rows)
+    both = piece_table.encoded(table, MODEL, keep=["doc_id"], decoded_col="text").collect()
+    assert sorted((r.doc_id, r.ids, r.text) for r in both) == sorted((r.doc_id, r.ids, r.decoded) for r in got)
     for r in got:
         ids = lib.encode(r.text or "", add_eos=True)
         assert r.ids == ids and r.decoded == lib.decode(ids)
