@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprep.llm.common import lookup_bounded, materialise
+from docprep.llm.common import lookup_bounded, materialise, text_bytes, with_text
 
 HALF = 32
 RANK = 128
@@ -120,7 +120,7 @@ def _reader(number: dict[str, int], coded: bool):
         code = _code(len(number))
         return lambda column: [np.frombuffer(x or b"", dtype=code) for x in column.to_pylist()]
     terms = _Terms(number)
-    return lambda column: [terms(x) for x in column.to_pylist()]
+    return lambda column: [terms(x) for x in text_bytes(column)]
 
 
 def _numbered(rows: DataFrame, number: dict[str, int]) -> DataFrame:
@@ -338,8 +338,8 @@ def _check(words: np.ndarray, start: int, item: list[int], answer: list[int], le
     return lcs_length(item, around) / reach, lcs_length(answer, around) / len(answer)
 
 
-def _search(docs, coded: bool, names: list[str], items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer_share, verbatim, schema):
-    """Rows of ``docs`` (the columns ``names``, then the texts or term numbers) through ``schema[1]`` with their matches."""
+def _search(docs, coded: bool, names: list[str], text_at: int, items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer_share, verbatim, schema):
+    """Rows of ``docs`` (the columns ``names``; texts or term numbers at ``text_at``) through ``schema[1]`` with their matches."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((number, items, answers, ids, basis, directions, _Runs(items)))
     least = min(lcs, verbatim) - 1e-9
@@ -348,7 +348,7 @@ def _search(docs, coded: bool, names: list[str], items, answers, ids, number, fr
         number, items, answers, ids, basis, directions, runs = shared.value
         read = _reader(number, coded)
         for b in batches:
-            p = Passages(read(b.column(len(names))))
+            p = Passages(read(b.column(text_at)))
             best: dict[tuple[int, int], tuple] = {}
             for lo, hi, own in p.parts():
                 x = _fold(*p.rows(lo, hi, frequent), basis)
@@ -427,7 +427,7 @@ def matches(
     for ids, items, answers, number in _prepare(benchmark, bench_text, bench_id, min_words):
         coded = _numbered(rows, number)
         frequent, basis, directions = _space(coded, True, items, number, rank)
-        found = _search(coded, True, ["doc_id"], items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer, verbatim, (MATCHES, _match_rows))
+        found = _search(coded, True, ["doc_id"], 1, items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer, verbatim, (MATCHES, _match_rows))
         out = out.unionByName(found)
     return out
 
@@ -440,6 +440,6 @@ def decontaminated(
     names, whole = docs.columns, docs.select(F.col(text_col).cast("binary").alias("t"))
     for ids, items, answers, number in _prepare(benchmark, bench_text, bench_id, min_words):
         frequent, basis, directions = _space(whole, False, items, number, rank)
-        rows = docs.withColumn("__t", F.col(text_col).cast("binary"))
-        docs = _search(rows, False, names, items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer, verbatim, (docs.schema, _clean_rows))
+        rows, at = with_text(docs, text_col)
+        docs = _search(rows, False, names, at, items, answers, ids, number, frequent, basis, directions, cosine, lcs, answer, verbatim, (docs.schema, _clean_rows))
     return docs

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docprep.llm.common import lookup_bounded, materialise
+from docprep.llm.common import lookup_bounded, materialise, text_bytes, with_text
 
 MAX_POSITIVE = 8_000
 MAX_UNLABELLED = 24_000
@@ -35,18 +35,32 @@ MIN_CHI2 = 30.0  # of the feature's share in P against that in U, one text disco
 PREFIXES = (4, 5, 6)  # inflected words share their first characters
 THRESHOLD = 0.3
 FOLDS, HELD_OUT = 4, 2
+CACHE_BYTES = 32 * 1024 * 1024
+LONGEST_KEPT = 256  # bytes of a word that is remembered
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 
 
 class _Features(dict):
-    """raw word (bytes) -> hashes of the word and of its first characters; case and punctuation around it do not matter."""
+    """raw word (bytes) -> hashes of the word and of its first characters; case and punctuation around it do not matter.
+
+    With ``only``, hashes outside it are left out. Words are forgotten together when they take ``CACHE_BYTES``.
+    """
+
+    def __init__(self, only: dict[int, float] | None = None):
+        super().__init__()
+        self.only, self.weight = only, 0
 
     def __missing__(self, raw: bytes) -> tuple[int, ...]:
-        if len(self) >= 300_000:
+        if self.weight > CACHE_BYTES:
             self.clear()
+            self.weight = 0
         word = _EDGE.sub("", raw.decode("utf-8", "replace").lower())
         names = [word] * bool(word) + [word[:k] + "*" for k in PREFIXES if len(word) > k]
-        found = self[raw] = tuple(xxhash.xxh64_intdigest(x.encode(), 11) >> 1 for x in names)
+        found = [xxhash.xxh64_intdigest(x.encode(), 11) >> 1 for x in names]
+        found = tuple(found if self.only is None else [f for f in found if f in self.only])
+        self.weight += 150 + len(raw) + 36 * len(found)
+        if len(raw) <= LONGEST_KEPT:
+            self[raw] = found
         return found
 
 
@@ -176,14 +190,15 @@ def scores(docs: DataFrame, model: tuple[dict[int, float], float], text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most n_features weights
     docs = docs.drop(score_col)
     names = docs.columns
+    rows, at = with_text(docs, text_col)
 
     def run(batches):
         weights, bias = shared.value
-        cache, get = _Features(), weights.get
+        cache, get = _Features(weights), weights.__getitem__
         for b in batches:
-            z = [bias + sum(get(f, 0.0) for f in features(t, cache)) for t in b.column(len(names)).to_pylist()]
+            z = [bias + sum(map(get, features(t, cache))) for t in text_bytes(b.column(at))]
             s = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=np.float64), -500, 500)))
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(s, pa.float64())], [*names, score_col])
 
     schema = docs.select("*", F.lit(0.0).cast("double").alias(score_col)).schema
-    return docs.withColumn("__t", F.col(text_col).cast("binary")).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)

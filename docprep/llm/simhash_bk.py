@@ -23,7 +23,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docprep.llm.common import materialise
@@ -238,10 +238,14 @@ def keep_one_per_group(docs: DataFrame, **kw) -> DataFrame:
     found = near_duplicates(docs, **kw)
     gone = materialise(found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
     left = docs.join(gone, F.col(id_col).cast("long") == F.col("__gone"), "left_anti")
-    w = Window.partitionBy(id_col).orderBy(kw.get("text_col", "text"))
-    repeated = materialise(
-        docs.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).count().where("count > 1").select("__id"), "repeated"
-    )
+    repeated = left.where(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).count().where("count > 1")
+    repeated = materialise(repeated.select("__id"), "repeated")
     if repeated.isEmpty():
         return left
-    return left.withColumn("__n", F.row_number().over(w)).where(F.col("__n").eqNullSafe(1) | F.col(id_col).isNull()).drop("__n")
+    # only rows of repeated ids are compared, combined before the shuffle; those without an id never meet
+    is_repeated = F.col(id_col).cast("long") == F.col("__id")
+    text = F.col(kw.get("text_col", "text"))
+    order = F.struct(text.isNotNull(), text, F.xxhash64(*left.columns))
+    many = left.join(repeated, is_repeated, "left_semi").groupBy(F.col(id_col).cast("long").alias("__id"))
+    one = many.agg(F.min_by(F.struct(*left.columns), order).alias("__row")).select("__row.*")
+    return left.join(repeated, is_repeated, "left_anti").unionByName(one)
