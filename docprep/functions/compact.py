@@ -40,7 +40,8 @@ FENCE_RX = f"^{WS}*(?:```|~~~)"
 ANY_FENCE_RX = f"(?md)^{WS_NO_NL}*(?:```|~~~)"
 # flat classes: a repeated group of varying length would recurse once per repeat
 EMPTY_TABLE_ROW_RX = f"^{WS}*\\|{WS[:-1]}|]*\\|{WS}*\\z"
-COMMENT_RX = "(?s)<!--.*?-->"
+# an unclosed comment takes the rest of the text, which stays ($1): no later start is searched again
+COMMENT_RX = "(?s)<!--.*?-->|(<!--.*+)"
 
 
 def normalize_markdown(col: Column) -> Column:
@@ -49,7 +50,7 @@ def normalize_markdown(col: Column) -> Column:
     # translate: the first matching char maps to ' ', the rest have no
     # counterpart and are deleted.
     t = F.translate(t, NBSP + INVISIBLE_CHARS, " ")
-    return F.regexp_replace(t, COMMENT_RX, "")
+    return F.regexp_replace(t, COMMENT_RX, "$1")
 
 
 def _line_kinds(lines: Column) -> Column:
@@ -83,7 +84,8 @@ def _token(content: Column, kind: Column) -> Column:
 def _assemble(tokens: Column) -> Column:
     joined = F.array_join(F.filter(tokens, lambda x: x.isNotNull()), "\n")
     t = F.regexp_replace(joined, "^(?:B\n)*+(?:B\\z)?", "")  # leading blanks
-    t = F.regexp_replace(t, "(?:\nB)+\\z", "")  # trailing blanks
+    # trailing blanks; the look-behind starts a run at its first blank only, so a run inside the text is read once
+    t = F.regexp_replace(t, "(?<!\nB)(?:\nB)++\\z", "")
     t = F.regexp_replace(t, "(?:\nB)+\n", "\n\n")  # a run of blanks -> one empty line
     return F.regexp_replace(t, "(^|\n)E", "$1")
 
@@ -106,7 +108,7 @@ def _compact_plain(text: Column) -> Column:
     t = F.regexp_replace(text, f"(?md)(?<!{WS_NO_NL}){WS_NO_NL}++$", "")  # right-strip every line
     t = F.regexp_replace(t, f"(?md)^{WS_NO_NL}*\\|{WS_NO_NL[:-1]}|]*\\|(?:\n|\\z)", "")  # drop empty table rows
     t = F.regexp_replace(t, "^\n+", "")  # leading blank lines
-    t = F.regexp_replace(t, "\n+\\z", "")  # trailing blank lines
+    t = F.regexp_replace(t, "(?<!\n)\n++\\z", "")  # trailing blank lines, each run read once
     return F.regexp_replace(t, "\n{3,}", "\n\n")  # a run of blank lines -> one
 
 

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from docprep.functions.names import extension, extension_lenient, markdown_filename, safe_filename
+from docprep.session import checkpoint_dir
 from docprep.sources import catalogs as C
 
 # Error codes and their HTTP-style status.
@@ -247,6 +248,32 @@ def assign_batches(df: DataFrame, size: int = C.MAX_FILES_PER_BATCH, bucket: str
     )
 
 
+def assign_ordered_batches(df: DataFrame, bucket: str, order: list[str], size: int = C.MAX_FILES_PER_BATCH) -> DataFrame:
+    """W4 whatever the layout of the input: ``batch_id`` (``bucket:number``) and ``ord`` by the row's place in its bucket.
+
+    Rows are sorted by ranges of (bucket, order), so a bucket of any size lies over many partitions. A row's place is its place in
+    the partition plus the rows of its bucket in the partitions before: a prefix sum over one total a bucket and
+    partition. No window sees the rows of a bucket. ``order`` must tell the rows of a bucket apart; nulls come first,
+    and rows with a null bucket are a bucket of their own, whose ids begin with ``:``. Existing columns named like the two new ones are replaced.
+    """
+    df = df.drop("batch_id", "ord")
+    key = F.coalesce(F.col(bucket).cast("string"), F.lit(""))
+    by = [F.col(bucket).isNotNull(), F.col(bucket), *order]
+    n = df.sparkSession.sparkContext.defaultParallelism * 2
+    checkpoint_dir(df.sparkSession)
+    placed = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    placed = placed.checkpoint()  # partitions and places are fixed from here on, also for tasks that run again
+    part = F.shiftright("__at", 33)
+    totals = placed.groupBy(F.col(bucket).alias("__bucket"), part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    before = Window.partitionBy("__bucket").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
+    # no hint: one row a bucket and partition, broadcast by Spark where its measured size allows
+    joined = placed.join(totals, F.col(bucket).eqNullSafe(F.col("__bucket")) & (part == F.col("__part")))
+    place = F.col("__before") + F.col("__at") - F.col("__first")
+    out = joined.withColumn("batch_id", F.concat_ws(":", key, F.floor(place / size).cast("string"))).withColumn("ord", (place % size).cast("int"))
+    return out.drop("__at", "__bucket", "__part", "__n", "__first", "__before")
+
+
 def union_outcomes(results: DataFrame, errors: DataFrame) -> DataFrame:
     """Results and errors in one table, tagged by ``status``."""
     return results.withColumn("status", F.lit("success")).unionByName(

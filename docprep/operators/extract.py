@@ -1,7 +1,7 @@
 """Text extraction: routing, fallback, per-format handlers.
 
 Text-like formats are decoded natively (``decode(content, 'UTF-8')``) and
-HTML goes through the native regex cascade. Formats that need a codec (PDF,
+HTML and CSV go through native expressions. Formats that need a codec (PDF,
 Office, images, audio) run a user-registered handler inside ``mapInPandas``:
 the handler is built once per task, called per row, and a failure becomes an
 error row instead of a failed job. Only those rows pass through Python.
@@ -17,13 +17,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docprep.functions.csv import csv_to_markdown
 from docprep.functions.html import html_to_markdown
 from docprep.functions.text import not_blank, strip_ws
 from docprep.sources.catalogs import IMAGE_EXTENSIONS
 
 # Formats whose bytes are already text.
-TEXT_EXTENSIONS = (".txt", ".md", ".json", ".xml", ".csv")
+TEXT_EXTENSIONS = (".txt", ".md", ".json", ".xml")
 HTML_EXTENSIONS = (".html", ".htm")
+CSV_EXTENSIONS = (".csv",)
+NATIVE_EXTENSIONS = (*TEXT_EXTENSIONS, *HTML_EXTENSIONS, *CSV_EXTENSIONS)
 
 
 def route(ext: Column) -> Column:
@@ -50,7 +53,9 @@ def trim_extracted(text: Column) -> Column:
 def native_extract(ext: Column, text: Column) -> Column:
     """Extraction for formats that need no codec; NULL for the others."""
     e = F.lower(ext)
-    return F.when(e.isin(*TEXT_EXTENSIONS), text).when(e.isin(*HTML_EXTENSIONS), html_to_markdown(text))
+    return (
+        F.when(e.isin(*TEXT_EXTENSIONS), text).when(e.isin(*HTML_EXTENSIONS), html_to_markdown(text)).when(e.isin(*CSV_EXTENSIONS), csv_to_markdown(text))
+    )
 
 
 # --------------------------------------------------------------------------- handlers (U4)

@@ -15,7 +15,7 @@ from docprep.functions.models import missing_sources, redact_with_models
 from docprep.functions.pii import known_keys, redact
 from docprep.operators.admission import admit, checked_rejected, error_message, http_status, with_format, with_names
 from docprep.sources.catalogs import ANONYMIZER_MESSAGE, MAX_FILE_SIZE
-from docprep.operators.extract import HTML_EXTENSIONS, TEXT_EXTENSIONS, apply_extractors, native_extract, registered_extractors, text_passthrough
+from docprep.operators.extract import NATIVE_EXTENSIONS, apply_extractors, native_extract, registered_extractors, text_passthrough
 
 RESULT_COLUMNS = [
     "batch_id",
@@ -88,13 +88,12 @@ def prepare(
         adm = small.unionByName(large).withColumn(
             # only text formats are decoded; other bytes go to their handler as they are
             "__text",
-            F.when(F.col("ext").isin(*TEXT_EXTENSIONS, *HTML_EXTENSIONS), text_passthrough(F.col(content_col))),
+            F.when(F.col("ext").isin(*NATIVE_EXTENSIONS), text_passthrough(F.col(content_col))),
         )
     else:
         adm = admit(named, rejected=undecided).withColumn("__text", F.col(text_col))
 
-    native_exts = (*TEXT_EXTENSIONS, *HTML_EXTENSIONS)
-    is_native = F.col("ext").isin(*native_exts)
+    is_native = F.col("ext").isin(*NATIVE_EXTENSIONS)
     undecodable = F.lit(False)
     if text_col is None:
         undecodable = F.col("error_code").isNull() & is_native & F.col(content_col).isNotNull() & F.col("__text").isNull()

@@ -209,13 +209,35 @@ def q_table_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return table_to_markdown(j, ["r_regionkey", "r_name"], ["n_nationkey"], ["n_nationkey", "n_name"])
 
 
+# Each document as a CSV text with quoted line ends, commas and quotes, an empty record and a short one.
+_CSV_PIECES = ("doc_id,source,text\\r\\n", ',"', '"\\r\\n\\n', ',"a ""b"", |c|",', "\\n")
+
+
+def _csv_text_sql() -> str:
+    head, open_, close, more, end = (S.sql_str(x.encode().decode("unicode_escape")) for x in _CSV_PIECES)
+    quote = S.sql_str('"')
+    text = f"replace(text, {quote}, {quote} || {quote})"
+    return f"({head} || doc_id || ',' || source || {open_} || {text} || {close} || doc_id || {more} || lang || {end} || source)"
+
+
+@register("csv_to_markdown", "X5, X6 (every document as a CSV file, as a pipe table)", f"SELECT doc_id, {S.csv_sql('c')} AS markdown FROM (SELECT doc_id, {_csv_text_sql()} AS c FROM documents)")
+def q_csv_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.functions.csv import csv_to_markdown
+
+    head, open_, close, more, end = (F.lit(x.encode().decode("unicode_escape")) for x in _CSV_PIECES)
+    d, doc_id = D.table(spark, sf, "documents"), F.col("doc_id").cast("string")
+    text = F.replace("text", F.lit('"'), F.lit('""'))
+    csv = F.concat(head, doc_id, F.lit(","), "source", open_, text, close, doc_id, more, "lang", end, "source")
+    return d.select("doc_id", csv_to_markdown(csv).alias("markdown"))
+
+
 @register(
     "extraction_routes",
     "X1, X2, X6, X7 (route per file, native extraction with fallback to the raw text)",
     f"""WITH {_admission_sql_ctes()},
 ex AS (SELECT doc_id, ext, text,
          CASE WHEN lower(ext) IN ('.jpg','.jpeg','.png','.gif','.bmp','.webp') THEN 'ocr' WHEN lower(ext) = '.pdf' THEN 'pdf' ELSE 'general' END AS route,
-         CASE WHEN lower(ext) IN ('.txt','.md','.json','.xml','.csv') THEN text
+         CASE WHEN lower(ext) IN ('.txt','.md','.json','.xml') THEN text WHEN lower(ext) = '.csv' THEN {S.csv_sql('text')}
               WHEN lower(ext) IN ('.html','.htm') THEN {S.html_sql('text')} END AS primary_text FROM fn)
 SELECT doc_id, route,
        CASE WHEN regexp_matches(coalesce(primary_text, ''), {S.q('[^' + S.WS[1:-1] + ']')}) THEN primary_text
@@ -268,7 +290,8 @@ def _pipeline_sql_ctes() -> str:
     )
     return f"""{adm},
 ex AS (SELECT adm.*,
-         CASE WHEN error_code IS NULL AND lower(ext) IN ('.txt','.md','.json','.xml','.csv') THEN text
+         CASE WHEN error_code IS NULL AND lower(ext) IN ('.txt','.md','.json','.xml') THEN text
+              WHEN error_code IS NULL AND lower(ext) = '.csv' THEN {S.csv_sql('text')}
               WHEN error_code IS NULL AND lower(ext) IN ('.html','.htm') THEN {S.html_sql('text')} END AS raw,
          CASE WHEN error_code IS NULL AND lower(ext) NOT IN {native} THEN 'EXTRACTOR_UNAVAILABLE' ELSE error_code END AS code
        FROM adm),
@@ -412,14 +435,13 @@ def q_dedupe_files(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "assign_batches",
-    "W4 (batches of at most 50 within each source; every document in exactly one)",
-    "SELECT source, count(*) AS n_docs, true AS within_limit FROM documents GROUP BY source",
+    "W4 (batches of at most 50 within each source, in order of doc_id whatever the layout)",
+    """SELECT doc_id, source, source || ':' || CAST(n // 50 AS VARCHAR) AS batch_id, CAST(n % 50 AS INTEGER) AS ord
+FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS n FROM documents)""",
 )
 def q_assign_batches(spark: SparkSession, sf: str) -> DataFrame:
     d = D.table(spark, sf, "documents").select("doc_id", "source")
-    b = A.assign_batches(d, 50, bucket="source")
-    sizes = b.groupBy("source", "batch_id").agg(F.count(F.lit(1)).alias("n"))
-    return sizes.groupBy("source").agg(F.sum("n").alias("n_docs"), (F.max("n") <= 50).alias("within_limit"))
+    return A.assign_ordered_batches(d, "source", ["doc_id"], 50)
 
 
 @register(
@@ -537,15 +559,20 @@ def q_write_markdown(spark: SparkSession, sf: str) -> DataFrame:
 
 @register(
     "export_bundles",
-    "S8 (one deflate archive per batch of successful documents)",
-    f"""WITH {_PIPE}
-SELECT batch_id, count(*) AS n_files, true AS archive_ok FROM pipeline WHERE status = 'success' GROUP BY batch_id""",
+    "S8, N1, N5, N6 (one deflate archive per batch of successful documents; every member's place, name, size and digest)",
+    f"""WITH {_PIPE},
+named AS (SELECT batch_id, ord, markdown_content, {S.ensure_md_sql(S.safe_filename_sql('markdown_filename'))} AS name FROM pipeline WHERE status = 'success'),
+u AS (SELECT batch_id, list(markdown_content ORDER BY ord) AS texts, list(name ORDER BY ord) AS names FROM named GROUP BY batch_id),
+r AS (SELECT batch_id, texts, list_reduce(names, lambda acc, x: list_append(acc, CASE WHEN NOT list_contains(acc, x) THEN x
+        ELSE list_filter(list_transform(range(2, len(acc) + 3), lambda i: CANDIDATE), lambda c: NOT list_contains(acc, c))[1] END),
+        []::VARCHAR[]) AS uniq FROM u),
+m AS (SELECT batch_id, unnest(range(len(uniq))) AS place, unnest(uniq) AS member, unnest(texts) AS t FROM r)
+SELECT batch_id, place, member, CAST(strlen(t) AS BIGINT) AS n_bytes, md5(t) AS digest FROM m""".replace("CANDIDATE", CANDIDATE_SQL),
 )
 def q_export_bundles(spark: SparkSession, sf: str) -> DataFrame:
-    from docprep.sources.sinks import export_bundles
+    from docprep.sources.sinks import bundle_contents, export_bundles
 
-    b = export_bundles(_pipeline(spark, sf))
-    return b.select("batch_id", "n_files", (F.length("archive") > 22).alias("archive_ok"))
+    return bundle_contents(export_bundles(_pipeline(spark, sf)))
 
 
 # =========================================================================== free-text entities, catalogue report

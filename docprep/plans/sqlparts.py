@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from docprep.functions import html as H
 from docprep.functions import pii as P
-from docprep.functions.compact import COMMENT_RX, EMPTY_TABLE_ROW_RX, FENCE_RX, INVISIBLE_CHARS, NBSP
+from docprep.functions.compact import EMPTY_TABLE_ROW_RX, FENCE_RX, INVISIBLE_CHARS, NBSP
 from docprep.functions.text import WS, sql_str
 from docprep.functions.tokens import JS_NON_WS
 
@@ -22,7 +22,7 @@ def q(rx: str) -> str:
 def normalize_sql(t: str) -> str:
     x = f"replace(replace({t}, chr(13) || chr(10), chr(10)), chr(13), chr(10))"
     x = f"translate({x}, {sql_str(NBSP + INVISIBLE_CHARS)}, ' ')"
-    return f"regexp_replace({x}, {q(COMMENT_RX)}, '', 'g')"
+    return f"regexp_replace({x}, {q('(?s)<!--.*?-->')}, '', 'g')"
 
 
 def compact_ctes(src: str, prefix: str = "c") -> tuple[str, str]:
@@ -283,7 +283,60 @@ FROM (SELECT *, coalesce(sum(length(g) + coalesce(length(w), 0)) OVER (PARTITION
 WHERE w IS NOT NULL AND ok"""
 
 
+def _rewritten_sql(t: str, rules: list) -> str:
+    for _, pattern, rep in rules:
+        # $1 restores what the Java pattern takes beyond the RE2 one: nothing here
+        t = f"regexp_replace({t}, {q(pattern)}, {sql_str(rep.replace('$1', ''))}, 'g')"
+    return t
+
+
+def _parts_sql(t: str, pattern: str, each: str, sep: str = "") -> str:
+    """Cut at a pattern, rewrite each part ``p`` (numbered ``i`` from 1), join again."""
+    return f"array_to_string(list_transform(string_split_regex({t}, {q(pattern)}), lambda p, i: {each}), {sql_str(sep)})"
+
+
 def html_sql(t: str) -> str:
-    for pattern, rep in H.rules("re2"):
-        t = f"regexp_replace({t}, {q(pattern)}, {sql_str(rep)}, 'g')"
-    return f"regexp_replace({t}, {q('^' + WS + '+|' + WS + '+' + chr(92) + 'z')}, '', 'g')"
+    nl = "chr(10)"
+    strip = lambda x: f"regexp_replace({x}, {q('^' + WS + '+|' + WS + '+' + chr(92) + 'z')}, '', 'g')"
+
+    def unescaped(x: str) -> str:
+        for name, char in H.ENTITIES:
+            x = f"replace({x}, {sql_str(name)}, {sql_str(char)})"
+        return x
+
+    # links: the parts before a closing tag; the last part keeps its openings
+    linked = f"regexp_replace(p, {q(H.LINK)}, {sql_str(H.re2_replacement('$1[$4]($2$3)'))})"
+    ends = f"len(string_split_regex(o, {q(H.LINK_END)}))"
+    links = _parts_sql("o", H.LINK_END, f"CASE WHEN i < {ends} THEN {linked} ELSE p END")
+    tag = f"regexp_extract(p, {q(H.IMAGE_REST)}, 0)"
+    src = f"regexp_extract({tag}, {q(H.SRC)}, 1)"
+    image = f"CASE WHEN {src} <> '' THEN '![' || regexp_extract({tag}, {q(H.ALT)}, 1) || '](' || {src} || ')' ELSE '' END"
+    images = _parts_sql(links, H.IMAGE, f"CASE WHEN i = 1 THEN p ELSE {image} || regexp_replace(p, {q(H.IMAGE_REST)}, '') END")
+    numbered = f"array_to_string(list_transform(string_split_regex(e, {q(H.ITEM)}), lambda x, k: CASE WHEN k = 1 THEN x ELSE {nl} || (k - 1) || '. ' || x END), '')"
+    two = f"{nl} || {nl}"
+    ended = f"array_to_string(list_transform(string_split_regex(p, {q(H.LIST_END)}), lambda e, j: CASE WHEN j = 1 THEN {two} || {numbered} || {two} ELSE e || CASE WHEN j < len(string_split_regex(p, {q(H.LIST_END)})) THEN {two} ELSE '' END END), '')"
+    lists = _parts_sql(images, H.LIST, f"CASE WHEN i = 1 THEN p ELSE {ended} END")
+    outside = strip(_rewritten_sql(unescaped(_rewritten_sql(lists, H.RULES)), H.SPACE_RULES))
+    body = f"regexp_replace({unescaped(f'regexp_replace(o, {q(H.ANY_TAG)}, {sql_str(str())}, {sql_str(chr(103))})')}, {q('^' + chr(10) + '|' + chr(10) + '+' + chr(92) + 'z')}, '', 'g')"
+    fence = sql_str("```")
+    code = f"CASE WHEN trim({body}, ' ') <> '' THEN {fence} || {nl} || {body} || {nl} || {fence} ELSE '' END"
+    raw = _rewritten_sql(t, H.RAW_RULES)
+    parts = f"list_transform(string_split_regex({raw}, {q(H.PRE_TAG)}), lambda o, m: CASE WHEN m % 2 = 0 THEN {code} ELSE {outside} END)"
+    return f"array_to_string(list_filter({parts}, lambda y: y <> ''), {two})"
+
+
+def csv_sql(t: str) -> str:
+    """CSV text -> pipe table, on lists."""
+    cell, record, quote = "chr(31)", "chr(30)", sql_str('"')
+    parts = f"string_split(translate({t}, {cell} || {record}, '  '), {quote})"
+    outside = f"translate(replace(replace(p, chr(13) || chr(10), chr(10)), chr(13), chr(10)), ',' || chr(10), {cell} || {record})"
+    each = f"CASE WHEN i % 2 = 0 THEN p WHEN p = '' AND i > 1 AND i < len({parts}) THEN {quote} ELSE {outside} END"
+    joined = f"array_to_string(list_transform({parts}, lambda p, i: {each}), '')"
+    rows = f"list_filter(string_split({joined}, {record}), lambda r: r <> '')"
+    width = f"list_max(list_transform({rows}, lambda r: len(string_split(r, {cell}))))"
+    shown = f"replace(replace(replace(replace(c, '|', {sql_str(chr(92) + '|')}), chr(13) || chr(10), ' '), chr(13), ' '), chr(10), ' ')"
+    empty = "list_transform(range({n}), lambda e: '')"
+    line = f"'| ' || array_to_string(list_concat(list_transform(string_split(r, {cell}), lambda c: {shown}), {empty.format(n=f'{width} - len(string_split(r, {cell}))')}), ' | ') || ' |'"
+    rule = f"'| ' || array_to_string(list_transform(range({width}), lambda e: '---'), ' | ') || ' |'"
+    lines = f"list_transform({rows}, lambda r, k: CASE WHEN k = 1 THEN {line} || chr(10) || {rule} ELSE {line} END)"
+    return f"(CASE WHEN {t} IS NULL THEN NULL WHEN len({rows}) = 0 THEN '' ELSE array_to_string({lines}, chr(10)) END)"

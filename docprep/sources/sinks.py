@@ -8,6 +8,7 @@ most 50 MB (admission).
 
 from __future__ import annotations
 
+import hashlib
 import io
 import zipfile
 
@@ -79,6 +80,25 @@ def export_bundles(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     return zipped.withColumn("error", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
 
 
+def bundle_contents(bundles: DataFrame) -> DataFrame:
+    """``(batch_id, place, member, n_bytes, digest)``: what the archives of ``export_bundles`` hold, a row per member in
+    archive order, read back member by member (MD5 of the bytes). Refused batches have no archive and no rows."""
+    id_type = bundles.schema["batch_id"].dataType.simpleString()
+
+    def run(frames):
+        for pdf in frames:
+            for batch, raw in zip(pdf["batch_id"], pdf["archive"]):
+                with zipfile.ZipFile(io.BytesIO(bytes(raw))) as zf:
+                    infos = zf.infolist()
+                    digests = [hashlib.md5(zf.read(i)).hexdigest() for i in infos]
+                yield pd.DataFrame(
+                    {"batch_id": batch, "place": range(len(infos)), "member": [i.filename for i in infos], "n_bytes": [i.file_size for i in infos], "digest": digests}
+                )
+
+    found = bundles.where(F.col("archive").isNotNull()).select("batch_id", "archive")
+    return found.mapInPandas(run, f"batch_id {id_type}, place long, member string, n_bytes long, digest string")
+
+
 # Error codes that reject a whole batch (the request-level errors).
 BATCH_LEVEL_CODES = ("TOO_MANY_FILES", "BATCH_TOO_LARGE")
 

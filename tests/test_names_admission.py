@@ -118,10 +118,36 @@ def test_html_structure(spark):
         "<a class='x' href='u/1'>uno</a> <article href=\"n\">dos</article>": "[uno](u/1)\n\ndos",
         "a&ntilde;o caf&eacute; &iquest;l&apos;&Uuml;? &laquo;x&raquo; 5&euro; &amp;eacute;": "año café ¿l'Ü? «x» 5€ &eacute;",
     }
+    cases |= {
+        "<ol><li>uno</li><li>dos</li></ol>fin": "1. uno\n2. dos\n\nfin",
+        "x<pre>\na  b\n   &lt;c>  \n\n\nd\n</pre>  y": "x\n\n```\na  b\n   <c>  \n\n\nd\n```\n\ny",
+        "<a href=\"1\">open <a href=\"2\">shut</a> z": "open [shut](2) z",
+        "<h2>cab<p>txt": "## cab\n\ntxt",
+        "a < b <script>x</script>c <script>no end": "a < b c no end",
+    }
     got = one(spark, html_to_markdown, *cases)
     assert got == list(cases.values())
 
 
+def test_html_takes_linear_time(spark):
+    import time
+
+    from docprep.functions.html import html_to_markdown
+
+    def seconds(text):
+        df = spark.createDataFrame([(text,)], "v string").select(html_to_markdown(F.col("v")).alias("o"))
+        start = time.time()
+        df.write.format("noop").mode("overwrite").save()
+        return time.time() - start
+
+    n = 200_000
+    plain = "<p>palabra</p>" * (n // 14)
+    seconds(plain)
+    for piece in ("<a href=\"x\">", "<h1>", "<", "<script>", "<pre>", "<ol><li>", "<img ", "<!--", "&", "</a>", "<a "):
+        assert seconds(piece * (n // len(piece))) < 10 * seconds(plain) + 5, piece
+    assert seconds("a" + " " * n + "b") < 10 * seconds(plain) + 5
+
+
 def test_support_flags(spark):
     from docprep.operators import admission as A
 
@@ -129,3 +155,34 @@ def test_support_flags(spark):
     df = A.with_names(spark.createDataFrame(rows, "doc_id long, filename string"))
     flags = sorted((r.doc_id, r.supported) for r in A.with_support(df).collect())
     assert flags == [(1, True), (1, True), (2, False), (3, False), (4, False)]
+
+
+def test_ordered_batches_whatever_the_layout(spark):
+    from docprep.operators import admission as A
+
+    rows = [(i, "hot" if i % 3 else (None if i % 2 else f"s{i % 5}"), "old") for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, ord string")
+    want, seen = {}, {}
+    for i, source, _ in rows:
+        n = seen[source] = seen.get(source, -1) + 1
+        want[i] = (f"{source or ''}:{n // 50}", n % 50)
+    for layout in (df, df.repartition(7), df.orderBy(F.desc("doc_id")).coalesce(2)):
+        got = A.assign_ordered_batches(layout, "source", ["doc_id"], 50)
+        assert {r.doc_id: (r.batch_id, r.ord) for r in got.collect()} == want
+    assert A.assign_ordered_batches(df.where("false"), "source", ["doc_id"]).collect() == []
+
+
+def test_csv_tables(spark):
+    from docprep.functions.csv import csv_to_markdown
+
+    cases = {
+        "a,b\n1,2\n": "| a | b |\n| --- | --- |\n| 1 | 2 |",
+        'n,"x, y"\r\n"he said ""hi""","two\nlines"\r\n': '| n | x, y |\n| --- | --- |\n| he said "hi" | two lines |',
+        "a,b,c\n1\n\n2,3,4,5": "| a | b | c |  |\n| --- | --- | --- | --- |\n| 1 |  |  |  |\n| 2 | 3 | 4 | 5 |",
+        'p|q,""\n"""",""': '| p\\|q |  |\n| --- | --- |\n| " |  |',
+        'open,"rest, of\nall': "| open | rest, of all |\n| --- | --- |",
+        "": "",
+        "\n\n": "",
+        None: None,
+    }
+    assert one(spark, csv_to_markdown, *cases) == list(cases.values())
