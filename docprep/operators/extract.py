@@ -84,6 +84,12 @@ def clear_extractors() -> None:
     _EXTRACTORS.clear()
 
 
+def restore_extractors(saved: dict[str, Extractor]) -> None:
+    """Registers what ``registered_extractors`` gave, and nothing else."""
+    _EXTRACTORS.clear()
+    _EXTRACTORS.update(saved)
+
+
 def registered_extractors() -> dict[str, Extractor]:
     return dict(_EXTRACTORS)
 

@@ -15,7 +15,7 @@ from docprep.operators.names import unique_names
 from docprep.operators.tables import table_to_markdown
 from docprep.plans import derived as D
 from docprep.plans import sqlparts as S
-from docprep.plans.prepare import prepare
+from docprep.plans.prepare import NOT_UTF8, prepare
 from docprep.plans.queries import FORMATS_SQL, _admission_sql_ctes, _status_sql, register
 from docprep.sources import catalogs as C
 from docprep.sources.sinks import batch_envelope
@@ -534,12 +534,73 @@ def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
 # =========================================================================== sources and sinks
 
 
-@register("file_listing", "S1, J1 (binaryFile listing of the table files; bytes never read)", None)
-def q_file_listing(spark: SparkSession, sf: str) -> DataFrame:
+# The extension of file i is FILE_KINDS[i % 8]: text, Markdown, HTML, text that is not UTF-8, a codec's file, one
+# that its codec fails on, one without a codec, one of no known format. File 104 of each thousand is over the size limit.
+FILE_KINDS = [".txt", ".md", ".html", ".txt", ".pdf", ".pdf", ".docx", ".exe"]
+BROKEN = "page tree is broken"
+
+
+def _page_codec():
+    """A codec for the query's files: text between blanks, or a failure."""
+
+    def handler(raw: bytes) -> str:
+        if raw.startswith(b"!"):
+            raise ValueError(BROKEN)
+        return "\n # " + raw.decode() + " \n"
+
+    return handler
+
+
+def _files_sql() -> str:
+    kinds = "[" + ", ".join(S.sql_str(k) for k in FILE_KINDS) + "]"
+    strip = f"regexp_replace(chr(10) || ' # ' || coalesce(text, '') || ' ' || chr(10), {S.q('^' + S.WS + '+|' + S.WS + '+' + chr(92) + 'z')}, '', 'g')"
+    ctes, out = S.compact_ctes("bp_src", "bp")
+    return f"""WITH d0 AS (SELECT doc_id, text, doc_id % 8 AS k, {kinds}[doc_id % 8 + 1] AS ext,
+         doc_id // 40 - CASE WHEN (doc_id // 40) % 10 = 9 THEN 1 ELSE 0 END AS batch_id FROM documents),
+d AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY batch_id) > 50 THEN 'TOO_MANY_FILES' WHEN k = 7 THEN 'UNSUPPORTED_FORMAT'
+         WHEN doc_id % 1000 = 104 THEN 'FILE_TOO_LARGE' WHEN k IN (3, 5) THEN 'FAILED' WHEN k = 6 THEN 'EXTRACTOR_UNAVAILABLE' END AS code FROM d0),
+raw AS (SELECT doc_id AS id, CASE WHEN k IN (0, 1) THEN coalesce(text, '') WHEN k = 2 THEN {S.html_sql("coalesce(text, '')")} ELSE {strip} END AS t FROM d WHERE code IS NULL),
+bp_src AS (SELECT id, t FROM raw),{ctes}
+SELECT CAST(d.batch_id AS BIGINT) AS batch_id, CAST(d.doc_id AS INTEGER) AS ord, d.doc_id || d.ext AS original_filename, d.ext AS extension, o.out AS markdown_content,
+  CAST(length(raw.t) AS BIGINT) AS original_chars, CASE WHEN code IS NULL THEN 'success' ELSE 'error' END AS status, code AS error_code,
+  CASE code WHEN 'TOO_MANY_FILES' THEN {S.sql_str(C.TOO_MANY_MESSAGE)} WHEN 'UNSUPPORTED_FORMAT' THEN {S.sql_str(C.UNSUPPORTED_MESSAGE)}
+    WHEN 'FILE_TOO_LARGE' THEN {S.sql_str(C.TOO_LARGE_MESSAGE)} WHEN 'EXTRACTOR_UNAVAILABLE' THEN {S.sql_str(C.EXTRACTOR_MESSAGE)}
+    WHEN 'FAILED' THEN CASE k WHEN 3 THEN {S.sql_str(NOT_UTF8)} ELSE {S.sql_str(BROKEN)} END END AS error, {_status_sql('code')} AS http_status
+FROM d LEFT JOIN raw ON raw.id = d.doc_id LEFT JOIN {out} o ON o.id = d.doc_id"""
+
+
+@register("prepare_files", "PL1, X3, U4, S1, P10 (documents written as files, read back as bytes; codecs in workers, failures as rows)", _files_sql())
+def q_prepare_files(spark: SparkSession, sf: str) -> DataFrame:
     from docprep.sources.readers import read_files
+    from docprep.sources.sinks import write_files
+    from docprep.streaming.stream import scratch
 
-    files = read_files(spark, sf, glob="*.parquet", with_content=False)
-    return A.with_format(files).select("filename", "length", "ext", "format", (F.col("length") <= C.MAX_FILE_SIZE).alias("within_size"))
+    d = D.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    kind, block = F.col("doc_id") % 8, F.floor(F.col("doc_id") / 40)
+    batch = block - F.when(block % 10 == 9, 1).otherwise(0)
+    body = F.col("text").cast("binary")
+    over = (F.col("doc_id") * 0 + C.MAX_FILE_SIZE + 1).cast("int")  # of a column: a literal of that size would go into the plan
+    content = (
+        F.when(F.col("doc_id") % 1000 == 104, F.repeat(F.lit(" "), over).cast("binary"))
+        .when(kind == 3, F.concat(F.lit(b"\xff\xfe"), body))
+        .when(kind == 5, F.concat(F.lit(b"!"), body))
+        .otherwise(body)
+    )
+    name = F.concat(F.col("doc_id").cast("string"), F.element_at(F.array(*[F.lit(k) for k in FILE_KINDS]), (kind + 1).cast("int")))
+    folder = scratch(spark, "files-in")
+    write_files(d.select(F.concat(F.lit("batch="), batch.cast("string"), F.lit("/"), name).alias("path"), content.alias("content")), folder)
+    files = read_files(spark, folder)
+    files = files.withColumn("batch_id", F.regexp_extract("path", "/batch=(-?[0-9]+)/", 1).cast("long"))
+    files = files.withColumn("ord", F.regexp_extract("filename", "^-?[0-9]+", 0).cast("int")).drop("ext")
+    before = X.registered_extractors()
+    X.clear_extractors()
+    X.register_extractor(".pdf", _page_codec)
+    try:
+        out = prepare(files, compact=True, text_col=None, content_col="content")
+    finally:
+        X.restore_extractors(before)
+    columns = ("batch_id", "ord", "original_filename", "extension", "markdown_content", "original_chars", "status", "error_code", "error", "http_status")
+    return out.select(*columns)
 
 
 @register(

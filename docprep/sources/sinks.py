@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import hashlib
 import io
+import uuid
 import zipfile
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +46,29 @@ def write_markdown(df: DataFrame, path: str, partition_by: str | None = "format"
     writer.parquet(path)
 
 
+def write_files(df: DataFrame, folder: str, path_col: str = "path", content_col: str = "content") -> int:
+    """One file per row below ``folder``: the bytes of ``content_col`` (null: none) under the relative path of ``path_col``.
+
+    Tasks write the files themselves, under a name of their own attempt that is moved into place when the file is whole, so a task that
+    runs again replaces its files. Returns the number of files. ``folder`` must be one that all executors share.
+    """
+
+    def run(batches):
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                target = f"{root}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                with system.open_output_stream(part, compression=None) as out:
+                    out.write(content or b"")
+                system.move(part, target)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows = df.select(F.col(path_col).cast("string"), F.col(content_col).cast("binary"))
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
 def write_json(df: DataFrame, path: str, compression: str = "gzip", mode: str = "overwrite") -> None:
     """JSON lines, compressed (gzip by default)."""
     df.write.mode(mode).option("compression", compression).json(path)
