@@ -2,7 +2,8 @@
 
 Both public vocabularies cut a text at white space before they merge, so the ids
 of a text are the ids of its stretches one after another. A stretch that occurs
-again is looked up; new ones are encoded by the library, many in one call.
+again is looked up; new ones are encoded by the library, many in one call. Both cut
+between letters and marks too, so a new word with marks behind it is the word and the marks.
 A text whose white space does not follow the simple pattern, or that holds the
 string of an added token, goes through the library whole, so the ids always equal
 those of ``Tokenizer.from_file(path).encode(text, add_special_tokens=False)``.
@@ -12,6 +13,7 @@ With ``special_as_text`` the strings of special tokens in a text are ordinary te
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import unicodedata
@@ -24,7 +26,9 @@ CACHE_BYTES = 128 * 1024 * 1024  # of stretches learnt; those of the round befor
 LONGEST_KEPT = 256  # characters of a stretch that outlives its batch
 _ENTRY_BYTES = 200  # of a stretch besides its own characters and ids
 _PART_CHARS = 4_000_000  # characters cut into stretches at once
-_JOIN = 4_000
+_JOIN = 400
+# letters, then ASCII marks; an apostrophe may begin a contraction, which is not cut there
+_WORD_MARKS = re.compile("(\0?[^\\W\\d_]+)([!-&(-/:-@\\[-`{-~]+)")
 # white space other than blanks and line feeds, and the mark of a first stretch
 _ODD = "\t\r\v\f\x1c\x1d\x1e\x1f\x85\0"
 _ODD_WIDE = re.compile("[\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
@@ -58,6 +62,8 @@ class CachedEncoder:
         # characters that every normalized added token holds; no other character is lower-cased or composed to one of these
         self.marks = [c for c in "<|>" if all(c in x for x in self.added_normal)]
         self.lowers = self.lib.encode("ÀB", add_special_tokens=False).ids == self.lib.encode("àb", add_special_tokens=False).ids
+        self.cuts_marks = all(len(self.lib.pre_tokenizer.pre_tokenize_str(x)) == 2 for x in ("ab&.", "é_-"))
+        self.bare = self._without_normalizer()
         self.sizes = self._token_bytes()
         self.cache: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -66,6 +72,12 @@ class CachedEncoder:
     def _normal(self, text: str) -> str:
         return self.lib.normalizer.normalize_str(text) if self.lib.normalizer else text
 
+    def _without_normalizer(self) -> Tokenizer:
+        """The same vocabulary for words that the normalizer leaves as they are."""
+        if self.lib.normalizer is None:
+            return self.lib
+        return Tokenizer.from_str(json.dumps(json.loads(self.lib.to_str()) | {"normalizer": None}))
+
     def _token_bytes(self) -> np.ndarray:
         """Bytes of text that each id stands for (a byte-level vocabulary has one character a byte)."""
         suffix = getattr(self.lib.model, "end_of_word_suffix", None) or ""
@@ -106,26 +118,41 @@ class CachedEncoder:
         if not self.drops_space:
             joinable = [w for w in new if w[0] not in "\0\n"]
             plain, before = [w for w in new if w[0] in "\0\n"], " "
-        joined = [before + " ".join(joinable[i : i + _JOIN]) for i in range(0, len(joinable), _JOIN)]
-        for k, e in enumerate(self.lib.encode_batch_fast(joined, add_special_tokens=False)):
-            words = joinable[k * _JOIN : (k + 1) * _JOIN]
-            ids = np.array(e.ids, dtype="<u4")
-            ends = np.cumsum(self.sizes[ids])
-            cut, want = None, self._ends(joined[k], len(words))
-            if want is not None and len(ends) and ends[-1] == want[-1]:
-                cut = np.searchsorted(ends, want) + 1
-            if cut is not None and np.array_equal(ends[cut - 1], want):
-                raw = ids.tobytes()
-                stops = (cut * 4).tolist()
-                self.cache.update(zip(words, [raw[x:y] for x, y in zip([0, *stops], stops)]))
-                self.weight += len(words) * _ENTRY_BYTES + len(joined[k]) + len(raw)
-            else:  # the library changed lengths (rare characters): one by one
-                plain += words
+        # letters up to Latin Extended-B in lower case are composed and stay as they are
+        normal = [w for w in joinable if w.isalpha() and w.islower() and not _BEYOND_LATIN.search(w)]
+        if len(normal) < len(joinable):
+            known = set(normal)
+            plain += self._learn_joined(self.lib, [w for w in joinable if w not in known], before)
+        plain += self._learn_joined(self.bare, normal, before)
         if plain:
             texts = [w[1:] if w[0] == "\0" else w if self.drops_space or w[0] == "\n" else " " + w for w in plain]
             for w, e in zip(plain, self.lib.encode_batch_fast(texts, add_special_tokens=False)):
-                self.cache[w] = ids = np.array(e.ids, dtype="<u4").tobytes()
-                self.weight += _ENTRY_BYTES + len(w) + len(ids)
+                self._keep(w, np.array(e.ids, dtype="<u4").tobytes())
+
+    def _learn_joined(self, lib: Tokenizer, words: list[str], before: str) -> list[str]:
+        """Learn words many in one call; returns those whose ids can't be told apart there (the library changed lengths: rare characters)."""
+        left = []
+        for lo in range(0, len(words), _JOIN * 64):
+            groups = [words[i : i + _JOIN] for i in range(lo, min(lo + _JOIN * 64, len(words)), _JOIN)]
+            joined = [before + " ".join(g) for g in groups]
+            for group, text, e in zip(groups, joined, lib.encode_batch_fast(joined, add_special_tokens=False)):
+                ids = np.array(e.ids, dtype="<u4")
+                ends = np.cumsum(self.sizes[ids])
+                cut, want = None, self._ends(text, len(group))
+                if want is not None and len(ends) and ends[-1] == want[-1]:
+                    cut = np.searchsorted(ends, want) + 1
+                if cut is not None and np.array_equal(ends[cut - 1], want):
+                    raw = ids.tobytes()
+                    stops = (cut * 4).tolist()
+                    self.cache.update(zip(group, [raw[x:y] for x, y in zip([0, *stops], stops)]))
+                    self.weight += len(group) * _ENTRY_BYTES + len(text) + len(raw)
+                else:
+                    left += group
+        return left
+
+    def _keep(self, word: str, ids: bytes) -> None:
+        self.cache[word] = ids
+        self.weight += _ENTRY_BYTES + len(word) + len(ids)
 
     def _ends(self, joined: str, n: int) -> np.ndarray | None:
         """Where the ids of each of ``n`` joined words end, in bytes that ids stand for."""
@@ -177,13 +204,23 @@ class CachedEncoder:
         else:
             missing.discard("\n")
         missing.discard("")
-        new = []
+        new, pairs = set(), []
         for w in missing:
             x = self.old.get(w)
-            if x is None:
-                new.append(w)
+            if x is not None:
+                self._keep(w, x)
+            elif self.cuts_marks and (m := _WORD_MARKS.fullmatch(w)):
+                # marks after a word have no blank before them
+                pairs.append((w, m[1], m[2] if self.drops_space else "\0" + m[2]))
+            else:
+                new.add(w)
+        for part in {part for _, *parts in pairs for part in parts}.difference(self.cache, new):
+            x = self.old.get(part)
+            if x is not None:
+                self._keep(part, x)
             else:
-                self.cache[w] = x
-                self.weight += _ENTRY_BYTES + len(w) + len(x)
+                new.add(part)
         if new:
-            self._learn(new)
+            self._learn(list(new))
+        for w, word, marks in pairs:
+            self._keep(w, self.cache[word] + self.cache[marks])
