@@ -256,22 +256,36 @@ def assign_ordered_batches(df: DataFrame, bucket: str, order: list[str], size: i
     partition. No window sees the rows of a bucket. ``order`` must tell the rows of a bucket apart; nulls come first,
     and rows with a null bucket are a bucket of their own, whose ids begin with ``:``. Existing columns named like the two new ones are replaced.
     """
-    df = df.drop("batch_id", "ord")
     key = F.coalesce(F.col(bucket).cast("string"), F.lit(""))
-    by = [F.col(bucket).isNotNull(), F.col(bucket), *order]
+    placed = with_places(df.drop("batch_id", "ord"), [bucket], order, "__place")
+    place = F.col("__place")
+    out = placed.withColumn("batch_id", F.concat_ws(":", key, F.floor(place / size).cast("string"))).withColumn("ord", (place % size).cast("int"))
+    return out.drop("__place")
+
+
+def with_places(df: DataFrame, groups: list[str], order: list[str], name: str) -> DataFrame:
+    """Adds ``name``: the row's place (from 0) in its group by ``order``, nulls first, without a window over a group's rows.
+
+    Rows are sorted by ranges of (groups, order): a group of any size lies over many partitions, and a place is the one in
+    the partition plus the group's rows in the partitions before (prefix sums over one total a group and partition). Null is a value of a group.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism * 2
     checkpoint_dir(df.sparkSession)
+    by = [F.col(c).asc_nulls_first() for c in (*groups, *order)]
     placed = df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
     placed = placed.checkpoint()  # partitions and places are fixed from here on, also for tasks that run again
     part = F.shiftright("__at", 33)
-    totals = placed.groupBy(F.col(bucket).alias("__bucket"), part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
-    before = Window.partitionBy("__bucket").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    keys = [F.col(g).alias(f"__group{i}") for i, g in enumerate(groups)]
+    totals = placed.groupBy(*keys, part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"), F.min("__at").alias("__first"))
+    named = [f"__group{i}" for i in range(len(groups))]
+    before = Window.partitionBy(*named).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0)))
-    # no hint: one row a bucket and partition, broadcast by Spark where its measured size allows
-    joined = placed.join(totals, F.col(bucket).eqNullSafe(F.col("__bucket")) & (part == F.col("__part")))
-    place = F.col("__before") + F.col("__at") - F.col("__first")
-    out = joined.withColumn("batch_id", F.concat_ws(":", key, F.floor(place / size).cast("string"))).withColumn("ord", (place % size).cast("int"))
-    return out.drop("__at", "__bucket", "__part", "__n", "__first", "__before")
+    same = part == F.col("__part")
+    for g, k in zip(groups, named):
+        same = same & F.col(g).eqNullSafe(F.col(k))
+    # no hint: one row a group and partition, broadcast by Spark where its measured size allows
+    joined = placed.join(totals, same).withColumn(name, F.col("__before") + F.col("__at") - F.col("__first"))
+    return joined.drop("__at", *named, "__part", "__n", "__first", "__before")
 
 
 def union_outcomes(results: DataFrame, errors: DataFrame) -> DataFrame:

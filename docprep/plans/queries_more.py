@@ -12,13 +12,13 @@ from docprep.operators import admission as A
 from docprep.operators import extract as X
 from docprep.operators import pii as OP
 from docprep.operators.names import unique_names
-from docprep.operators.tables import table_to_markdown
+from docprep.operators.tables import table_parts, table_to_markdown
 from docprep.plans import derived as D
 from docprep.plans import sqlparts as S
 from docprep.plans.prepare import NOT_UTF8, prepare
-from docprep.plans.queries import FORMATS_SQL, _admission_sql_ctes, _status_sql, register
+from docprep.plans.queries import FORMATS_SQL, REGISTRY, _admission_sql_ctes, _status_sql, register
 from docprep.sources import catalogs as C
-from docprep.sources.sinks import batch_envelope
+from docprep.sources.sinks import RESULT_FIELDS, batch_envelope, envelope_lines
 
 DEFAULT_KEYS = C.default_entity_keys()
 ID_KEYS = ["dni_nie", "social_security", "company_id", "iban", "vehicle_plate", "date", "credit_card", "person"]
@@ -209,6 +209,25 @@ def q_table_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
     return table_to_markdown(j, ["r_regionkey", "r_name"], ["n_nationkey"], ["n_nationkey", "n_name"])
 
 
+PART_ROWS = 1000
+LINE_COLS = ["l_orderkey", "l_linenumber", "l_partkey", "l_linestatus"]
+
+
+@register(
+    "table_parts",
+    "X5 (line items of each return flag as one pipe table of any height, in parts of 1,000 rows)",
+    f"""WITH r AS (SELECT l_returnflag, {" || ' | ' || ".join(_cell_sql(c) for c in LINE_COLS)} AS line, l_orderkey, l_linenumber FROM lineitem),
+n AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, line) - 1 AS place FROM r)
+SELECT l_returnflag, place // {PART_ROWS} AS part, count(*) AS n_rows,
+       (CASE WHEN place // {PART_ROWS} = 0 THEN {S.sql_str('| ' + ' | '.join(LINE_COLS) + ' |' + chr(10) + '| --- | --- | --- | --- |' + chr(10))} ELSE '' END) ||
+       string_agg('| ' || line || ' |', chr(10) ORDER BY place) AS markdown
+FROM n GROUP BY l_returnflag, place // {PART_ROWS}""",
+)
+def q_table_parts(spark: SparkSession, sf: str) -> DataFrame:
+    rows = D.table(spark, sf, "lineitem").select("l_returnflag", *LINE_COLS)
+    return table_parts(rows, ["l_returnflag"], ["l_orderkey", "l_linenumber"], LINE_COLS, PART_ROWS)
+
+
 # Each document as a CSV text with quoted line ends, commas and quotes, an empty record and a short one.
 _CSV_PIECES = ("doc_id,source,text\\r\\n", ',"', '"\\r\\n\\n', ',"a ""b"", |c|",', "\\n")
 
@@ -415,6 +434,61 @@ def q_unique_names(spark: SparkSession, sf: str) -> DataFrame:
     return unique_names(named.select("batch_id", "ord", "name"), out_col="zip_name")
 
 
+_RESULT_JSON = ", ".join(f"'{c}': {c}" for c in RESULT_FIELDS)
+
+
+@register(
+    "envelope_lines",
+    "S9 (every result, error and count of every batch as JSON, a row each with its position)",
+    f"""WITH {_PIPE},
+lvl AS (SELECT *, coalesce(error_code IN ('TOO_MANY_FILES', 'BATCH_TOO_LARGE'), false) AS batch_level FROM pipeline),
+tot AS (SELECT batch_id, count(*) AS total_files, count_if(status = 'success') AS successful, count_if(status = 'error') AS failed,
+          max(error) FILTER (WHERE batch_level) AS detail FROM lvl GROUP BY batch_id)
+SELECT batch_id, CASE WHEN status = 'success' THEN 'results' ELSE 'errors' END AS section,
+       CAST(row_number() OVER (PARTITION BY batch_id, status ORDER BY ord) - 1 AS INTEGER) AS position,
+       CASE WHEN status = 'success' THEN CAST(to_json({{{_RESULT_JSON}}}) AS VARCHAR)
+            ELSE CAST(to_json({{'filename': original_filename, 'error': error}}) AS VARCHAR) END AS json
+FROM lvl WHERE NOT batch_level
+UNION ALL
+SELECT batch_id, CASE WHEN detail IS NULL THEN 'counts' ELSE 'detail' END, 0,
+       CASE WHEN detail IS NULL THEN CAST(to_json({{'total_files': total_files, 'successful': successful, 'failed': failed}}) AS VARCHAR)
+            ELSE CAST(to_json({{'detail': detail}}) AS VARCHAR) END FROM tot""",
+)
+def q_envelope_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return envelope_lines(_pipeline(spark, sf))
+
+
+# a limit that some batches of the tables are over and others are not
+SMALL_BATCH_BYTES = 150 * 1024 * 1024
+
+
+@register(
+    "batch_bytes",
+    "P4, P10 (batches over a limit of bytes, with codes, messages and statuses)",
+    f"""WITH {_admission_sql_ctes().replace(f"> {C.MAX_BATCH_BYTES}", f"> {SMALL_BATCH_BYTES}")}
+SELECT batch_id, ord, error_code, {_status_sql('error_code')} AS http_status,
+       CASE error_code WHEN 'TOO_MANY_FILES' THEN {S.sql_str(C.TOO_MANY_MESSAGE)} WHEN 'BATCH_TOO_LARGE' THEN {S.sql_str(C.BATCH_TOO_LARGE_MESSAGE)}
+            WHEN 'UNSUPPORTED_FORMAT' THEN {S.sql_str(C.UNSUPPORTED_MESSAGE)} WHEN 'FILE_TOO_LARGE' THEN {S.sql_str(C.TOO_LARGE_MESSAGE)} END AS error
+FROM adm""",
+)
+def q_batch_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    named = A.with_format(A.with_names(D.files(spark, sf)))
+    return A.admit(named, max_batch_bytes=SMALL_BATCH_BYTES).select("batch_id", "ord", "error_code", "http_status", "error")
+
+
+@register(
+    "anonymizer_missing",
+    "P10, PL1 (a requested entity without a source: no file passes with an incomplete redaction)",
+    f"""WITH {_PIPE},
+p AS (SELECT batch_id, ord, coalesce(error_code, 'ANONYMIZER_UNAVAILABLE') AS error_code,
+        coalesce(error, {S.sql_str(C.ANONYMIZER_MESSAGE + 'location')}) AS error FROM pipeline)
+SELECT batch_id, ord, 'error' AS status, CAST(NULL AS VARCHAR) AS markdown_content, error_code, error, {_status_sql('error_code')} AS http_status FROM p""",
+)
+def q_anonymizer_missing(spark: SparkSession, sf: str) -> DataFrame:
+    out = prepare(D.files(spark, sf, id_text=True), anonymize=True, entities="email, location", compact=True)
+    return out.select("batch_id", "ord", "status", "markdown_content", "error_code", "error", "http_status")
+
+
 @register(
     "dedupe_files",
     "A3 (first file per batch, name and size; contents not compared)",
@@ -531,6 +605,65 @@ def q_stream_progress(spark: SparkSession, sf: str) -> DataFrame:
     return latest_rows(spark.read.parquet(out), ["batch_id"])
 
 
+def _arrivals(source: str, slices: list[DataFrame], start) -> None:
+    """Slices that arrive one after another: each is written to the source and taken by one run of the query, an epoch each."""
+    for part in slices:
+        part.write.mode("append").parquet(source)
+        start().awaitTermination()
+
+
+@register(
+    "stream_first",
+    "ST2 (least ord per batch, name and size, though rows arrive in falling order of ord; A3's rows)",
+    f"""WITH f AS ({D.FILES_SQL}),
+g AS (SELECT doc_id, batch_id, ord, 'f' || CAST(doc_id % 5 AS VARCHAR) || '.md' AS filename, CAST(length(text) % 2 AS BIGINT) AS length FROM f)
+SELECT batch_id, filename, length, arg_min(ord, ord) AS ord, arg_min(doc_id, ord) AS doc_id FROM g GROUP BY batch_id, filename, length""",
+)
+def q_stream_first(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.streaming.stream import first_stream, read_stream, scratch, write_append
+
+    # all times within 1,000 seconds, whatever the size of the input: nothing is later than the watermark's delay
+    files = D.files(spark, sf).select(
+        "batch_id",
+        F.concat(F.lit("f"), (F.col("doc_id") % 5).cast("string"), F.lit(".md")).alias("filename"),
+        (F.length("text") % 2).cast("long").alias("length"),
+        "ord",
+        "doc_id",
+        F.timestamp_seconds(F.pmod("batch_id", F.lit(1000)) + 1700000000).alias("arrived"),
+    )
+    source, out, ck = scratch(spark, "st2f-in"), scratch(spark, "st2f-out"), scratch(spark, "st2f-ck")
+    # a row of a later day moves the watermark past every session; its own stays open
+    later = F.struct(*[F.lit(None).cast(t).alias(c) for c, t in files.dtypes if c != "arrived"], F.timestamp_seconds(F.lit(1700100000)).alias("arrived"))
+    slices = [files.where(F.floor(F.col("ord") / 20) == k) for k in (3, 2, 1, 0)] + [spark.range(1).select(later.alias("s")).select("s.*")]
+    keys = ["batch_id", "filename", "length"]
+    _arrivals(source, slices, lambda: write_append(first_stream(read_stream(spark, source, files.schema), keys, "arrived"), out, ck))
+    return spark.read.parquet(out).select(*keys, "ord", "doc_id")
+
+
+@register(
+    "stream_percent",
+    "ST3 (done, successful, failed and percent of the announced total, for every epoch that changed a batch)",
+    f"""WITH {_admission_sql_ctes()},
+told AS (SELECT batch_id, count(*) AS announced FROM adm GROUP BY batch_id),
+e AS (SELECT batch_id, ord % 4 AS epoch, count(*) AS n, count_if(error_code IS NULL) AS ok FROM adm GROUP BY batch_id, ord % 4),
+r AS (SELECT batch_id, epoch, CAST(sum(n) OVER w AS BIGINT) AS total_files, CAST(sum(ok) OVER w AS BIGINT) AS successful
+      FROM e WINDOW w AS (PARTITION BY batch_id ORDER BY epoch))
+SELECT r.batch_id, CAST(epoch AS BIGINT) AS epoch, total_files, successful, total_files - successful AS failed, announced,
+       CAST((200 * total_files + announced) // (2 * announced) AS BIGINT) AS percent
+FROM r JOIN told ON r.batch_id = told.batch_id""",
+)
+def q_stream_percent(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.streaming.stream import progress_stream, read_stream, scratch, write_updates
+
+    admitted = A.admit(A.with_format(A.with_names(D.files(spark, sf))))
+    done = admitted.select("batch_id", "ord", F.when(F.col("error_code").isNull(), "success").otherwise("error").alias("status"))
+    announced = D.files(spark, sf).groupBy("batch_id").agg(F.count(F.lit(1)).alias("announced"))
+    source, out, ck = scratch(spark, "st3p-in"), scratch(spark, "st3p-out"), scratch(spark, "st3p-ck")
+    slices = [done.where(F.col("ord") % 4 == k) for k in range(4)]
+    _arrivals(source, slices, lambda: write_updates(progress_stream(read_stream(spark, source, done.schema), announced=announced), out, ck))
+    return spark.read.parquet(out).withColumn("epoch", F.col("epoch").cast("long"))
+
+
 # =========================================================================== sources and sinks
 
 
@@ -636,6 +769,15 @@ def q_export_bundles(spark: SparkSession, sf: str) -> DataFrame:
     return bundle_contents(export_bundles(_pipeline(spark, sf)))
 
 
+@register("write_bundles", "S8 (archives written as streams below a folder, read back: every member's place, name, size and digest)", REGISTRY["export_bundles"].sql)
+def q_write_bundles(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.sources.sinks import write_bundles, written_contents
+    from docprep.streaming.stream import scratch
+
+    folder = scratch(spark, "bundles")
+    return written_contents(write_bundles(_pipeline(spark, sf), folder), folder)
+
+
 # =========================================================================== free-text entities, catalogue report
 
 def _gazetteer_terms(spark: SparkSession, sf: str) -> DataFrame:

@@ -12,12 +12,16 @@ import hashlib
 import io
 import uuid
 import zipfile
+from collections.abc import Callable
+from urllib.parse import quote
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from docprep.functions.names import ensure_md, safe_filename
 from docprep.operators.admission import checked_rejected, error_message
@@ -46,6 +50,10 @@ def write_markdown(df: DataFrame, path: str, partition_by: str | None = "format"
     writer.parquet(path)
 
 
+def _file_system(folder: str):
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+
+
 def write_files(df: DataFrame, folder: str, path_col: str = "path", content_col: str = "content") -> int:
     """One file per row below ``folder``: the bytes of ``content_col`` (null: none) under the relative path of ``path_col``.
 
@@ -54,7 +62,7 @@ def write_files(df: DataFrame, folder: str, path_col: str = "path", content_col:
     """
 
     def run(batches):
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
+        system, root = _file_system(folder)
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 target = f"{root}/{path}"
@@ -74,6 +82,57 @@ def write_json(df: DataFrame, path: str, compression: str = "gzip", mode: str =
     df.write.mode(mode).option("compression", compression).json(path)
 
 
+def _write_streams(rows: DataFrame, order: list[str], folder: str, suffix: str, writer: Callable, grouped: bool = False) -> DataFrame:
+    """One file per value of the first column: its other columns, row by row in ``order``, handed to ``writer(stream)``.
+
+    A task holds one Arrow batch of rows and one open file, never a group. Files are written under a name of the attempt and moved
+    into place when whole, so a task that runs again replaces its files. Returns the written manifest ``(group, path, n_rows)``.
+    ``grouped``: the rows come from a window by the group, whose exchange is reused.
+    """
+    group, width = rows.columns[0], len(rows.columns) - len(order)
+    kind = rows.schema[group].dataType
+
+    def run(batches):
+        system, root = _file_system(folder)
+        system.create_dir(root, recursive=True)
+        now = None  # (group, part file, stream, writer, rows)
+
+        def close():
+            key, part, stream, out, n = now
+            out.close()
+            stream.close()
+            target = f"{root}/{'null' if key is None else 'is-' + quote(str(key), safe='')}{suffix}"
+            system.move(part, target)
+            return key, target.removeprefix(root + "/"), n
+
+        done = []
+        for b in batches:
+            columns = [b.column(i).to_pylist() for i in range(width)]
+            for key, *values in zip(*columns):
+                if now is None or key != now[0]:
+                    if now is not None:
+                        done.append(close())
+                    part = f"{root}/{uuid.uuid4().hex}.part"
+                    stream = system.open_output_stream(part, compression=None)
+                    now = key, part, stream, writer(stream), 0
+                now[3].add(*values)
+                now = *now[:4], now[4] + 1
+            yield _manifest(done)
+            done = []
+        if now is not None:
+            yield _manifest([close()])
+
+    def _manifest(done):
+        return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], arrow_kind), pa.array([d[1] for d in done], pa.string()), pa.array([d[2] for d in done], pa.int64())], ["g", "path", "n_rows"])
+
+    arrow_kind = to_arrow_type(kind)
+    schema = StructType([StructField("g", kind), StructField("path", StringType()), StructField("n_rows", LongType())])
+    sorted_rows = (rows if grouped else rows.repartition(F.col(group))).sortWithinPartitions(F.col(group).asc_nulls_first(), *order)
+    manifest = f"{folder}/_manifest"
+    sorted_rows.mapInArrow(run, schema).write.mode("overwrite").parquet(manifest)
+    return rows.sparkSession.read.parquet(manifest).withColumnRenamed("g", group)
+
+
 def bundle_members(df: DataFrame, batch_col: str = "batch_id", ord_col: str = "ord", name_col: str = "markdown_filename") -> DataFrame:
     """Member names of each bundle: made safe, '.md'-suffixed, unique in the batch."""
     named = df.withColumn("__member", ensure_md(safe_filename(F.col(name_col))))
@@ -106,6 +165,58 @@ def export_bundles(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     return zipped.withColumn("error", F.lit(None).cast("string")).unionByName(refused, allowMissingColumns=True)
 
 
+class _ZipStream:
+    """Members of one archive, deflated into a stream one after another."""
+
+    def __init__(self, stream):
+        self.zip = zipfile.ZipFile(stream, "w", zipfile.ZIP_DEFLATED)
+
+    def add(self, name, content):
+        # a fixed time: a task that runs again makes the same bytes
+        info = zipfile.ZipInfo(name)
+        info.compress_type = zipfile.ZIP_DEFLATED
+        with self.zip.open(info, "w") as member:
+            text = content or ""
+            for lo in range(0, len(text), 1 << 20):
+                member.write(text[lo : lo + (1 << 20)].encode())
+
+    def close(self):
+        self.zip.close()
+
+
+def write_bundles(df: DataFrame, folder: str, batch_col: str = "batch_id") -> DataFrame:
+    """S8 as files: one deflate archive per batch of successful documents below ``folder``, written member by member into a stream.
+
+    Returns the manifest ``(batch, path, n_rows)``, path relative to ``folder``. No archive and no batch is ever whole in memory. As with
+    ``export_bundles`` a batch of more than 50 documents has no archive; here it has no row either. Equal inputs give equal bytes.
+    """
+    ok = df.filter(F.col("status") == "success").select(batch_col, "ord", "markdown_filename", "markdown_content")
+    rejected = checked_rejected(ok.select(batch_col, F.lit(0).cast("long").alias("length")), batch_col)
+    members = bundle_members(ok.join(rejected, batch_col, "left_anti"), batch_col)
+    return _write_streams(members.select(batch_col, "member_name", "markdown_content", "ord"), ["ord"], folder, ".zip", _ZipStream, grouped=True)
+
+
+def written_contents(manifest: DataFrame, folder: str) -> DataFrame:
+    """``(batch_id, place, member, n_bytes, digest)`` of the archives named by the manifest of ``write_bundles``, read member by member."""
+    group = manifest.columns[0]
+
+    def run(frames):
+        system, root = _file_system(folder)
+        for pdf in frames:
+            for batch, path in zip(pdf["g"], pdf["path"]):
+                with system.open_input_file(f"{root}/{path}") as raw, zipfile.ZipFile(raw) as zf:
+                    for place, info in enumerate(zf.infolist()):
+                        digest = hashlib.md5()
+                        with zf.open(info) as member:
+                            while chunk := member.read(1 << 20):
+                                digest.update(chunk)
+                        yield pd.DataFrame({"batch_id": [batch], "place": [place], "member": [info.filename], "n_bytes": [info.file_size], "digest": [digest.hexdigest()]})
+
+    id_type = manifest.schema[group].dataType.simpleString()
+    rows = manifest.select(F.col(group).alias("g"), "path")
+    return rows.mapInPandas(run, f"batch_id {id_type}, place long, member string, n_bytes long, digest string")
+
+
 def bundle_contents(bundles: DataFrame) -> DataFrame:
     """``(batch_id, place, member, n_bytes, digest)``: what the archives of ``export_bundles`` hold, a row per member in
     archive order, read back member by member (MD5 of the bytes). Refused batches have no archive and no rows."""
@@ -169,3 +280,71 @@ def batch_envelope(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
     )
     body = F.to_json(F.struct("results", "errors", "total_files", "successful", "failed"))
     return out.withColumn("json", F.when(admitted, body).otherwise(F.to_json(F.struct(F.col("batch_error").alias("detail")))))
+
+
+# Sections of an envelope in the order they are written.
+SECTIONS = ("results", "errors", "counts", "detail")
+
+
+def envelope_lines(df: DataFrame, batch_col: str = "batch_id") -> DataFrame:
+    """S9 as rows: ``(batch, section, position, json)``, one row per result, per error and one per batch with its counts.
+
+    Positions count from 0 in input order within a section. A batch rejected whole has one ``detail`` row, whatever its size. Texts stay one
+    a row: no list of a batch is built, and rows of rejected batches never enter the window, so its partitions hold at most 50 rows.
+    """
+    batch_level = F.coalesce(F.col("error_code").isin(*BATCH_LEVEL_CODES), F.lit(False))
+    good = F.col("status") == "success"
+    result = F.to_json(F.struct(*RESULT_FIELDS))
+    error = F.to_json(F.struct(F.col("original_filename").alias("filename"), "error"))
+    section = F.when(good, F.lit("results")).otherwise(F.lit("errors"))
+    place = Window.partitionBy(batch_col, "section").orderBy("ord")
+    rows = df.where(~batch_level).select(batch_col, "ord", section.alias("section"), F.when(good, result).otherwise(error).alias("json"))
+    rows = rows.withColumn("position", (F.row_number().over(place) - 1).cast("int")).select(batch_col, "section", "position", "json")
+    totals = df.groupBy(batch_col).agg(
+        F.count(F.lit(1)).alias("total_files"),
+        F.count_if(F.col("status") == "success").alias("successful"),
+        F.count_if(F.col("status") == "error").alias("failed"),
+        F.max(F.when(batch_level, F.col("error"))).alias("detail"),
+    )
+    counts, detail = F.to_json(F.struct("total_files", "successful", "failed")), F.to_json(F.struct("detail"))
+    admitted = F.col("detail").isNull()
+    ends = totals.select(
+        batch_col,
+        F.when(admitted, F.lit("counts")).otherwise(F.lit("detail")).alias("section"),
+        F.lit(0).alias("position"),
+        F.when(admitted, counts).otherwise(detail).alias("json"),
+    )
+    return rows.unionByName(ends)
+
+
+class _EnvelopeStream:
+    """The JSON text of one batch from its lines in order."""
+
+    # what stands between the section before and this one
+    BETWEEN = {
+        ("", "results"): '{"results":[', ("results", "results"): ",",
+        ("", "errors"): '{"results":[],"errors":[', ("results", "errors"): '],"errors":[', ("errors", "errors"): ",",
+        ("", "counts"): '{"results":[],"errors":[],', ("results", "counts"): '],"errors":[],', ("errors", "counts"): "],",
+        ("", "detail"): "",
+    }
+
+    def __init__(self, stream):
+        self.stream, self.last = stream, ""
+
+    def add(self, section, json):
+        self.stream.write(self.BETWEEN[self.last, section].encode())
+        self.stream.write((json[1:] if section == "counts" else json).encode())
+        self.last = section
+
+    def close(self):
+        pass
+
+
+def write_envelopes(df: DataFrame, folder: str, batch_col: str = "batch_id") -> DataFrame:
+    """S9 as files: the JSON text of each batch below ``folder``, the same text as ``batch_envelope`` makes, written line by line.
+
+    Returns the manifest ``(batch, path, n_rows)``, path relative to ``folder``.
+    """
+    rank = F.array_position(F.array(*[F.lit(s) for s in SECTIONS]), F.col("section"))
+    lines = envelope_lines(df, batch_col).select(batch_col, "section", "json", rank.alias("rank"), "position")
+    return _write_streams(lines, ["rank", "position"], folder, ".json", _EnvelopeStream)

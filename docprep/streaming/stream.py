@@ -5,10 +5,12 @@
   (an overwrite of that epoch's folder: a retried epoch replaces its output). A batch may
   arrive over many epochs, so its limits are judged over all of them when the rows are read
   (``read_prepared``), and the result equals the batch pipeline's whatever the triggers.
-* ST2 ``dedupe_stream``: first file per key within the watermark.
+* ST2 ``dedupe_stream``: first file to arrive per key within the watermark;
+  ``first_stream``: the file with the least ``ord`` per key, whatever the order of arrival.
 * ST3 ``progress_stream``: running done/ok/failed per batch, a stateful
   streaming aggregate (state in the checkpoint), written in update mode
-  (``write_updates``): each epoch adds only the batches it changed.
+  (``write_updates``): each epoch adds only the batches it changed; with the
+  announced totals of the batches also the percent done.
 
 All checkpoints and outputs live under the shared folder named by
 ``spark.checkpoint.dir`` (``docprep.session.checkpoint_dir``).
@@ -70,13 +72,39 @@ def dedupe_stream(stream: DataFrame, keys: list[str], event_time: str, delay: st
     return stream.withWatermark(event_time, delay).dropDuplicatesWithinWatermark(keys)
 
 
-def progress_stream(results: DataFrame, batch_col: str = "batch_id") -> DataFrame:
-    """ST3: running totals per batch over a stream of pipeline rows."""
-    return results.groupBy(batch_col).agg(
-        F.count(F.lit(1)).alias("total_files"),
-        F.count_if(F.col("status") == "success").alias("successful"),
-        F.count_if(F.col("status") == "error").alias("failed"),
-    )
+def first_stream(stream: DataFrame, keys: list[str], event_time: str, ord_col: str = "ord", gap: str = "1 hour", delay: str = "1 hour") -> DataFrame:
+    """ST2 by A3's rule: of a key's rows within ``gap`` of each other, that with the least ``ord_col`` (append mode).
+
+    A session of the key holds the least row so far (one row of state, merged map-side) and is given out when the
+    watermark passes its end, so rows that arrive in any order, up to ``delay`` late, give the same result. Ties of ``ord_col``: any of them; a null comes
+    only where a key has no other. Rows with a null ``event_time`` belong to no session.
+    """
+    cols = [c for c in stream.columns if c not in keys]
+    marked = stream.withWatermark(event_time, delay)
+    # a null ord sorts after every number
+    first = F.min_by(F.struct(*cols), F.struct(F.col(ord_col).isNull(), F.col(ord_col)))
+    found = marked.groupBy(F.session_window(event_time, gap).alias("__session"), *keys).agg(first.alias("__first"))
+    return found.select(*keys, "__first.*")
+
+
+def progress_stream(results: DataFrame, batch_col: str = "batch_id", announced: DataFrame | None = None) -> DataFrame:
+    """ST3: running totals per batch over a stream of pipeline rows.
+
+    ``announced`` (``batch_col``, ``announced``; one row a batch, static) adds the announced total and the ``percent`` done of it,
+    a whole number rounded half up; both are null for a batch that was not announced, percent also for a total of 0.
+    """
+    totals = {
+        "total_files": F.count(F.lit(1)),
+        "successful": F.count_if(F.col("status") == "success"),
+        "failed": F.count_if(F.col("status") == "error"),
+    }
+    if announced is None:
+        return results.groupBy(batch_col).agg(*[c.alias(n) for n, c in totals.items()])
+    told = announced.select(batch_col, F.col("announced").cast("long").alias("announced"))
+    rows = results.select(batch_col, "status").join(told, batch_col, "left")
+    done = rows.groupBy(batch_col).agg(*[c.alias(n) for n, c in totals.items()], F.max("announced").alias("announced"))
+    percent = F.floor((F.col("total_files") * 200 + F.col("announced")) / (F.nullif(F.col("announced"), F.lit(0)) * 2))
+    return done.withColumn("percent", percent.cast("long"))
 
 
 def write_updates(agg: DataFrame, out_dir: str, checkpoint: str, available_now: bool = True):
