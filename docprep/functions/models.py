@@ -1,9 +1,10 @@
 """Free-text entity recognition: gazetteers (D12) and pluggable models.
 
 * A gazetteer is a table of terms of one or more words; documents are tokenised
-  natively (one row per token, or run of tokens as long as some term, with its
-  offsets) and joined with it. The gazetteer is broadcast only when its rows and
-  bytes are within checked bounds, otherwise the join shuffles on the lower-cased words.
+  natively, a run of tokens grows only while a Bloom filter of the terms' prefixes
+  holds it, and the runs left (one row each, with offsets) are joined with the terms.
+  The gazetteer is broadcast only when its rows and bytes are within checked bounds,
+  otherwise the join shuffles on the lower-cased words.
 * A model is user code behind ``register_model``: an iterator Pandas UDF builds
   it once per task (``factory()``) and maps Arrow batches of texts to span
   arrays. The statistical model itself is not part of this library.
@@ -30,6 +31,8 @@ MODEL_SPAN_TYPE = "array<struct<start:int,end:int,score:double>>"
 # bytes); beyond either bound the join shuffles on the lower-cased token.
 MAX_BROADCAST_TERMS = 2_000_000
 MAX_BROADCAST_TERM_BYTES = 64 * 1024 * 1024
+# Largest filter of term prefixes that a plan carries (256 KB).
+MAX_FILTER_BITS = 1 << 21
 
 _ENTITY = {key: (entity, tag) for key, entity, _, tag, _ in PII_ENTITIES}
 _MODELS: dict[str, Callable[[], Callable[[str], list[tuple[int, int, float]]]]] = {}
@@ -57,49 +60,95 @@ def gazetteer_spans(
     ("New York", "Saint-Denis"). Terms without a word match nothing. Overlapping matches are all given.
     """
     terms = _terms(gazetteer, term_col)
-    # the size check behind the broadcast decision (rows, bytes) and the lengths of the terms, one job
+    # the size check behind the broadcast decision (rows, bytes), the longest term and the number of prefixes, one job
     size = terms.agg(
-        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__key")), F.lit(0)).alias("b"), F.collect_set("__n").alias("lengths")
+        F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("__key")), F.lit(0)).alias("b"), F.max("__n").alias("longest"), F.sum("__n").alias("p")
     ).first()
+    filter_words = _prefix_filter(terms, size["p"] or 0)
     if size["n"] <= max_broadcast_terms and size["b"] <= max_broadcast_bytes:
         terms = F.broadcast(terms)
-    runs = let(tokens(F.col(text_col), entity_key), lambda t: F.concat(*[_token_runs(F.col(text_col), t, n) for n in sorted(size["lengths"]) or [1]]))
+    runs = _term_runs(F.col(text_col), tokens(F.col(text_col), entity_key), filter_words, size["longest"] or 1)
     found = df.select(*id_cols, F.explode(runs).alias("t")).select(*id_cols, "t.*")
     return found.join(terms, "__key", "left_semi").drop("__key")
 
 
 def _terms(gazetteer: DataFrame, term_col: str) -> DataFrame:
     """Distinct lower-cased terms: ``__key`` (words joined by blanks) and ``__n`` (number of words)."""
-    words = F.regexp_extract_all(F.col(term_col), F.lit(TOKEN_RX), 0)
-    keyed = gazetteer.select(words.alias("w")).select(F.lower(F.array_join("w", " ")).alias("__key"), F.size("w").alias("__n"))
+    words = F.transform(F.regexp_extract_all(F.col(term_col), F.lit(TOKEN_RX), 0), F.lower)
+    keyed = gazetteer.select(words.alias("w")).select(F.array_join("w", " ").alias("__key"), F.size("w").alias("__n"))
     return keyed.filter("__n > 0").select("__key", "__n").distinct()
 
 
-def _token_runs(text: Column, toks: Column, n: int) -> Column:
-    """All runs of ``n`` tokens with single characters between them, as spans with their ``__key``."""
+def _probes(key: Column, whole: bool, bits: int) -> tuple[Column, Column]:
+    """Two places of the filter for a prefix, or for a ``whole`` term."""
+    h = F.xxhash64(key, F.lit(int(whole)))
+    return h.bitwiseAND(F.lit(bits - 1)), F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(bits - 1))
 
-    def span(first: Column, last: Column, key: Column, matched: Column) -> Column:
-        fields = [first["entity"].alias("entity"), first["start"].alias("start"), last["end"].alias("end"), first["score"].alias("score")]
-        return F.struct(key.alias("__key"), *fields, matched.alias("matched"))
 
-    if n == 1:
-        return F.transform(toks, lambda t: span(t, t, F.lower(t["matched"]), t["matched"]))
+def _prefix_filter(terms: DataFrame, n_prefixes: int) -> list[int]:
+    """Bloom filter, in words of 64 bits, of the terms and of their prefixes of one or more words.
 
-    def run(b: Column, i: Column) -> Column:
-        words = F.slice(b["t"], i, n)
-        spelled = F.transform(words, lambda w: w["matched"])
+    It has about 16 bits an entry and at most ``MAX_FILTER_BITS``, so what reaches the driver is
+    bounded; a filter that is too full lets more runs through to the join, and loses none.
+    """
+    bits = 1024
+    while bits < min(32 * n_prefixes, MAX_FILTER_BITS):
+        bits *= 2
+    words = F.split("__key", " ")
+    prefixes = F.transform(F.sequence(F.lit(1), F.col("__n")), lambda k: F.array_join(F.slice(words, 1, k), " "))
+    places = F.concat(F.flatten(F.transform(prefixes, lambda k: F.array(*_probes(k, False, bits)))), F.array(*_probes(F.col("__key"), True, bits)))
+    words_of = terms.select(F.explode(places).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word"))
+    out = [0] * (bits // 64)
+    for r in words_of.agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("set")).collect():  # bits / 64 rows at most
+        out[r["word"]] = r["set"]
+    return out
+
+
+def _term_runs(text: Column, toks: Column, filter_words: list[int], longest: int) -> Column:
+    """Runs of tokens with single characters between them that pass the filter as terms, as spans with their ``__key``.
+
+    Step k makes each run that is still some term's prefix longer by its next token, so the work is the tokens and
+    the prefixes met, and the plan is the same whatever the terms' lengths.
+    """
+    bits = 64 * len(filter_words)
+    known = F.split(F.lit(",".join(map(str, filter_words))), ",").cast("array<bigint>")  # a constant: folded once
+    live_type, out_type = "array<struct<i:int,key:string>>", "array<struct<i:int,n:int,key:string>>"
+
+    def may(b: Column, key: Column, whole: bool) -> Column:
+        def is_set(at: Column) -> Column:
+            return F.getbit(F.get(b["f"], F.shiftright(at, 6).cast("int")), at.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        return let(F.struct(*(p.alias(n) for p, n in zip(_probes(key, whole, bits), "xy"))), lambda p: is_set(p["x"]) & is_set(p["y"]))
+
+    def longer(b: Column, x: Column, n: Column) -> Column:
+        at = x["i"] + n - 1
+        word = F.lower(F.get(b["t"], at)["matched"])
+        close = F.get(b["t"], at)["start"] == F.get(b["t"], at - 1)["end"] + 1
+        key = F.when(n == 1, word).when(close, F.concat(x["key"], F.lit(" "), word))
+        return F.struct(x["i"].alias("i"), key.alias("key"))
+
+    def run(b: Column) -> Column:
+        every = F.transform(b["t"], lambda _, i: F.struct(i.alias("i"), F.lit("").alias("key"))).cast(live_type)
+        init = F.struct(every.alias("live"), F.array().cast(out_type).alias("out"))
+
+        def step(acc: Column, n: Column) -> Column:
+            grown = F.filter(F.transform(acc["live"], lambda x: longer(b, x, n)), lambda x: x["key"].isNotNull() & may(b, x["key"], False))
+
+            def keep(live: Column) -> Column:
+                terms = F.transform(F.filter(live, lambda x: may(b, x["key"], True)), lambda x: F.struct(x["i"].alias("i"), n.alias("n"), x["key"].alias("key")))
+                return F.struct(live.cast(live_type).alias("live"), F.concat(acc["out"], terms.cast(out_type)).alias("out"))
+
+            return F.when(F.size(acc["live"]) > 0, let(grown, keep)).otherwise(acc)
 
-        def build(w: Column) -> Column:
-            first, last = F.element_at(w["r"], 1), F.element_at(w["r"], n)
-            close = last["end"] - first["start"] == F.length(F.array_join(w["s"], " "))
-            key = F.lower(F.array_join(w["s"], " "))
-            return F.when(close, span(first, last, key, cut(b["c"], first["start"], last["end"])))
+        def span(o: Column) -> Column:
+            first, last = F.get(b["t"], o["i"]), F.get(b["t"], o["i"] + o["n"] - 1)
+            matched = F.when(o["n"] == 1, first["matched"]).otherwise(cut(b["c"], first["start"], last["end"]))
+            fields = [first["entity"].alias("entity"), first["start"].alias("start"), last["end"].alias("end"), first["score"].alias("score")]
+            return F.struct(o["key"].alias("__key"), *fields, matched.alias("matched"))
 
-        return let(F.struct(words.alias("r"), spelled.alias("s")), build)
+        return F.transform(F.aggregate(F.sequence(F.lit(1), F.lit(longest)), init, step)["out"], span)
 
-    bound = F.struct(toks.alias("t"), text_chunks(text).alias("c"))
-    starts = F.when(F.size(toks) >= n, F.sequence(F.lit(1), F.size(toks) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return let(bound, lambda b: F.filter(F.transform(starts, lambda i: run(b, i)), lambda s: s.isNotNull()))
+    return let(F.struct(toks.alias("t"), text_chunks(text).alias("c"), known.alias("f")), run)
 
 
 def gazetteer_model(gazetteer: DataFrame, term_col: str = "term", max_terms: int = MAX_BROADCAST_TERMS, score: float = 0.85):
@@ -108,7 +157,8 @@ def gazetteer_model(gazetteer: DataFrame, term_col: str = "term", max_terms: int
     rows = _terms(gazetteer, term_col).limit(max_terms + 1).collect()
     if len(rows) > max_terms:
         raise ValueError(f"the gazetteer has more than {max_terms} terms; raise max_terms or use gazetteer_spans")
-    keys, lengths = frozenset(r["__key"] for r in rows), sorted({r["__n"] for r in rows}, reverse=True)
+    keys = frozenset(r["__key"] for r in rows)
+    prefixes = frozenset(" ".join(w[: k + 1]) for w in (key.split(" ") for key in keys) for k in range(len(w)))
     word = re.compile(r"[^\W_]+")
 
     def factory():
@@ -116,12 +166,16 @@ def gazetteer_model(gazetteer: DataFrame, term_col: str = "term", max_terms: int
             at = [(m.start(), m.end(), m.group().lower()) for m in word.finditer(text)]
             out, i = [], 0
             while i < len(at):
-                for n in lengths:
-                    run = at[i : i + n]
-                    if len(run) == n and all(a[1] + 1 == b[0] for a, b in zip(run, run[1:])) and " ".join(w[2] for w in run) in keys:
-                        out.append((run[0][0], run[-1][1], score))
+                key, longest = at[i][2], 0
+                for n in range(1, len(at) - i + 1):
+                    if key in keys:
+                        longest = n
+                    if key not in prefixes or i + n == len(at) or at[i + n - 1][1] + 1 != at[i + n][0]:
                         break
-                i += n if out and out[-1][0] == at[i][0] else 1
+                    key = f"{key} {at[i + n][2]}"
+                if longest:
+                    out.append((at[i][0], at[i + longest - 1][1], score))
+                i += longest or 1
             return out
 
         return predict

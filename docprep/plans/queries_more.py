@@ -814,6 +814,48 @@ def q_gazetteer_locations(spark: SparkSession, sf: str) -> DataFrame:
     return gazetteer_spans(d, "text", _gazetteer_terms(spark, sf)).select("doc_id", "entity", "start", "end", "score", "matched")
 
 
+LONGEST_TERM = 8
+
+
+def _long_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """Of the benchmark's whole texts, the run of 1 + i % 8 words that begins at word i."""
+    from docprep.functions.models import TOKEN_RX
+
+    words = D.table(spark, sf, "benchmark").select(F.regexp_extract_all("text", F.lit(TOKEN_RX), 0).alias("w"))
+    runs = F.transform(F.col("w"), lambda _, i: F.array_join(F.slice("w", i + 1, 1 + i % LONGEST_TERM), " "))
+    return words.select(F.explode(runs).alias("term"))
+
+
+def _long_terms_sql() -> str:
+    from docprep.functions.models import TOKEN_RX
+    from docprep.functions.pii import Recognizer
+
+    tok = S.spans_sql("s_src", [], [Recognizer("location", TOKEN_RX, 0.85, name="token")])
+    n = range(1, LONGEST_TERM)
+    leads = ", ".join(f'lead("start", {k}) OVER o AS s{k}, lead("end", {k}) OVER o AS e{k}, lead(matched, {k}) OVER o AS m{k}' for k in n)
+    runs, close, words = ['SELECT id, "start", "end", lower(matched) AS k FROM nxt'], "true", "matched"
+    for k in n:
+        last = '"end"' if k == 1 else f"e{k - 1}"
+        close, words = f"{close} AND s{k} = {last} + 1", f"{words} || ' ' || m{k}"
+        runs.append(f'SELECT id, "start", e{k} AS "end", lower({words}) AS k FROM nxt WHERE {close}')
+    return f"""WITH s_src AS (SELECT doc_id AS id, text AS t FROM documents),
+ws AS (SELECT regexp_extract_all(text, {S.q(TOKEN_RX)}, 0) AS w FROM benchmark),
+terms AS (SELECT DISTINCT lower(array_to_string(w[i + 1:i + 1 + i % {LONGEST_TERM}], ' ')) AS k FROM (SELECT w, unnest(range(len(w))) AS i FROM ws)),
+tok AS ({tok}),
+nxt AS (SELECT id, "start", "end", matched, {leads} FROM tok WINDOW o AS (PARTITION BY id ORDER BY "start")),
+runs AS ({" UNION ALL ".join(runs)})
+SELECT id AS doc_id, 'LOCATION' AS entity, r."start", r."end", CAST(0.85 AS DOUBLE) AS score, substr(t, r."start" + 1, r."end" - r."start") AS matched
+FROM (SELECT * FROM runs WHERE k IN (SELECT k FROM terms)) r JOIN s_src USING (id)"""
+
+
+@register("gazetteer_long_terms", "D12 (terms of one to eight words from the whole benchmark texts; runs grow while they are a term's prefix)", _long_terms_sql())
+def q_gazetteer_long_terms(spark: SparkSession, sf: str) -> DataFrame:
+    from docprep.functions.models import gazetteer_spans
+
+    d = D.table(spark, sf, "documents").select("doc_id", "text")
+    return gazetteer_spans(d, "text", _long_terms(spark, sf)).select("doc_id", "entity", "start", "end", "score", "matched")
+
+
 _CATALOG_SQL = "(SELECT * FROM (VALUES " + ", ".join(
     f"({i}, '{k}', '{e}', {S.sql_str(l)}, '{t}', {str(d).lower()})" for i, (k, e, l, t, d) in enumerate(C.PII_ENTITIES)
 ) + ") c(ordinal, key, entity, label, tag, \"default\"))"

@@ -209,6 +209,30 @@ def test_gazetteer_terms_of_several_words(spark):
     assert M.gazetteer_spans(df, "text", gaz.where("false")).count() == 0
 
 
+def test_runs_grow_only_as_prefixes_of_terms(spark, monkeypatch):
+    text = "a b c d e f g h, B C x a b c d e f g h i"
+    terms = ["a b c d e f g h", "b c", "c d e", "e f g h i j", "h", "H"]
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    at = [(m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+    want = set()
+    for i in range(len(at)):
+        for j in range(i, len(at)):
+            close = all(at[k][1] + 1 == at[k + 1][0] for k in range(i, j))
+            if close and " ".join(text[a:b].lower() for a, b in at[i : j + 1]) in {t.lower() for t in terms}:
+                want.add((at[i][0], at[j][1], text[at[i][0] : at[j][1]]))
+    gaz = spark.createDataFrame([(t,) for t in terms], "term string")
+    found = lambda g: [(r.start, r.end, r.matched) for r in M.gazetteer_spans(df, "text", g).collect()]
+    assert sorted(found(gaz)) == sorted(want) and len(want) == 9
+    # a filter with every bit set lets all runs through to the join: the same rows
+    monkeypatch.setattr(M, "_prefix_filter", lambda terms, n: [-1] * 16)
+    assert sorted(found(gaz)) == sorted(want)
+    monkeypatch.undo()
+    assert [text[a:b] for a, b, _ in M.gazetteer_model(gaz)()(text)] == ["a b c d e f g h", "B C", "a b c d e f g h"]
+    # the plan does not grow with the lengths of the terms
+    size = lambda g: M.gazetteer_spans(df, "text", g)._jdf.queryExecution().analyzed().toString().count("lambdafunction")
+    assert size(gaz) == size(gaz.where("term = 'h'"))
+
+
 def test_types_without_a_source_are_errors(spark):
     files = spark.createDataFrame([(1, 0, "a.txt", 9, "Maria vive en Nueva York, 1/2/2024"), (1, 1, "b.zzz", 9, "x")], "batch_id long, ord int, filename string, length long, text string")
     got = {r.original_filename: r for r in prepare(files, anonymize=True, entities="location,date").collect()}
