@@ -1,9 +1,9 @@
 """Registered queries of the training-data operators: whole tables, production parameters.
 
 Each query is thin: it runs its operator and derives the digest columns of its
-contract. None has DuckDB SQL: hashing by XXH64 and CRC-32, learned scores,
-tokenizer ids and reachability over all pairs are beyond it or too slow on whole
-tables, so ``tests/llm`` holds each against a brute-force version.
+contract. The archive, substring and embedding queries have DuckDB SQL. The others have none:
+XXH64 and CRC-32 of texts, learned scores, tokenizer ids and dynamic programmes are beyond it or too
+slow on whole tables, so ``tests/llm`` holds each against a brute-force version.
 """
 
 from __future__ import annotations
@@ -134,4 +134,40 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op13_periodic_runs,
     )
 }
-ORACLES: dict[str, str] = {}
+
+# payloads, their digests and the record that equal ones refer to, without archives
+_ARCHIVE_SQL = f"""WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+d AS (SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest FROM p),
+m AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS newest FROM d),
+r AS (SELECT *, CASE WHEN payload_bytes >= {warc_index.MIN_BYTES} AND page_id IS DISTINCT FROM newest THEN newest END AS refers_to FROM m)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r"""
+
+_LATER = ", ".join(f"lead(word, {k}) OVER o" for k in range(1, phrase_automata.WINDOW))
+# every window of words as a string, the smallest doc_id it starts in, the words that windows seen earlier cover
+_SUBSTRING_SQL = rf"""WITH rows AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+words AS (SELECT r, doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM rows),
+windows AS (SELECT r, doc_id, i, concat_ws(' ', word, {_LATER}) AS win, lead(word, {phrase_automata.WINDOW - 1}) OVER o IS NOT NULL AS whole
+  FROM words WINDOW o AS (PARTITION BY r ORDER BY i)),
+seen AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY win) AS again FROM windows WHERE whole),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + {phrase_automata.WINDOW})) AS i FROM seen WHERE again),
+kept AS (SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM rows LEFT JOIN kept USING (r)"""
+
+# cosines of all pairs in double precision, reachability by recursion over the rows
+_EMBEDDING_SQL = f"""WITH RECURSIVE rows AS (SELECT row_number() OVER () AS r, vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+v AS (SELECT r, vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM rows
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_max(list_transform(e, lambda x: abs(x))) > 0),
+links AS (SELECT a.r AS a, b.r AS b, b.vec_id AS other FROM v a JOIN v b ON len(a.e) = len(b.e) AND a.r <> b.r
+  WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {int8_tiles.THRESHOLD}),
+reach(r, reached) AS (SELECT r, r FROM v UNION SELECT reach.r, links.b FROM reach JOIN links ON links.a = reach.reached),
+class AS (SELECT reach.r, min(vec_id) AS c FROM reach JOIN v ON v.r = reach.reached GROUP BY reach.r),
+degree AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, coalesce(c, vec_id) AS component_id, coalesce(vec_id = coalesce(c, vec_id), false) AS kept
+FROM rows LEFT JOIN class USING (r) LEFT JOIN degree USING (r)"""
+
+ORACLES: dict[str, str] = {
+    "op2_warc_index": _ARCHIVE_SQL,
+    "op4_phrase_automata": _SUBSTRING_SQL,
+    "op7_int8_tiles": _EMBEDDING_SQL,
+}
