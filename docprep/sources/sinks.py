@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import io
+import os
 import uuid
 import zipfile
 from collections.abc import Callable
@@ -54,6 +55,46 @@ def _file_system(folder: str):
     return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder.removeprefix("file:"))
 
 
+# What write_blank_files writes at a time.
+BLANKS = b" " * (1 << 20)
+
+
+def write_blank_files(df: DataFrame, folder: str, path_col: str = "path", size_col: str = "length") -> int:
+    """One file of ``size_col`` blanks per row below ``folder``, as ``write_files`` writes them, but no row carries the bytes.
+
+    A task writes each size once, in pieces; on a local file system its other files of that size are hard links to it, so
+    the disk holds one file a task and size. Where links are not to be had (other file systems, too many links) every file is written.
+    """
+
+    def run(batches):
+        system, root = _file_system(folder)
+        local = isinstance(system, fs.LocalFileSystem)
+        written = {}
+        for b in batches:
+            for path, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                target = f"{root}/{path}"
+                system.create_dir(target.rpartition("/")[0], recursive=True)
+                part = f"{target}.{uuid.uuid4().hex}.part"
+                if not (local and size in written and _linked(written[size], part)):
+                    with system.open_output_stream(part, compression=None) as out:
+                        for lo in range(0, size, len(BLANKS)):
+                            out.write(BLANKS[: size - lo])
+                    written[size] = target
+                system.move(part, target)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows], pa.int64())], ["n"])
+
+    rows = df.select(F.col(path_col).cast("string"), F.col(size_col).cast("long")).coalesce(df.sparkSession.sparkContext.defaultParallelism)
+    return rows.mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def _linked(source: str, target: str) -> bool:
+    try:
+        os.link(source, target)
+        return True
+    except OSError:
+        return False
+
+
 def write_files(df: DataFrame, folder: str, path_col: str = "path", content_col: str = "content") -> int:
     """One file per row below ``folder``: the bytes of ``content_col`` (null: none) under the relative path of ``path_col``.
 
