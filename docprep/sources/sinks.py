@@ -27,6 +27,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 from docprep.functions.names import ensure_md, safe_filename
 from docprep.operators.admission import checked_rejected, error_message
 from docprep.operators.names import unique_names
+from docprep.session import spread
 
 RESULT_FIELDS = [
     "original_filename",
@@ -237,25 +238,46 @@ def write_bundles(df: DataFrame, folder: str, batch_col: str = "batch_id") -> Da
     return _write_streams(members.select(batch_col, "member_name", "markdown_content", "ord"), ["ord"], folder, ".zip", _ZipStream, grouped=True)
 
 
+# Members that written_contents hands on at a time.
+READ_MEMBERS = 10_000
+
+
 def written_contents(manifest: DataFrame, folder: str) -> DataFrame:
-    """``(batch_id, place, member, n_bytes, digest)`` of the archives named by the manifest of ``write_bundles``, read member by member."""
+    """``(batch_id, place, member, n_bytes, digest)`` of the archives named by the manifest of ``write_bundles``, read member by member.
+
+    The manifest is small, so its rows are dealt to all cores whatever the number of its files.
+    """
     group = manifest.columns[0]
 
-    def run(frames):
+    def contents(ids, held):
+        rows, *columns = ([m[i] for m in held] for i in range(5))
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+        values = [pa.array(v, kind) for v, kind in zip(columns, kinds)]
+        return pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), *values], names)
+
+    def run(batches):
         system, root = _file_system(folder)
-        for pdf in frames:
-            for batch, path in zip(pdf["g"], pdf["path"]):
+        for b in batches:
+            held = []
+            for row, path in enumerate(b.column(1).to_pylist()):
                 with system.open_input_file(f"{root}/{path}") as raw, zipfile.ZipFile(raw) as zf:
                     for place, info in enumerate(zf.infolist()):
                         digest = hashlib.md5()
                         with zf.open(info) as member:
                             while chunk := member.read(1 << 20):
                                 digest.update(chunk)
-                        yield pd.DataFrame({"batch_id": [batch], "place": [place], "member": [info.filename], "n_bytes": [info.file_size], "digest": [digest.hexdigest()]})
-
-    id_type = manifest.schema[group].dataType.simpleString()
-    rows = manifest.select(F.col(group).alias("g"), "path")
-    return rows.mapInPandas(run, f"batch_id {id_type}, place long, member string, n_bytes long, digest string")
+                        held.append((row, place, info.filename, info.file_size, digest.hexdigest()))
+                        if len(held) == READ_MEMBERS:
+                            yield contents(b.column(0), held)
+                            held = []
+            yield contents(b.column(0), held)
+
+    fields = (("place", "long"), ("member", "string"), ("n_bytes", "long"), ("digest", "string"))
+    schema = StructType([StructField("batch_id", manifest.schema[group].dataType)])
+    for name, kind in fields:
+        schema = schema.add(name, kind)
+    names = schema.names
+    return spread(manifest.select(F.col(group).alias("g"), "path")).mapInArrow(run, schema)
 
 
 def bundle_contents(bundles: DataFrame) -> DataFrame:
